@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vellum.llm.mixing import OP6_SQL, op6_source_mixing
+from vellum.llm.pii import op1_pii
+from vellum.llm.quality import op2_quality_rules
+from vellum.llm.secrets import op3_secret_scan
 from vellum.llm.url_filter import OP4_SQL, op4_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_secret_scan": op3_secret_scan,
     "op4_url_filters": op4_url_filters,
     "op6_source_mixing": op6_source_mixing,
 }
