@@ -201,11 +201,12 @@ def find_pii(docs: DataFrame, *keep: str) -> DataFrame:
         .groupBy("row")
         .agg(F.sort_array(F.collect_set("span")).alias("added"))
     )
+    bare = found.where(F.col("row").isNull())  # nothing to join; as one null key, they would meet in one task
+    judged = found.where(F.col("row").isNotNull()).join(added, "row", "left")
     return (
-        found.drop("candidates")
-        .join(added, "row", "left")
+        judged.unionByName(bare, allowMissingColumns=True)
         .withColumn("spans", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added")))
-        .drop("row", "added")
+        .drop("candidates", "row", "added")
     )
 
 
