@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum.llm.decontaminate import OP7_SQL, op7_benchmark_decontamination
+from vellum.llm.jaccard import op10_ngram_jaccard
+from vellum.llm.language import op8_language_id
 from vellum.llm.mixing import OP6_SQL, op6_source_mixing
 from vellum.llm.pii import op1_pii
 from vellum.llm.quality import op2_quality_rules
@@ -18,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_url_filters": op4_url_filters,
     "op6_source_mixing": op6_source_mixing,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_language_id": op8_language_id,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op6_source_mixing": OP6_SQL}
+SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op6_source_mixing": OP6_SQL, "op7_benchmark_decontamination": OP7_SQL}
