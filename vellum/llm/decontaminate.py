@@ -7,6 +7,10 @@ a document that contains the item must hold one of them, so the search misses no
 document. Documents that hold one and are large enough are candidates; these are verified on the shingles themselves.
 """
 
+# Filters on arrays made here, and explode() without _outer, would be pushed below the projection that
+# splits a text, and the split be repeated for each word; hence explode_outer(), sizes that can't be null (joins
+# filter out null operands of their conditions), and the filter after the aggregate.
+
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,12 +59,12 @@ def item_sketches(items: DataFrame) -> DataFrame:
     sized = (
         with_words(items.select("item_id", "text"))
         .select("item_id", shingles(hashed).alias("hashes"))
-        .where(F.size("hashes") > 0)
-        .withColumn("n_item", F.size("hashes"))
+        .withColumn("n_item", F.greatest(F.size("hashes"), F.lit(1)))
     )
     partition_size = F.pow(F.lit(2), F.ceil(F.log2("n_item"))).cast("int")  # its largest item
     length = partition_size - needed(partition_size) + 1
-    return sized.select("item_id", "n_item", F.explode(F.slice(F.sort_array("hashes"), F.lit(1), length)).alias("hash"))
+    entries = F.explode_outer(F.slice(F.sort_array("hashes"), F.lit(1), length))
+    return sized.select("item_id", "n_item", entries.alias("hash")).where("hash is not null")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, *, by_row: bool = False) -> DataFrame:
@@ -77,7 +81,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, by_row: bool = False)
     candidates = (
         with_words(keyed)
         .select("key", shingles(hashed).alias("hashes"))
-        .select("key", F.size("hashes").alias("n_doc"), F.explode("hashes").alias("hash"))
+        .select("key", F.coalesce(F.size("hashes"), F.lit(0)).alias("n_doc"), F.explode_outer("hashes").alias("hash"))
         .join(sketches, "hash")
         .where(F.col("n_doc") >= needed(F.col("n_item")))
         .select("key", "item_id")
@@ -89,12 +93,12 @@ def contained_items(docs: DataFrame, items: DataFrame, *, by_row: bool = False)
     verified = (
         with_words(keyed.join(candidates, "key").select("key", "doc_id", "text", "item_id").join(spelled_items, "item_id"))
         .select("key", "doc_id", "item_id", F.size("item_shingles").alias("n_item"), shared.alias("n_shared"))
-        .where(F.col("n_shared") >= needed(F.col("n_item")))
     )
     names = (["key"] if by_row else []) + ["doc_id", "item_id"]
-    return verified.groupBy(*names).agg(
+    counted = verified.groupBy(*names).agg(
         F.max("n_item").cast("long").alias("n_item"), F.max("n_shared").cast("long").alias("n_shared")
     )
+    return counted.where(F.col("n_shared") >= needed(F.col("n_item")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
