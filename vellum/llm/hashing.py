@@ -40,6 +40,11 @@ def byte_values() -> np.ndarray:
     return values
 
 
+@cache
+def raw_values() -> np.ndarray:
+    return mixed(np.arange(1, 257, dtype=U) * U(BASE))
+
+
 @cache
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse."""
@@ -71,6 +76,15 @@ def word_hashes(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(starts, bounds), prepend=0)
 
 
+def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """The hash of the ``width`` bytes from each place of data on."""
+    n = len(data)
+    up, down = powers(max(2 * CHUNK, 1 << n.bit_length()))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(raw_values()[data] * up[:n])])
+        return mixed((sums[width:] - sums[:-width]) * down[: n - width + 1])
+
+
 def shingles_of(words: np.ndarray, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes of one text, as signed integers; the whole sequence if shorter than a shingle."""
     if not len(words):

@@ -13,6 +13,7 @@ from vellum.llm.mixing import OP6_SQL, op6_source_mixing
 from vellum.llm.pii import op1_pii
 from vellum.llm.quality import op2_quality_rules
 from vellum.llm.secrets import op3_secret_scan
+from vellum.llm.substrings import op9_repeated_substrings
 from vellum.llm.url_filter import OP4_SQL, op4_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": op6_source_mixing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_language_id": op8_language_id,
+    "op9_repeated_substrings": op9_repeated_substrings,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 

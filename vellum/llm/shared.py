@@ -45,6 +45,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers or short strings that may be broadcast: tens of megabytes.
+FEW = 500_000
+
+
+def sized(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """df, a stored table of short rows, marked for broadcast if it is small; else joins with it are shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def words(text: Column) -> Column:
     """The words of a text, [] for null or blank ones."""
     kept = F.btrim(text, F.lit(SPACES))
