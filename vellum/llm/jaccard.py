@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.components import components
 from vellum.llm.hashing import mixed, shingle_sets
-from vellum.llm.shared import stored, table
+from vellum.llm.shared import sized, stored, table
 
 HEAVY = 40
 PIVOT_ROUNDS = 3
@@ -206,13 +206,20 @@ def join_ngrams(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int =
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(read.mapInArrow(set_rows(width, percent), "doc_id long, n long, digest string, list array<long>"), "sets")
     named = rows.where("digest is not null and doc_id is not null")
-    reps = stored(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("list").alias("list")), "reps")
-
-    candidates, dense = light_candidates(reps, percent, heavy)
+    counted = stored(named.groupBy("digest", "doc_id").agg(F.count("*").alias("times")), "named")
+    reps = stored(counted.groupBy("digest").agg(F.min("doc_id").alias("node")), "reps")
+    copies = stored(counted.join(reps, "digest").where("doc_id <> node").select("doc_id", "digest"), "copies")
+    repeated = counted.where("times > 1").limit(1).count() > 0
+    once = lambda df, *names: df.dropDuplicates([*names]) if repeated else df
+
+    lists = named.join(sized(copies), ["doc_id", "digest"], "left_anti")
+    lists = once(lists, "doc_id", "digest").select(F.col("doc_id").alias("node"), "n", "list")
+    candidates, dense = light_candidates(lists, percent, heavy)
     candidates, dense = stored(candidates, "candidates"), stored(dense, "dense")
-    wanted = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).union(dense).distinct()
+    wanted = stored(candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).union(dense).distinct(), "wanted")
     schema = "node long, n long, tokens binary, second array<long>, third array<long>"
-    sets = stored(read.join(wanted, "doc_id", "left_semi").mapInArrow(whole_sets(width, percent), schema), "whole-sets")
+    sets = read.join(sized(wanted), "doc_id", "left_semi").mapInArrow(whole_sets(width, percent), schema)
+    sets = stored(once(sets, "node", "tokens"), "whole-sets")
     links = verified(candidates, sets, percent)
     if dense.limit(1).count():
         links = dense_links(stored(links, "verified"), sets, dense, percent)
