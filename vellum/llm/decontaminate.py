@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import lower_ascii, stored, table, words
+from vellum.llm.shared import lower_ascii, sized, stored, table, words
 
 WIDTH = 5
 #: Containment as a fraction, for integer arithmetic.
@@ -87,7 +87,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, by_row: bool = False)
         .select("key", "item_id")
         .distinct()
     )
-    candidates = stored(candidates, "candidates")
+    candidates = sized(stored(candidates, "candidates"))
     spelled_items = with_words(items.select("item_id", "text")).select("item_id", shingles(spelled).alias("item_shingles"))
     shared = F.size(F.array_intersect(shingles(spelled), F.col("item_shingles")))
     verified = (
