@@ -101,16 +101,19 @@ def linked_pairs(percent: int):
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of candidate pairs (a, b) those that are linked; first by the other orders' prefixes, then by whole sets."""
+    nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+    sets = sets.join(sized(nodes), "node", "left_semi")
     orders = sets.select("node", "n", "second", "third")
     x, y = orders.alias("x"), orders.alias("y")
     share = lambda order: F.arrays_overlap(f"x.{order}", f"y.{order}")
     alike = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    left = (
+    left = stored(
         pairs.join(x, F.col("a") == F.col("x.node"))
         .join(y, F.col("b") == F.col("y.node"))
         .where(alike & share("second") & share("third"))
         .select("a", "b")
-        .distinct()
+        .distinct(),
+        "filtered",
     )
     tokens = sets.select("node", "tokens")
     both = (
@@ -148,7 +151,19 @@ def light_candidates(reps: DataFrame, percent: int, heavy: int) -> tuple[DataFra
     x, y = light.alias("x"), light.alias("y")
     alike = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & alike)
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), dense
+    counted = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).agg(
+        F.count("*").alias("shared")
+    )
+    # of two light sets that are linked, each lacks few of the other's tokens; so all but as many of their prefixes are shared
+    both = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    least = F.least(*(prefix_column(F.col(n), percent) - (F.col(n) - both) for n in ("n_a", "n_b")))
+    dense = stored(dense, "dense")
+    flags = sized(dense).withColumn("dense", F.lit(True))
+    flagged = counted.join(flags.withColumnsRenamed({"node": "a", "dense": "dense_a"}), "a", "left").join(
+        flags.withColumnsRenamed({"node": "b", "dense": "dense_b"}), "b", "left"
+    )
+    kept = flagged.withColumn("least", least).where("dense_a or dense_b or shared >= least")
+    return kept.select("a", "b").distinct(), dense
 
 
 def dense_postings(sets: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
@@ -191,7 +206,7 @@ def dense_links(links: DataFrame, sets: DataFrame, dense: DataFrame, percent: in
     alike = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     open_pair = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
     rest = x.join(y, open_pair & alike).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return links.union(verified(rest.join(tried, ["a", "b"], "left_anti"), sets, percent))
+    return links.union(verified(stored(rest.join(tried, ["a", "b"], "left_anti"), "rest"), sets, percent))
 
 
 def join_ngrams(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int = HEAVY) -> DataFrame:
@@ -215,7 +230,7 @@ def join_ngrams(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int =
     lists = named.join(sized(copies), ["doc_id", "digest"], "left_anti")
     lists = once(lists, "doc_id", "digest").select(F.col("doc_id").alias("node"), "n", "list")
     candidates, dense = light_candidates(lists, percent, heavy)
-    candidates, dense = stored(candidates, "candidates"), stored(dense, "dense")
+    candidates = stored(candidates, "candidates")
     wanted = stored(candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).union(dense).distinct(), "wanted")
     schema = "node long, n long, tokens binary, second array<long>, third array<long>"
     sets = read.join(sized(wanted), "doc_id", "left_semi").mapInArrow(whole_sets(width, percent), schema)
