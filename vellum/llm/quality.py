@@ -150,14 +150,14 @@ def scored_patterns(voted: DataFrame, n_rules: int) -> DataFrame:
     return each.select("votes", posterior(F.col("votes"), F.col("model")).alias("posterior"))
 
 
-def judge_quality(docs: DataFrame) -> DataFrame:
+def judge_quality(docs: DataFrame, *keep: str) -> DataFrame:
     """Measures, votes, posterior and kept of each row of docs (doc_id, text).
 
     A null text counts as empty: no words, so base_failed. Repeated rows are judged each; a null doc_id
-    stays null; other columns are not read. An empty table gives an empty result.
+    stays null; of other columns only those in keep are read, and kept. An empty table gives an empty result.
     """
     rules = rule_votes()
-    measured = stored(text_measures(docs.select("doc_id", "text")).withColumn("votes", F.array(*rules.values())), "quality")
+    measured = stored(text_measures(docs.select("doc_id", "text", *keep)).withColumn("votes", F.array(*rules.values())), "quality")
     scored = F.broadcast(scored_patterns(measured, len(rules)))  # 2187 rows at most
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
