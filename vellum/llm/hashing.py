@@ -77,12 +77,16 @@ def word_hashes(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """The hash of the ``width`` bytes from each place of data on."""
-    n = len(data)
-    up, down = powers(max(2 * CHUNK, 1 << n.bit_length()))
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, U), np.cumsum(raw_values()[data] * up[:n])])
-        return mixed((sums[width:] - sums[:-width]) * down[: n - width + 1])
+    """The hash of the ``width`` bytes from each place of data on; by parts, as a hash doesn't depend on its place."""
+    n = len(data) - width + 1
+    out = np.empty(max(n, 0), U)
+    up, down = powers(CHUNK)
+    for start in range(0, n, CHUNK // 2):
+        part = data[start : start + CHUNK // 2 + width - 1]
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, U), np.cumsum(raw_values()[part] * up[: len(part)])])
+            out[start : start + CHUNK // 2] = mixed((sums[width:] - sums[:-width]) * down[: len(part) - width + 1])
+    return out
 
 
 def shingles_of(words: np.ndarray, width: int) -> np.ndarray:

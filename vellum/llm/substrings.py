@@ -4,9 +4,10 @@ A byte goes if it is covered by a ``WINDOW``-byte string that also starts in a d
 
 Suffixes are first put into buckets by q-grams. Of each window only its minimizer is looked at: the leftmost of its q-grams of
 least hash; equal windows have equal minimizers at equal places. Buckets of minimizers that occur in one document only are dropped.
-The windows of the others are brought together by bucket, and the buckets are refined: suffixes get the bucket number of
-their first 8 bytes, then by sorting pairs of bucket numbers, their own and that of a later offset, of 16, 32 and WINDOW
-bytes; each round uses the numbers of the last. What is then in one bucket is equal byte for byte.
+The windows of the others are brought together by bucket; those whose hash no other document has are final, as singletons
+are, and go. The rest are refined: suffixes get the bucket number of their first 8 bytes, then by sorting pairs of
+bucket numbers, their own and that of a later offset, of 16, 32 and WINDOW bytes; each round uses the numbers of the last, and
+looks only at offsets that the windows need. What is then in one bucket is equal byte for byte.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from vellum.llm.hashing import gram_hashes
 from vellum.llm.shared import sized, stored, table
 
 WINDOW = 50
-GRAM = 16
+GRAM = 24
 #: Bytes of text for each bucket of q-grams, about; the number of buckets follows the input.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 1 << 20
 CHUNK = 1 << 20
 
 
@@ -158,16 +159,31 @@ def numbered(*keys: np.ndarray) -> np.ndarray:
     return np.unique(key, return_inverse=True)[1]
 
 
-def refine(data: np.ndarray) -> np.ndarray:
-    """For each place of data with WINDOW bytes after it, the number of the bucket of these bytes."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    first = sum(padded[k : k + len(data)].astype(np.uint64) << np.uint64(8 * k) for k in range(8))
-    numbers, depth = numbered(first), 8
-    while depth < WINDOW:
-        step = min(depth, WINDOW - depth)
-        numbers = numbered(numbers[:-step], numbers[step:])
-        depth += step
-    return numbers[: max(len(data) - WINDOW + 1, 0)]
+def refine(data: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """For each of the windows (places in data) the number of the bucket of its WINDOW bytes."""
+
+    def eight(at: np.ndarray) -> np.ndarray:
+        return sum(data[at + k].astype(np.uint64) << np.uint64(8 * k) for k in range(8))
+
+    # depth 16 at the offsets that cover a window, numbered together
+    offsets = [*range(0, WINDOW - 16, 16), WINDOW - 16]
+    places = np.concatenate([windows + o for o in offsets])
+    numbers = numbered(numbered(eight(places)), numbered(eight(places + 8))).reshape(len(offsets), -1)
+    while len(numbers) > 1:  # each round doubles the depth
+        pairs = [numbered(a, b) for a, b in zip(numbers[0::2], numbers[1::2], strict=False)]
+        numbers = np.stack([*pairs, *numbers[len(numbers) & ~1 :]])
+    return numbers[0]
+
+
+def several_documents(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether more than one document has the key of each row; the least document that has it."""
+    order = np.argsort(keys, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0)) if len(keys) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(cuts, len(keys)))
+    least, most = (np.empty(len(keys), np.int64) for _ in range(2))
+    least[order] = np.repeat(np.minimum.reduceat(docs[order], cuts), sizes) if len(keys) else docs
+    most[order] = np.repeat(np.maximum.reduceat(docs[order], cuts), sizes) if len(keys) else docs
+    return least != most, least
 
 
 def repeated_runs(group: pa.Table) -> pa.Table:
@@ -177,13 +193,12 @@ def repeated_runs(group: pa.Table) -> pa.Table:
     n_windows = heads[:, 3] - WINDOW + 1
     begins = np.cumsum(heads[:, 3]) - heads[:, 3]
     inside = np.arange(n_windows.sum()) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-    numbers = refine(data)[np.repeat(begins, n_windows) + inside]
-    docs, keys, places = (np.repeat(heads[:, k], n_windows) for k in range(3))
-    places = places + inside
-    order = np.argsort(numbers, kind="stable")
-    cuts = np.flatnonzero(np.diff(numbers[order], prepend=-1))
-    earliest = np.empty(len(numbers), np.int64)
-    earliest[order] = np.repeat(np.minimum.reduceat(docs[order], cuts), np.diff(np.append(cuts, len(order))))
+    row = np.repeat(np.arange(len(heads), dtype=np.int32), n_windows)
+    windows = begins[row] + inside
+    keep, _ = several_documents(gram_hashes(data, WINDOW)[windows], heads[row, 0])
+    row, windows, inside = row[keep], windows[keep], inside[keep]
+    docs, keys, places = heads[row, 0], heads[row, 1], heads[row, 2] + inside
+    _, earliest = several_documents(refine(data, windows), docs)
     late = np.flatnonzero(earliest < docs)
     late = late[np.lexsort((places[late], keys[late], docs[late]))]
     docs, keys, places = docs[late], keys[late], places[late]
@@ -231,7 +246,7 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
     least = named.groupBy("digest").agg(F.min("doc_id").alias("least"))
     copies = stored(named.join(least, "digest").where("doc_id > least").select("doc_id", "digest").distinct(), "copies")
     total = named.agg(F.sum("n")).first()[0] or 0
-    buckets = max(16, total // bucket_bytes)
+    buckets = max(64, total // bucket_bytes)
     marked = read.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)).join(
         sized(copies).withColumn("copy", F.lit(True)), ["doc_id", "digest"], "left"
     )
