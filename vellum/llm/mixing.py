@@ -59,15 +59,15 @@ def fraction(text, seed: int):
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
-def mix_sources(docs: DataFrame, seed: int = 7, weights: list[int] = WEIGHTS, most: int = MOST, cell: int = CELL) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of each row of docs (doc_id, text, source).
+def mix_sources(docs: DataFrame, *keep: str, seed: int = 7, weights: list[int] = WEIGHTS, most: int = MOST, cell: int = CELL) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of each row of docs (doc_id, text, source), and the columns in keep.
 
     A null text has size 0. A null source is a source of its own, the last. Repeated rows are documents
     of their own, as are rows with a null doc_id. A source without words has target 0 and no copies.
     Reruns agree: the offset and the cells are hashes, ties in the order are between equal rows. An empty table gives an empty result.
     """
     sized = stored(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
+        docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
         "mix-sizes",
     )
     key = lambda side: [F.col(f"{side}.source").isNull(), F.coalesce(F.col(f"{side}.source"), F.lit(""))]
@@ -82,7 +82,7 @@ def mix_sources(docs: DataFrame, seed: int = 7, weights: list[int] = WEIGHTS, mo
     numbered = (
         sized.alias("d")
         .join(sources.alias("s"), same("d", "s"))
-        .select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", "s.step", "s.offset", "s.n_cells")
+        .select("d.doc_id", "d.source", "d.size", *(f"d.{c}" for c in keep), "s.source_size", "s.target", "s.step", "s.offset", "s.n_cells")
         .withColumn("cell", F.floor(fraction(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed) * F.col("n_cells")))
         .withColumn("n", F.row_number().over(Window.partitionBy("source", "cell").orderBy("size", "doc_id")))
     )
@@ -97,7 +97,7 @@ def mix_sources(docs: DataFrame, seed: int = 7, weights: list[int] = WEIGHTS, mo
     return (
         numbered.alias("d")
         .join(cells.alias("c"), [*same("d", "c"), F.col("d.cell") == F.col("c.cell")])
-        .select("d.doc_id", "d.source", "d.size", "d.source_size", "d.target", (upto(place) - upto(place - 1)).alias("copies"))
+        .select("d.doc_id", "d.source", "d.size", *(f"d.{c}" for c in keep), "d.source_size", "d.target", (upto(place) - upto(place - 1)).alias("copies"))
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
 

@@ -14,6 +14,7 @@ from vellum.llm.pii import op1_pii
 from vellum.llm.quality import op2_quality_rules
 from vellum.llm.secrets import op3_secret_scan
 from vellum.llm.substrings import op9_repeated_substrings
+from vellum.llm.token_counts import op5_token_counts
 from vellum.llm.url_filter import OP4_SQL, op4_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_secret_scan": op3_secret_scan,
     "op4_url_filters": op4_url_filters,
+    "op5_token_counts": op5_token_counts,
     "op6_source_mixing": op6_source_mixing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_language_id": op8_language_id,
