@@ -42,10 +42,10 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with size, source_size, target, copies and taken words."""
-    mixed = mix_sources(docs).where("copies > 0").drop("source")
-    named = docs.where("doc_id is not null").join(mixed, "doc_id")
-    return named.select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+    """Documents that the mix takes, with size, source_size, target, copies and taken words. Rows of one doc_id and text are one."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text")).dropDuplicates(["_key"])
+    mixed = mix_sources(keyed, "_key").where("copies > 0").drop("doc_id", "source")
+    return keyed.join(mixed, "_key").select(*docs.columns, "size", "source_size", "target", "copies", "taken")
 
 
 STAGES = [
