@@ -40,15 +40,18 @@ def source_targets(sized: DataFrame, weights: list[int] = WEIGHTS, most: int = M
     weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     level = left.cast("double") / weight_left
     room = F.col("source_size") * F.lit(most)
-    full = level * F.col("weight") > room
+    # levels mean something up to the first source that isn't full; it and all behind it share at its level
+    is_open = level * F.col("weight") <= room
+    open_so_far = F.sum(F.col("open").cast("int")).over(filling.rowsBetween(Window.unboundedPreceding, 0)) > 0
+    final = F.first(F.when(F.col("open"), F.col("level")), ignorenulls=True).over(filling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return (
-        weighted.withColumns({"full": full, "level": level, "room": room.cast("double")})
-        .withColumn("final", F.min(F.when(~F.col("full"), F.col("level"))).over(everything))
+        weighted.withColumns({"open": is_open, "level": level, "room": room.cast("double")})
+        .withColumns({"sharing": open_so_far, "final": final})
         .select(
             "source",
             "source_size",
             "n_docs",
-            F.when(F.col("full"), F.col("room")).otherwise(F.least(F.col("final") * F.col("weight"), "room")).alias("target"),
+            F.when(F.col("sharing"), F.least(F.col("final") * F.col("weight"), "room")).otherwise(F.col("room")).alias("target"),
         )
     )
 
@@ -117,14 +120,15 @@ weighted AS (
   FROM sized GROUP BY source),
 levels AS (
   SELECT *, 3 * source_size AS room,
+    row_number() OVER (ORDER BY source_size / weight, source IS NULL, source) AS place,
     CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER w, 0) AS DOUBLE)
       / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
   FROM weighted
   WINDOW w AS (ORDER BY source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 sources AS (
   SELECT source, source_size, n_docs,
-    CASE WHEN level * weight > room THEN CAST(room AS DOUBLE)
-      ELSE least(min(level) FILTER (level * weight <= room) OVER () * weight, room) END AS target
+    CASE WHEN place < min(place) FILTER (level * weight <= room) OVER () THEN CAST(room AS DOUBLE)
+      ELSE least((SELECT arg_min(level, place) FROM levels WHERE level * weight <= room) * weight, room) END AS target
   FROM levels),
 steps AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS step,
