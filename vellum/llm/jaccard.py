@@ -46,11 +46,23 @@ def prefix_column(n: Column, percent: int) -> Column:
     return (n - F.ceil(n * percent / 100) + 1).cast("int")
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches cut into smaller ones, so that few rows are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def both_share(n_a: Column, n_b: Column, percent: int) -> Column:
+    """How many tokens linked sets of these sizes have in common at least."""
+    return F.ceil((n_a + n_b) * percent / (100 + percent))
+
+
 def set_rows(width: int, percent: int):
     """Of batches of (doc_id, text): doc_id, number of tokens, digest of the set, list of first tokens by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             n, digests, lists = [], [], []
             for tokens in shingle_sets(batch.column(1).to_pylist(), width):
                 n.append(len(tokens))
@@ -68,7 +80,7 @@ def whole_sets(width: int, percent: int):
     """Of batches of (doc_id, text): node, n, tokens (all, 8 bytes each), and prefixes under the other orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             n, whole, others = [], [], [[], []]
             for tokens in shingle_sets(batch.column(1).to_pylist(), width):
                 n.append(len(tokens))
@@ -88,7 +100,7 @@ def linked_pairs(percent: int):
     """Of batches of (a, b, tokens_a, tokens_b): the pairs whose Jaccard similarity reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
@@ -155,7 +167,7 @@ def light_candidates(reps: DataFrame, percent: int, heavy: int) -> tuple[DataFra
         F.count("*").alias("shared")
     )
     # of two light sets that are linked, each lacks few of the other's tokens; so all but as many of their prefixes are shared
-    both = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    both = both_share(F.col("n_a"), F.col("n_b"), percent)
     least = F.least(*(prefix_column(F.col(n), percent) - (F.col(n) - both) for n in ("n_a", "n_b")))
     dense = stored(dense, "dense")
     flags = sized(dense).withColumn("dense", F.lit(True))
@@ -167,7 +179,7 @@ def light_candidates(reps: DataFrame, percent: int, heavy: int) -> tuple[DataFra
 
 
 def dense_postings(sets: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
-    """token, node, n, rare: prefix postings of dense sets under the order by frequency among them."""
+    """token, node, n, rank, rare: prefix postings of dense sets under the order by frequency among them."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +192,7 @@ def dense_postings(sets: DataFrame, dense: DataFrame, percent: int) -> DataFrame
     order = Window.partitionBy("node", "n").orderBy("f", "token")
     ranked = postings.join(frequency, "token").withColumn("rank", F.row_number().over(order))
     ranked = ranked.withColumn("rare", F.sum((F.col("f") == 1).cast("int")).over(Window.partitionBy("node", "n")) / F.col("n"))
-    return ranked.where((F.col("rank") <= prefix_column(F.col("n"), percent)) & (F.col("f") > 1)).select("token", "node", "n", "rare")
+    return ranked.where((F.col("rank") <= prefix_column(F.col("n"), percent)) & (F.col("f") > 1)).select("token", "node", "n", "rank", "rare")
 
 
 def dense_links(links: DataFrame, sets: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
@@ -190,12 +202,24 @@ def dense_links(links: DataFrame, sets: DataFrame, dense: DataFrame, percent: in
     with others, as long as members lie in different components. What is still apart is compared in full.
     """
     postings = stored(dense_postings(sets, dense, percent), "dense-postings")
+
+    def early(x: str, y: str) -> Column:
+        """Alike in size, and the token early in both: what stands before the first common token, the partner lacks."""
+        a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
+        both = both_share(a, b, percent)
+        return (
+            (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
+            & (F.col(f"{x}.rank") <= a - both + 1)
+            & (F.col(f"{y}.rank") <= b - both + 1)
+        )
+
     unsettled, tried = postings, None
     for turn in range(PIVOT_ROUNDS):
         first = F.col("rare") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        pivots = unsettled.groupBy("token").agg(F.min_by("node", F.struct(first, "node")).alias("pivot"))
-        stars = unsettled.join(pivots, "token").where("node <> pivot")
-        pairs = stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        pivots = unsettled.groupBy("token").agg(F.min_by(F.struct("node", "n", "rank"), F.struct(first, "node")).alias("p"))
+        x, y = unsettled.alias("x"), pivots.select("token", "p.*").alias("y")
+        stars = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & early("x", "y"))
+        pairs = stars.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         pairs = stored(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "stars")
         tried = pairs if tried is None else tried.union(pairs)
         links = stored(links.union(verified(pairs, sets, percent)), "verified")
@@ -203,9 +227,8 @@ def dense_links(links: DataFrame, sets: DataFrame, dense: DataFrame, percent: in
         if not unsettled.limit(1).count():
             return links
     x, y = unsettled.alias("x"), unsettled.alias("y")
-    alike = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     open_pair = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    rest = x.join(y, open_pair & alike).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    rest = x.join(y, open_pair & early("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     return links.union(verified(stored(rest.join(tried, ["a", "b"], "left_anti"), "rest"), sets, percent))
 
 
