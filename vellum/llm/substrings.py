@@ -119,7 +119,7 @@ def shared_minimizers(group: pa.Table) -> pa.Table:
 
 
 def windows_to_compare(buckets: int):
-    """Of batches of (doc_id, text, shared: list of packed hashes, key): the bytes of all runs of windows of these minimizers,
+    """Of batches of (doc_id, text, shared: list of packed hashes, key, copy): the bytes of all runs of windows of these minimizers,
     by bucket: packed doc_id, key, start and length, and the bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,8 +261,8 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
         .agg(F.collect_list("shared").alias("shared")),
         "shared",
     )
-    # both joins below are by doc_id alone, over all of marked, so that texts are shuffled once
-    compared = marked.join(shared, "doc_id").select("doc_id", "text", "shared", "key")
+    # both joins below are by doc_id alone, over all rows and columns of marked, so that texts are shuffled once
+    compared = marked.join(shared, "doc_id").select("doc_id", "text", "shared", "key", "copy")
     runs = (
         compared.mapInArrow(windows_to_compare(buckets), "bucket int, heads binary, bytes binary")
         .groupBy("bucket")
