@@ -15,6 +15,7 @@ from vellum.functions import scalars as S
 from vellum.functions import vocabulary as V
 from vellum.operators import analytics, curate, dataset, deid, evaluate, lineage, normalize, omop, quality_gate
 from vellum.operators import relational as R
+from vellum.sources.tables import materialised as checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,12 +99,6 @@ def vocab_coverage(t):
     return omop.coverage(concepts, "section", "concept")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    from vellum.sources.tables import materialised
-
-    return materialised(df)
-
-
 @query("SELECT row_number() OVER (ORDER BY c_nationkey, c_custkey) AS person_id, c_custkey AS person_source_value, c_nationkey FROM customer")
 def omop_person(t):
     people = t("customer").select(F.col("c_custkey").alias("person_source_value"), "c_nationkey")
