@@ -19,16 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_folder: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one where it is unset, in local mode only."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local["):
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="vellum-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if context.applicationId not in _own_folder:
+        _own_folder[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="vellum-")
+    return _own_folder[context.applicationId]
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
