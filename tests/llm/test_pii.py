@@ -61,6 +61,20 @@ def test_redaction_masks_spans_and_leaves_the_rest(spark, edge_docs):
     assert redact(edge_docs).count() == edge_docs.count()
 
 
+def test_redaction_covers_the_union_of_overlapping_spans(spark):
+    rows = [
+        ("call +15551234567@txt.example.net now", "call [PHONE] now"),  # both from one start, the shorter one sorts first
+        ("at 10.0.0.1@host.example.org, 10.0.0.2", "at [IP], [IP]"),
+        ("paid 4111 1111 1111 1111@pay.example.org.", "paid [CARD]."),  # the e-mail starts inside the card and ends behind it
+        ("from a4111111111111111@pay.example.org a@b.org", "from [EMAIL] [EMAIL]"),  # the card lies within the e-mail
+        ("to +1 555 123 10.0.0.1@c.org.", "to [PHONE]."),  # a chain of three
+    ]
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(rows)], "doc_id long, text string")
+    kinds = {r.doc_id: [s.kind for s in r.base] for r in find_pii(docs).collect()}
+    assert all(len(kinds[i]) > 1 for i in range(5)) and len(kinds[4]) == 3
+    assert {r.doc_id: r.text for r in redact(docs).collect()} == {i: want for i, (_, want) in enumerate(rows)}
+
+
 def test_empty_table(empty_docs):
     assert find_pii(empty_docs).count() == 0 and redact(empty_docs).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")

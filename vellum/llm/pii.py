@@ -213,18 +213,25 @@ def find_pii(docs: DataFrame, *keep: str) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of find_pii() in text replaced by its kind, as [EMAIL]; n_chars follows the text.
 
-    All rows and columns stay. Overlapping spans are replaced as one, by the kind that starts first. A text
-    without spans is unchanged, as is a null one. Rows are matched by doc_id and text, so null and repeated ids do no harm.
+    All rows and columns stay. Overlapping spans are replaced as one, from the first start to the last end, by the kind
+    that starts first (of those that start together, the one that ends first). A text without spans is unchanged, as is a null one. Rows are matched by doc_id and text, so null and repeated ids do no harm.
     """
     key = F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256)
     keyed = docs.withColumn("_key", key)
     found = find_pii(keyed, "_key").where(F.size("spans") > 0)
     spans = found.groupBy("_key").agg(F.first("spans").alias("_spans"))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+
+    def with_span(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        union = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        apart = s["start"] >= F.coalesce(last["end"], F.lit(0))
+        return F.when(apart, F.array_append(done, s)).otherwise(F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), union))
+
     disjoint = F.aggregate(
         F.sort_array(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
         none,
-        lambda done, s: F.when(s["start"] >= F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0)), F.array_append(done, s)).otherwise(done),
+        with_span,
     )
     end_before = lambda i: F.coalesce(F.get("_cut", i - 1)["end"], F.lit(0))
     kept = F.transform(
