@@ -3,7 +3,9 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from vellum.llm import substrings
 from vellum.llm.substrings import GRAM, WINDOW, minimizer_runs, refine, remove_repeats
 
 
@@ -63,6 +65,50 @@ def test_equals_brute_force(spark):
     assert Counter({k: n for k, n in found.items() if k[0] not in two}) == Counter({k: n for k, n in brute(docs).items() if k[0] not in two})
 
 
+def common_passages(n=90):
+    """A long passage, and one of WINDOW bytes in ever other surroundings, each in most documents."""
+    rng = random.Random(4)
+    make = lambda k: "".join(rng.choice("abcdé \n") for _ in range(k))
+    long, short = make(300), "s" + "".join(rng.choice("uvwxyz") for _ in range(WINDOW - 1))
+    return [(d, make(rng.randint(0, 90)) + rng.choice([long, long[rng.randint(1, 99) :], ""]) + make(60) + short + make(rng.randint(0, 60))) for d in range(n)]
+
+
+def test_common_passages_equal_brute_force(spark):
+    docs = texts_with_passages(2) + [(d + 2000, t) for d, t in common_passages()] + [(None, "z" * 200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs)
+    assert got(df, common=3) == want
+    assert got(df, common=40) == want  # some are common and others aren't
+
+
+def test_no_group_holds_all_of_a_common_passage(spark, monkeypatch):
+    docs = spark.createDataFrame(common_passages(), "doc_id long, text string")
+    firsts = docs.withColumn("key", F.xxhash64("text"))
+    common = substrings.common_minimizers(firsts, 20)
+    rows = firsts.select("doc_id", "text").mapInArrow(substrings.minimizers(64, common), "bucket int, hashes binary, docs binary").collect()
+    left = Counter(h for r in rows for h in np.frombuffer(r.hashes, np.uint64))
+    assert len(common) > 5 and max(left.values()) < 20
+    monkeypatch.setattr(substrings, "FEW_WINDOWS", 0)
+    monkeypatch.setattr(substrings, "FEW_RUNS", 0)
+    assert got(docs, common=20) == brute(common_passages())
+
+
+def test_minimizers_of_few_documents_with_many_places_are_common(spark):
+    line = "the very same line of a text that repeats itself, over and over\n"
+    docs = [(d, f"{d:05d}" * 12 + line * 30) for d in range(4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    common = substrings.common_minimizers(df, 40)
+    assert len(common) > 2  # some stand 120 times in 4 documents
+    assert got(df, common=40) == brute(docs)
+
+
+def test_packed_ids():
+    for ids in ([5], [-3, 9], [7, 7 + (1 << 32) - 1], [0, 1 << 32], [-(1 << 63), (1 << 63) - 1, 0]):
+        ids = np.array(ids)
+        assert (substrings.unpacked_ids(substrings.packed_ids(ids), len(ids)) == ids).all()
+    assert len(substrings.packed_ids(np.arange(100))) == 408
+
+
 def test_one_id_with_two_texts(spark):
     a, b = "a" * 30 + "first passage here" * 4, "other beginning " + "first passage here" * 4 + " end"
     docs = [(1, a), (2, a[10:]), (2, b)]

@@ -8,11 +8,16 @@ The windows of the others are brought together by bucket; those whose hash no ot
 are, and go. The rest are refined: suffixes get the bucket number of their first 8 bytes, then by sorting pairs of
 bucket numbers, their own and that of a later offset, of 16, 32 and WINDOW bytes; each round uses the numbers of the last, and
 looks only at offsets that the windows need. What is then in one bucket is equal byte for byte.
+
+Minimizers that occur at very many places (found in a sample of documents) don't go to buckets, as all that hold one would meet
+in one task. Their runs of windows are reduced to the least doc_id of each distinct run, then of each distinct window, by
+aggregations that combine before they shuffle; the keys are the bytes themselves. The results are joined back to the holders.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +30,15 @@ from vellum.llm.shared import sized, stored, table
 
 WINDOW = 50
 GRAM = 24
+#: A run of windows of one minimizer; it has at most 2 * WINDOW - GRAM bytes.
+HEAD = np.dtype([("doc", np.int64), ("key", np.int64), ("start", np.int32), ("length", np.uint8)])
 #: Bytes of text for each bucket of q-grams, about; the number of buckets follows the input.
 BUCKET_BYTES = 1 << 20
 CHUNK = 1 << 20
+#: From about so many places on, a minimizer is common. A sample of documents has ``SAMPLED`` of so many.
+COMMON, SAMPLED = 4096, 64
+#: Distinct windows, and distinct runs with the least doc_id of each window, that may be broadcast.
+FEW_WINDOWS, FEW_RUNS = 200_000, 20_000
 
 
 def chunks(docs: list, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -78,8 +89,47 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
-def minimizers(buckets: int):
-    """Of batches of (doc_id, text): packed minimizers by bucket, hashes and documents of equal length."""
+def among(hashes: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each hash is among some, which are sorted."""
+    if not len(some):
+        return np.zeros(len(hashes), bool)
+    return some[np.minimum(np.searchsorted(some, hashes), len(some) - 1)] == hashes
+
+
+def sampled_minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of batches of (doc_id, text): the minimizers, and at how many places they occur."""
+    for batch in batches:
+        for _, starts, data in chunks(batch.column(0).to_pylist(), encoded(batch.column(1))):
+            hashes, n = np.unique(minimizer_runs(starts, data)[3], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64), pa.int64()), pa.array(n, pa.int64())], ["hash", "n"])
+
+
+def common_runs(common: np.ndarray):
+    """Of batches of (doc_id, text, key): the runs of windows of common minimizers, with their places and bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids_keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            for ids, starts, data in chunks(ids_keys, encoded(batch.column(1))):
+                text, first, last, hashes = minimizer_runs(starts, data)
+                keep = among(hashes, common)
+                text, first, last = text[keep], first[keep], last[keep]
+                view = data.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[text, 0], pa.int64()),
+                        pa.array(ids[text, 1], pa.int64()),
+                        pa.array((first - starts[text]).astype(np.int32), pa.int32()),
+                        pa.array([view[a : b + WINDOW] for a, b in zip(first, last, strict=True)], pa.binary()),
+                    ],
+                    ["doc_id", "key", "place", "run"],
+                )
+
+    return run
+
+
+def minimizers(buckets: int, common: np.ndarray):
+    """Of batches of (doc_id, text): packed minimizers by bucket but for common ones, hashes and documents of equal length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,8 +138,9 @@ def minimizers(buckets: int):
                 order = np.lexsort((text, hashes))
                 hashes, text = hashes[order], text[order]
                 once = np.append(True, (np.diff(hashes) != 0) | (np.diff(text) != 0))
+                once &= ~among(hashes, common)
                 hashes, docs = hashes[once], ids[text[once]]
-                rows = [(b, hashes[at].tobytes(), docs[at].astype(np.int64).tobytes()) for b, at in grouped(bucket_of(hashes, buckets))]
+                rows = [(b, hashes[at].tobytes(), packed_ids(docs[at].astype(np.int64))) for b, at in grouped(bucket_of(hashes, buckets))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))],
                     ["bucket", "hashes", "docs"],
@@ -98,13 +149,26 @@ def minimizers(buckets: int):
     return run
 
 
+def packed_ids(ids: np.ndarray) -> bytes:
+    """The least id, then what the others have above it, in 4 bytes each where that will do, else in 8."""
+    least, most = ids.min(), ids.max()
+    above = (ids.view(np.uint64) - least.view(np.uint64)).astype(np.uint32 if int(most) - int(least) < 1 << 32 else np.uint64)
+    return least.tobytes() + above.tobytes()
+
+
+def unpacked_ids(packed: bytes, n: int) -> np.ndarray:
+    above = np.frombuffer(packed, np.uint32 if len(packed) == 8 + 4 * n else np.uint64, offset=8).astype(np.uint64)
+    return (above + np.frombuffer(packed, np.uint64, 1)).view(np.int64)
+
+
 def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
 def shared_minimizers(group: pa.Table) -> pa.Table:
     """The hashes of a bucket that several documents have, by document."""
-    hashes, docs = joined(group["hashes"], np.uint64), joined(group["docs"], np.int64)
+    hashes = joined(group["hashes"], np.uint64)
+    docs = np.concatenate([unpacked_ids(d, len(h) // 8) for d, h in zip(group["docs"].to_pylist(), group["hashes"].to_pylist(), strict=True)])
     order = np.argsort(hashes, kind="stable")
     hashes, docs = hashes[order], docs[order]
     first = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]))
@@ -141,8 +205,10 @@ def windows_to_compare(buckets: int):
                 view = data.tobytes()
                 rows = []
                 for b, at in grouped(bucket_of(hashes, buckets)):
-                    head = np.stack([*ids[text[at]].T, first[at] - starts[text[at]], lengths[at]]).astype(np.int64)
-                    rows.append((b, head.T.tobytes(), b"".join(view[x : x + n] for x, n in zip(first[at], lengths[at], strict=True))))
+                    head = np.empty(len(at), HEAD)
+                    head["doc"], head["key"] = ids[text[at]].T
+                    head["start"], head["length"] = first[at] - starts[text[at]], lengths[at]
+                    rows.append((b, head.tobytes(), b"".join(view[x : x + n] for x, n in zip(first[at], lengths[at], strict=True))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))],
                     ["bucket", "heads", "bytes"],
@@ -188,16 +254,17 @@ def several_documents(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, n
 
 def repeated_runs(group: pa.Table) -> pa.Table:
     """doc_id, key, start, end: the bytes of windows that an earlier document has, of one bucket of minimizers."""
-    heads = joined(group["heads"], np.int64).reshape(-1, 4)
+    heads = joined(group["heads"], HEAD)
     data = joined(group["bytes"], np.uint8)
-    n_windows = heads[:, 3] - WINDOW + 1
-    begins = np.cumsum(heads[:, 3]) - heads[:, 3]
+    lengths = heads["length"].astype(np.int64)
+    n_windows = lengths - WINDOW + 1
+    begins = np.cumsum(lengths) - lengths
     inside = np.arange(n_windows.sum()) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
     row = np.repeat(np.arange(len(heads), dtype=np.int32), n_windows)
     windows = begins[row] + inside
-    keep, _ = several_documents(gram_hashes(data, WINDOW)[windows], heads[row, 0])
+    keep, _ = several_documents(gram_hashes(data, WINDOW)[windows], heads["doc"][row])
     row, windows, inside = row[keep], windows[keep], inside[keep]
-    docs, keys, places = heads[row, 0], heads[row, 1], heads[row, 2] + inside
+    docs, keys, places = heads["doc"][row], heads["key"][row], heads["start"][row] + inside
     _, earliest = several_documents(refine(data, windows), docs)
     late = np.flatnonzero(earliest < docs)
     late = late[np.lexsort((places[late], keys[late], docs[late]))]
@@ -233,7 +300,45 @@ def without_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def common_minimizers(firsts: DataFrame, common: int) -> np.ndarray:
+    """Sorted hashes of minimizers that occur at about so many places or more, by a sample of the documents."""
+    every = max(1, common // SAMPLED)
+    sample = firsts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("doc_id", "text")
+    counts = sample.mapInArrow(sampled_minimizers, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= common // every).select("hash").toArrow()
+    return np.sort(found["hash"].to_numpy().view(np.uint64))
+
+
+def repeated_common_runs(firsts: DataFrame, common: np.ndarray) -> DataFrame:
+    """doc_id, key, start, end: the bytes of windows of common minimizers that an earlier document has.
+
+    The windows of a run overlap, so those that go cover one range of bytes. Joins with rows of a common key split the
+    partitions that are skewed, if the other side is too large to be broadcast.
+    """
+    held = stored(firsts.mapInArrow(common_runs(common), "doc_id long, key long, place int, run binary"), "common-runs")
+    distinct = held.groupBy("run").agg(F.min("doc_id").alias("least"))
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("run") - WINDOW))
+    windows = stored(distinct.select("run", "least", at.alias("i")).withColumn("window", F.expr(f"substring(run, i + 1, {WINDOW})")), "common-windows")
+    several = windows.groupBy("window").agg(F.min("least").alias("first"), F.count("*").alias("n")).where("n > 1").select("window", "first")
+    several = sized(stored(several, "common-firsts"), FEW_WINDOWS)
+    first = F.coalesce("first", "least").alias("first")
+    by_run = windows.join(several, "window", "left").groupBy("run").agg(F.collect_list(F.struct("i", first)).alias("firsts"))
+    by_run = sized(stored(by_run, "common-firsts-by-run"), FEW_RUNS)
+    late = F.expr("transform(filter(firsts, w -> w.first < doc_id), w -> w.i)")
+    return (
+        held.join(by_run, "run")
+        .select("doc_id", "key", "place", late.alias("late"))
+        .where(F.size("late") > 0)
+        .select(
+            "doc_id",
+            "key",
+            (F.col("place") + F.array_min("late")).alias("start"),
+            (F.col("place") + F.array_max("late") + WINDOW).alias("end"),
+        )
+    )
+
+
+def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, common: int = COMMON) -> DataFrame:
     """n_bytes, n_removed, n_spans, kept_sha256 and removed (starts and ends by turns) of each row of docs (doc_id, text).
 
     Texts are taken as UTF-8 bytes, a null one as empty. A text that is equal to one of a smaller doc_id goes as a whole if it has
@@ -252,9 +357,11 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
     )
     key = F.xxhash64(F.coalesce("text", F.lit("")))  # tells apart texts of one doc_id
     marked = marked.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), key.alias("key"))
-    firsts = marked.where(~F.col("copy")).select("doc_id", "text")
+    firsts = marked.where(~F.col("copy"))
+    # the bound grows slowly with the input, so that the list of common minimizers stays short too
+    hashes = common_minimizers(firsts, max(common, math.isqrt(total) // SAMPLED))
     shared = stored(
-        firsts.mapInArrow(minimizers(buckets), "bucket int, hashes binary, docs binary")
+        firsts.select("doc_id", "text").mapInArrow(minimizers(buckets, hashes), "bucket int, hashes binary, docs binary")
         .groupBy("bucket")
         .applyInArrow(shared_minimizers, "doc_id long, shared binary")
         .groupBy("doc_id")
@@ -267,9 +374,10 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
         compared.mapInArrow(windows_to_compare(buckets), "bucket int, heads binary, bytes binary")
         .groupBy("bucket")
         .applyInArrow(repeated_runs, "doc_id long, key long, start int, end int")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("key", "start", "end")).alias("runs"))
     )
+    if len(hashes):
+        runs = runs.union(repeated_common_runs(firsts.select("doc_id", "text", "key"), hashes))
+    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "end")).alias("runs"))
     found = marked.join(runs, "doc_id", "left").select("doc_id", "text", "copy", "key", F.col("runs.key").alias("keys"), "runs.start", "runs.end")
     unplaced = docs.where("doc_id is null").select(
         F.lit(None).cast("long"), "text", F.lit(False), F.lit(0).cast("long"), F.array().cast("array<long>"), *[F.array().cast("array<int>")] * 2
