@@ -53,6 +53,16 @@ def test_equals_brute_force(spark):
     assert Counter(map(tuple, decontaminate(ddf, idf).collect())) == Counter(d for d in docs if d[0] not in hit)
 
 
+def test_null_and_reused_item_ids(spark):
+    text = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    items = [(None, text("x", 20)), (1, text("s", 14)), (1, text("l", 104)), (2, None)]
+    docs = [(1, "so " + text("x", 20)), (2, text("s", 14) + " end"), (3, text("l", 104)), (4, text("l", 50)), (5, text("s", 14) + " " + text("l", 104))]
+    ddf, idf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, None, 16, 16), (2, 1, 10, 10), (3, 1, 100, 100), (5, 1, 100, 100)}
+    assert Counter(map(tuple, contained_items(ddf, idf).collect())) == Counter(want)
+    assert [tuple(r) for r in decontaminate(ddf, idf).collect()] == [docs[3]]
+
+
 def test_edges(spark, edge_docs, empty_docs):
     items = spark.createDataFrame([(1, "the word word word WORD word"), (2, "a row without id but with")], "item_id long, text string").selectExpr("*", "1 as hash", "2 as key")
     assert {(r.doc_id, r.item_id) for r in contained_items(edge_docs, items).collect()} == {(None, 2)}

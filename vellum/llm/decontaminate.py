@@ -54,17 +54,22 @@ def row_key() -> Column:
     return F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text), 256)
 
 
+def item_key() -> Column:
+    """Names an item by item_id and text. Should two items share a name, each is verified by its own text."""
+    return F.xxhash64("item_id", "text").alias("item")
+
+
 def item_sketches(items: DataFrame) -> DataFrame:
-    """item_id, n_item, hash: one row for each entry of each item's sketch."""
+    """item, n_item, hash: one row for each entry of each item's sketch."""
     sized = (
-        with_words(items.select("item_id", "text"))
-        .select("item_id", shingles(hashed).alias("hashes"))
+        with_words(items.select(item_key(), "text"))
+        .select("item", shingles(hashed).alias("hashes"))
         .withColumn("n_item", F.greatest(F.size("hashes"), F.lit(1)))
     )
     partition_size = F.pow(F.lit(2), F.ceil(F.log2("n_item"))).cast("int")  # its largest item
     length = partition_size - needed(partition_size) + 1
     entries = F.explode_outer(F.slice(F.sort_array("hashes"), F.lit(1), length))
-    return sized.select("item_id", "n_item", entries.alias("hash")).where("hash is not null")
+    return sized.select("item", "n_item", entries.alias("hash")).where("hash is not null")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, *, by_row: bool = False) -> DataFrame:
@@ -72,7 +77,8 @@ def contained_items(docs: DataFrame, items: DataFrame, *, by_row: bool = False)
 
     docs: doc_id, text. items: item_id, text. Words are compared with A-Z in lower case. Null texts, and those of
     fewer than five words, hold and are nothing. Repeated rows of either side give one row for each pair of ids;
-    documents with a null doc_id are searched too. Other columns are not read. An empty side gives an empty result.
+    documents with a null doc_id are searched too, and for items with a null item_id. Texts of one item_id are judged each by itself;
+    the counts are those of the contained one that shares most. Other columns are not read. An empty side gives an empty result.
     """
     sketches = stored(item_sketches(items), "sketches")
     if sketches.count() <= BROADCAST_ENTRIES:
@@ -84,21 +90,22 @@ def contained_items(docs: DataFrame, items: DataFrame, *, by_row: bool = False)
         .select("key", F.coalesce(F.size("hashes"), F.lit(0)).alias("n_doc"), F.explode_outer("hashes").alias("hash"))
         .join(sketches, "hash")
         .where(F.col("n_doc") >= needed(F.col("n_item")))
-        .select("key", "item_id")
+        .select("key", "item")
         .distinct()
     )
     candidates = sized(stored(candidates, "candidates"))
-    spelled_items = with_words(items.select("item_id", "text")).select("item_id", shingles(spelled).alias("item_shingles"))
+    spelled_items = with_words(items.select(item_key(), "item_id", "text")).select("item", "item_id", shingles(spelled).alias("item_shingles"))
     shared = F.size(F.array_intersect(shingles(spelled), F.col("item_shingles")))
     verified = (
-        with_words(keyed.join(candidates, "key").select("key", "doc_id", "text", "item_id").join(spelled_items, "item_id"))
+        with_words(keyed.join(candidates, "key").select("key", "doc_id", "text", "item").join(spelled_items, "item"))
         .select("key", "doc_id", "item_id", F.size("item_shingles").alias("n_item"), shared.alias("n_shared"))
     )
     names = (["key"] if by_row else []) + ["doc_id", "item_id"]
-    counted = verified.groupBy(*names).agg(
-        F.max("n_item").cast("long").alias("n_item"), F.max("n_shared").cast("long").alias("n_shared")
+    contained = (F.col("n_item") > 0) & (F.col("n_shared") >= needed(F.col("n_item")))
+    most = F.max(F.when(contained, F.struct("n_shared", "n_item"))).alias("most")
+    return verified.groupBy(*names).agg(most).where("most is not null").select(
+        *names, F.col("most.n_item").cast("long").alias("n_item"), F.col("most.n_shared").cast("long").alias("n_shared")
     )
-    return counted.where(F.col("n_shared") >= needed(F.col("n_item")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
