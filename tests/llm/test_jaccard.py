@@ -1,10 +1,11 @@
+import math
 import random
 import re
 from collections import Counter
 
 import pytest
 
-from vellum.llm.components import components
+from vellum.llm.components import components, contractions
 from vellum.llm.hashing import shingle_sets
 from vellum.llm.jaccard import join_ngrams
 
@@ -91,7 +92,52 @@ def test_shingle_hashes_are_equal_just_as_shingles_are():
             assert seen.setdefault(next(iter(want)), got[0]) == got[0]
 
 
-def test_components_of_a_long_chain(spark):
-    links = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (103, 102), (5, 5)]
+def test_versions_numbered_at_random_form_one_group(spark):
+    """Each text is like its neighbours in the chain only; the numbering doesn't follow the chain."""
+    words = ["w%d" % i for i in range(100 + 4 * 300)]
+    ids = random.Random(3).sample(range(10_000), 300)
+    docs = [(ids[i], " ".join(words[4 * i : 4 * i + 100])) for i in range(300)]
+    want = brute(docs, 4, 85)
+    assert {c for _, _, c in want} == {min(ids)}
+    assert result(spark, docs, width=4, percent=85) == want
+
+
+def test_two_texts_of_one_id_with_equally_many_shingles(spark):
+    rng = random.Random(8)
+    first, second = (["%s%d" % (x, rng.randrange(10**6)) for _ in range(60)] for x in "ab")
+    near = lambda w, k: [*w[: 59 - k], "other", *w[60 - k :]]
+    docs = [(9, " ".join(first)), (9, " ".join(second))] + [(20 + k, " ".join(near(first, k))) for k in range(4)]
+    docs += [(40 + k, " ".join(near(second, k))) for k in range(4)]
+    for heavy in (2, 40):
+        assert {c for _, _, c in result(spark, docs, width=4, percent=85, heavy=heavy)} == {9}
+
+
+def graph(name, n):
+    ids = random.Random(n).sample(range(10 * n), n)
+    pairs = {
+        "path": [(i, i + 1) for i in range(n - 1)],
+        "star": [(n // 2, i) for i in range(n)],
+        "grid": [(i, j) for i in range(n) for j in (i + 1, i + 40) if j < n and (j > i + 1 or j % 40)],
+        "pairs": [(i, i + 1) for i in range(0, n - 1, 2)],
+    }[name]
+    return ids, [(ids[a], ids[b]) for a, b in pairs]
+
+
+@pytest.mark.parametrize("name, n", [("path", 1000), ("path", 10_000), ("star", 3000), ("grid", 1600), ("pairs", 500)])
+def test_components_take_logarithmic_rounds(spark, name, n):
+    ids, links = graph(name, n)
+    table = spark.createDataFrame(links, "a long, b long")
+    assert len(list(contractions(table))) <= 2 * math.log2(n)
+    found = {r.node: r.component for r in components(table).collect()}
+    if name == "pairs":
+        assert found == {x: min(ids[i & ~1], ids[i | 1]) for i, x in enumerate(ids)}
+    else:
+        assert found == dict.fromkeys(ids, min(ids))
+
+
+def test_components_of_loops_nulls_and_nothing(spark):
+    links = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (103, 102), (5, 5), (7, 7), (200, 200), (None, 3), (4, None), (100, 101)]
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert found == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 102, 103: 102}
+    assert found == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 102, 103: 102, 200: 200}
+    loops = spark.createDataFrame([(5, 5), (6, 6), (6, 6)], "a long, b long")
+    assert sorted(map(tuple, components(loops).collect())) == [(5, 5), (6, 6)] and components(loops.limit(0)).count() == 0

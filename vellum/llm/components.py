@@ -2,34 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import stored
+from vellum.llm.shared import counted, sized, stored
+
+#: Hooks that a node follows in one round, as a power of two.
+JUMPS = 2
+
+
+def priority(node: Column, turn: int) -> Column:
+    return F.xxhash64(node, F.lit(turn))
+
+
+def contractions(links: DataFrame) -> Iterator[DataFrame]:
+    """node, label of the nodes that are left, round by round, until no link is.
+
+    Every node hooks to its neighbour of least priority if that is less than its own; priorities are hashes, new in each round, so
+    chains of hooks are short whatever the numbering. A node's label is what some hooks lead to. Then links are drawn between
+    labels: that is the image of the graph, whose components are the same. As at most half of the nodes are expected to be
+    without a hook, the nodes that are left shrink by a constant factor a round.
+    """
+    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    edges, n = counted(edges, "links")
+    turn = 0
+    while n:
+        both = edges.union(edges.select("b", "a"))
+        near = both.groupBy("a").agg(F.min_by("b", priority(F.col("b"), turn)).alias("near"))
+        hooked = priority(F.col("near"), turn) < priority(F.col("a"), turn)
+        labels = stored(near.select(F.col("a").alias("node"), F.when(hooked, F.col("near")).otherwise(F.col("a")).alias("label")), "hooks")
+        labels = sized(labels)
+        for _ in range(JUMPS):
+            further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            labels = labels.join(further, "label").select("node", F.col("further").alias("label"))
+        labels = sized(stored(labels, "labels"))
+        yield labels
+        moved = edges
+        for side in ("a", "b"):
+            moved = moved.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side)
+        ends = F.least("a_label", "b_label"), F.greatest("a_label", "b_label")
+        moved = moved.where("a_label <> b_label").select(ends[0].alias("a"), ends[1].alias("b")).distinct()
+        edges, n = counted(moved, "links")
+        turn += 1
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component: for each node of links (a, b), the least node it is connected with.
 
-    Each round gives every node the least label among itself and its neighbours, then the label of its label
-    (pointer jumping); the labels are written to the shared folder, and only a count of changes reaches the driver.
+    Rounds grow with the logarithm of the number of nodes, also on paths numbered at random. A node is in the tables of a round
+    only as long as it stands for others; what reaches the driver are numbers of links. Links are distinct, so a hub's links
+    meet it in joins whose other side has one row for each node: skewed partitions are split. A null end links nothing.
     """
-    both = stored(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
-    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(rounds):
-        near = (
-            both.join(labels, both.b == labels.node)
-            .groupBy("a")
-            .agg(F.min("component").alias("near"))
-        )
-        lower = labels.join(near, labels.node == near.a).select(
-            "node", F.col("component").alias("old"), F.least("component", "near").alias("mid")
-        )
-        jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("further"))
-        after = stored(
-            lower.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("further", "mid")).alias("component")), "labels"
-        )
-        labels = after.select("node", "component")
-        if not after.where("old <> component").limit(1).count():
-            return labels
-    raise RuntimeError("components: labels still change")
+    rounds = list(contractions(links.where("a is not null and b is not null")))
+    if not rounds:
+        ends = links.select(F.col("a").alias("node")).union(links.select("b")).where("node is not null").distinct()
+        return ends.select("node", F.col("node").alias("component"))
+    found = rounds[-1]
+    for labels in reversed(rounds[:-1]):  # where a round's labels lead in later ones
+        later = found.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        found = labels.join(later, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+    found = stored(found, "roots")
+    least = found.groupBy("label").agg(F.min("node").alias("component"))
+    linked = found.join(least, "label").select("node", "component")
+    loops = links.where("a = b").select(F.col("a").alias("node")).distinct().join(linked, "node", "left_anti")
+    return linked.union(loops.select("node", F.col("node").alias("component")))

@@ -58,39 +58,58 @@ def both_share(n_a: Column, n_b: Column, percent: int) -> Column:
     return F.ceil((n_a + n_b) * percent / (100 + percent))
 
 
+def set_digest(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def set_number(digest: bytes) -> int:
+    """Tells apart the sets of one doc_id."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def set_rows(width: int, percent: int):
-    """Of batches of (doc_id, text): doc_id, number of tokens, digest of the set, list of first tokens by hash."""
+    """Of batches of (doc_id, text): doc_id, number of tokens, digest of the set, its number, list of first tokens by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            n, digests, lists = [], [], []
+            n, digests, own, lists = [], [], [], []
             for tokens in shingle_sets(batch.column(1).to_pylist(), width):
                 n.append(len(tokens))
-                digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).hexdigest() if len(tokens) else None)
+                digest = set_digest(tokens)
+                digests.append(digest.hex() if len(tokens) else None)
+                own.append(set_number(digest))
                 lists.append(tokens[: prefix_length(len(tokens), percent) + len(tokens) * MORE // 100])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(lists, pa.list_(pa.int64()))],
-                ["doc_id", "n", "digest", "list"],
+                [
+                    batch.column(0),
+                    pa.array(n, pa.int64()),
+                    pa.array(digests, pa.string()),
+                    pa.array(own, pa.int64()),
+                    pa.array(lists, pa.list_(pa.int64())),
+                ],
+                ["doc_id", "n", "digest", "own", "list"],
             )
 
     return run
 
 
 def whole_sets(width: int, percent: int):
-    """Of batches of (doc_id, text): node, n, tokens (all, 8 bytes each), and prefixes under the other orders."""
+    """Of batches of (doc_id, text): node, n, own, tokens (all, 8 bytes each), and prefixes under the other orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            n, whole, others = [], [], [[], []]
+            n, own, whole, others = [], [], [], [[], []]
             for tokens in shingle_sets(batch.column(1).to_pylist(), width):
                 n.append(len(tokens))
+                own.append(set_number(set_digest(tokens)))
                 whole.append(tokens.tobytes())
                 p = prefix_length(len(tokens), percent)
                 for seed, out in zip(SEEDS, others, strict=True):
                     out.append(np.sort(mixed(tokens.view(np.uint64) ^ seed))[:p].view(np.int64))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in others]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(whole, pa.binary()), *lists], ["node", "n", "tokens", "second", "third"]
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(whole, pa.binary()), *lists],
+                ["node", "n", "own", "tokens", "second", "third"],
             )
 
     return run
@@ -137,23 +156,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def light_candidates(reps: DataFrame, percent: int, heavy: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) with a light member, and the dense nodes. reps: node, n, list."""
-    postings = reps.select("node", "n", F.posexplode("list").alias("rank", "token"))
+    """Candidate pairs (a, b) with a light member, and the dense nodes. reps: node, n, own, list."""
+    postings = reps.select("node", "n", "own", F.posexplode("list").alias("rank", "token"))
     frequent = postings.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
     shared = postings.join(frequent, "token")
-    before = Window.partitionBy("node", "n").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("node", "own").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     p = prefix_column(F.col("n"), percent)
     placed = stored(
         shared.withColumn("heavy", F.col("f") >= heavy)
         .withColumn("light_rank", F.col("rank") - F.coalesce(F.sum(F.col("heavy").cast("int")).over(before), F.lit(0)))
-        .select("node", "n", "token", "rank", "light_rank", "heavy"),
+        .select("node", "n", "own", "token", "rank", "light_rank", "heavy"),
         "postings",
     )
     # a set is dense if more of its tokens are heavy, before its p-th light one, than any partner's list has to spare
     spare = F.floor(F.floor(F.col("n") * percent / 100) * MORE / 100)
     dense = (
         placed.where(F.col("heavy") & (F.col("light_rank") < p))
-        .groupBy("node", "n")
+        .groupBy("node", "n", "own")
         .agg(F.count("*").alias("heavies"))
         .where(F.col("heavies") > spare)
         .select("node")
@@ -183,15 +202,16 @@ def dense_postings(sets: DataFrame, dense: DataFrame, percent: int) -> DataFrame
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, n, whole in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for *row, whole in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 each = np.frombuffer(whole, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.full(len(each), node)), pa.array(np.full(len(each), n))], ["token", "node", "n"])
+                same = [pa.array(np.full(len(each), x)) for x in row]
+                yield pa.RecordBatch.from_arrays([pa.array(each), *same], ["token", "node", "n", "own"])
 
-    postings = sets.join(dense, "node", "left_semi").select("node", "n", "tokens").mapInArrow(tokens, "token long, node long, n long")
+    postings = sets.join(dense, "node", "left_semi").select("node", "n", "own", "tokens").mapInArrow(tokens, "token long, node long, n long, own long")
     frequency = postings.groupBy("token").agg(F.count("*").alias("f"))
-    order = Window.partitionBy("node", "n").orderBy("f", "token")
+    order = Window.partitionBy("node", "own").orderBy("f", "token")
     ranked = postings.join(frequency, "token").withColumn("rank", F.row_number().over(order))
-    ranked = ranked.withColumn("rare", F.sum((F.col("f") == 1).cast("int")).over(Window.partitionBy("node", "n")) / F.col("n"))
+    ranked = ranked.withColumn("rare", F.sum((F.col("f") == 1).cast("int")).over(Window.partitionBy("node", "own")) / F.col("n"))
     return ranked.where((F.col("rank") <= prefix_column(F.col("n"), percent)) & (F.col("f") > 1)).select("token", "node", "n", "rank", "rare")
 
 
@@ -242,7 +262,7 @@ def join_ngrams(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int =
     columns are not read. An empty table gives an empty result.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(read.mapInArrow(set_rows(width, percent), "doc_id long, n long, digest string, list array<long>"), "sets")
+    rows = stored(read.mapInArrow(set_rows(width, percent), "doc_id long, n long, digest string, own long, list array<long>"), "sets")
     named = rows.where("digest is not null and doc_id is not null")
     counted = stored(named.groupBy("digest", "doc_id").agg(F.count("*").alias("times")), "named")
     reps = stored(counted.groupBy("digest").agg(F.min("doc_id").alias("node")), "reps")
@@ -251,11 +271,11 @@ def join_ngrams(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int =
     once = lambda df, *names: df.dropDuplicates([*names]) if repeated else df
 
     lists = named.join(sized(copies), ["doc_id", "digest"], "left_anti")
-    lists = once(lists, "doc_id", "digest").select(F.col("doc_id").alias("node"), "n", "list")
+    lists = once(lists, "doc_id", "digest").select(F.col("doc_id").alias("node"), "n", "own", "list")
     candidates, dense = light_candidates(lists, percent, heavy)
     candidates = stored(candidates, "candidates")
     wanted = stored(candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).union(dense).distinct(), "wanted")
-    schema = "node long, n long, tokens binary, second array<long>, third array<long>"
+    schema = "node long, n long, own long, tokens binary, second array<long>, third array<long>"
     sets = read.join(sized(wanted), "doc_id", "left_semi").mapInArrow(whole_sets(width, percent), schema)
     sets = stored(once(sets, "node", "tokens"), "whole-sets")
     links = verified(candidates, sets, percent)
@@ -266,11 +286,12 @@ def join_ngrams(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int =
     several = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most")
     same_id = nodes.join(several, "doc_id").select("a", F.col("node").alias("b"))
     found = reps.select("digest", "node").join(components(links.union(same_id)), "node", "left")
-    return (
-        rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-        .join(found.select("digest", F.coalesce("component", "node").alias("component")), "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    )
+    component = found.select("digest", F.coalesce("component", "node").alias("component"))
+    linked = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
+    # rows that are linked with nothing have nothing to look up; as one null key they would meet in one task
+    alone = rows.where(~linked).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    others = rows.where(linked).select("doc_id", F.col("n").alias("n_shingles"), "digest").join(component, "digest")
+    return others.select("doc_id", "n_shingles", F.col("component").alias("component_id")).union(alone)
 
 
 def apart(postings: DataFrame, found: DataFrame) -> DataFrame:

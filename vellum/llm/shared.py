@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but these six characters.
@@ -49,6 +49,12 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, what: str) -> tuple[DataFrame, int]:
+    """stored(df), and its number of rows, taken while it is written."""
+    rows = Observation()
+    return stored(df.observe(rows, F.count(F.lit(1)).alias("n")), what), rows.get["n"]
+
+
 #: Rows of a few numbers or short strings that may be broadcast: tens of megabytes.
 FEW = 500_000
 
