@@ -7,10 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import counted, sized, stored
-
-#: Hooks that a node follows in one round, as a power of two.
-JUMPS = 2
+from vellum.llm.shared import counted, small, stored
 
 
 def priority(node: Column, turn: int) -> Column:
@@ -21,7 +18,7 @@ def contractions(links: DataFrame) -> Iterator[DataFrame]:
     """node, label of the nodes that are left, round by round, until no link is.
 
     Every node hooks to its neighbour of least priority if that is less than its own; priorities are hashes, new in each round, so
-    chains of hooks are short whatever the numbering. A node's label is what some hooks lead to. Then links are drawn between
+    chains of hooks are short whatever the numbering. A node's label is what two hooks lead to. Then links are drawn between
     labels: that is the image of the graph, whose components are the same. As at most half of the nodes are expected to be
     without a hook, the nodes that are left shrink by a constant factor a round.
     """
@@ -32,12 +29,9 @@ def contractions(links: DataFrame) -> Iterator[DataFrame]:
         both = edges.union(edges.select("b", "a"))
         near = both.groupBy("a").agg(F.min_by("b", priority(F.col("b"), turn)).alias("near"))
         hooked = priority(F.col("near"), turn) < priority(F.col("a"), turn)
-        labels = stored(near.select(F.col("a").alias("node"), F.when(hooked, F.col("near")).otherwise(F.col("a")).alias("label")), "hooks")
-        labels = sized(labels)
-        for _ in range(JUMPS):
-            further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-            labels = labels.join(further, "label").select("node", F.col("further").alias("label"))
-        labels = sized(stored(labels, "labels"))
+        hooks = near.select(F.col("a").alias("node"), F.when(hooked, F.col("near")).otherwise(F.col("a")).alias("label"))
+        further = hooks.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        labels = small(*counted(hooks.join(further, "label").select("node", F.col("further").alias("label")), "labels"))
         yield labels
         moved = edges
         for side in ("a", "b"):

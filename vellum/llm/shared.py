@@ -59,9 +59,14 @@ def counted(df: DataFrame, what: str) -> tuple[DataFrame, int]:
 FEW = 500_000
 
 
+def small(df: DataFrame, n: int, rows: int = FEW) -> DataFrame:
+    """df, a table of n short rows, marked for broadcast if they are few; else joins with it are shuffled."""
+    return F.broadcast(df) if n <= rows else df
+
+
 def sized(df: DataFrame, rows: int = FEW) -> DataFrame:
-    """df, a stored table of short rows, marked for broadcast if it is small; else joins with it are shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """small() of a stored table whose rows aren't counted yet."""
+    return small(df, df.count(), rows)
 
 
 def words(text: Column) -> Column:
