@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import lower_ascii, sized, stored, table, words
+from vellum.llm.shared import fresh, lower_ascii, row_key, sized, stored, table, words
 
 WIDTH = 5
 #: Containment as a fraction, for integer arithmetic.
@@ -48,12 +48,6 @@ def needed(n: Column) -> Column:
     return F.floor((n * SHARE[0] + SHARE[1] - 1) / SHARE[1]).cast("int")
 
 
-def row_key() -> Column:
-    """Names a row by what it says: doc_id and text; equal rows share a name."""
-    text = F.coalesce("text", F.lit(""))
-    return F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text), 256)
-
-
 def item_key() -> Column:
     """Names an item by item_id and text. Should two items share a name, each is verified by its own text."""
     return F.xxhash64("item_id", "text").alias("item")
@@ -110,8 +104,9 @@ def contained_items(docs: DataFrame, items: DataFrame, *, by_row: bool = False)
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows that contain an item; all columns stay."""
-    hit = contained_items(docs, items, by_row=True).select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", row_key()).join(hit, "_key", "left_anti").select(*docs.columns)
+    key = fresh(docs, "row_key")
+    hit = contained_items(docs, items, by_row=True).select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, row_key()).join(sized(stored(hit, "hits")), key, "left_anti").select(*docs.columns)
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

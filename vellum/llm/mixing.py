@@ -67,12 +67,24 @@ def mix_sources(docs: DataFrame, *keep: str, seed: int = 7, weights: list[int] =
 
     A null text has size 0. A null source is a source of its own, the last. Repeated rows are documents
     of their own, as are rows with a null doc_id. A source without words has target 0 and no copies.
-    Reruns agree: the offset and the cells are hashes, ties in the order are between equal rows. An empty table gives an empty result.
+    Reruns agree: the offset and the cells are hashes (of doc_id, without it of the text), ties in the order are between equal rows. An empty table gives an empty result.
     """
-    sized = stored(
-        docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
-        "mix-sizes",
-    )
+    sized = stored(docs.select("doc_id", "source", *keep, size_of("text").alias("size"), text_hash().alias("salt")), "mix-sizes")
+    return mix_sized(sized, *keep, seed=seed, weights=weights, most=most, cell=cell)
+
+
+def size_of(text: str):
+    """Words of a text."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def text_hash():
+    """Deals rows without doc_id to cells; null for others."""
+    return F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
+def mix_sized(sized: DataFrame, *keep: str, seed: int = 7, weights: list[int] = WEIGHTS, most: int = MOST, cell: int = CELL) -> DataFrame:
+    """mix_sources() of a stored table of doc_id, source, size, salt (text_hash()) and the columns in keep."""
     key = lambda side: [F.col(f"{side}.source").isNull(), F.coalesce(F.col(f"{side}.source"), F.lit(""))]
     same = lambda a, b: [x == y for x, y in zip(key(a), key(b), strict=True)]
     sources = source_targets(sized, weights, most).withColumns(
@@ -85,8 +97,8 @@ def mix_sources(docs: DataFrame, *keep: str, seed: int = 7, weights: list[int] =
     numbered = (
         sized.alias("d")
         .join(sources.alias("s"), same("d", "s"))
-        .select("d.doc_id", "d.source", "d.size", *(f"d.{c}" for c in keep), "s.source_size", "s.target", "s.step", "s.offset", "s.n_cells")
-        .withColumn("cell", F.floor(fraction(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed) * F.col("n_cells")))
+        .select("d.doc_id", "d.source", "d.size", "d.salt", *(f"d.{c}" for c in keep), "s.source_size", "s.target", "s.step", "s.offset", "s.n_cells")
+        .withColumn("cell", F.floor(fraction(F.coalesce(F.col("doc_id").cast("string"), "salt", F.lit("")), seed) * F.col("n_cells")))
         .withColumn("n", F.row_number().over(Window.partitionBy("source", "cell").orderBy("size", "doc_id")))
     )
     ahead = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,7 +124,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH sized AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS named,
     CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 weighted AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs,
@@ -138,7 +150,7 @@ steps AS (
 numbered AS (
   SELECT d.doc_id, d.source, d.size, s.source_size, s.target, s.step, s.offs,
     row_number() OVER (PARTITION BY d.source ORDER BY
-      floor(CAST('0x' || md5('7:' || coalesce(CAST(d.doc_id AS VARCHAR), ''))[1:8] AS BIGINT) / 4294967296.0::DOUBLE * s.n_cells),
+      floor(CAST('0x' || md5('7:' || d.named)[1:8] AS BIGINT) / 4294967296.0::DOUBLE * s.n_cells),
       d.size, d.doc_id) AS n
   FROM sized d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source)
 SELECT doc_id, size, source_size, target,

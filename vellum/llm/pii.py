@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import span_list, stored, table
+from vellum.llm.shared import fresh, row_key, span_list, stored, table
 
 #: The base expressions, in the order of kinds. \G lets a match begin where the last one ended.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -216,10 +216,10 @@ def redact(docs: DataFrame) -> DataFrame:
     All rows and columns stay. Overlapping spans are replaced as one, from the first start to the last end, by the kind
     that starts first (of those that start together, the one that ends first). A text without spans is unchanged, as is a null one. Rows are matched by doc_id and text, so null and repeated ids do no harm.
     """
-    key = F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256)
-    keyed = docs.withColumn("_key", key)
-    found = find_pii(keyed, "_key").where(F.size("spans") > 0)
-    spans = found.groupBy("_key").agg(F.first("spans").alias("_spans"))
+    key, found_spans, cut = (fresh(docs, name) for name in ("row_key", "pii_spans", "pii_cut"))
+    keyed = docs.withColumn(key, row_key())
+    found = find_pii(keyed, key).where(F.size("spans") > 0)
+    spans = found.groupBy(key).agg(F.first("spans").alias(found_spans))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
 
     def with_span(done: Column, s: Column) -> Column:
@@ -229,22 +229,22 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.when(apart, F.array_append(done, s)).otherwise(F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), union))
 
     disjoint = F.aggregate(
-        F.sort_array(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
+        F.sort_array(F.transform(found_spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
         none,
         with_span,
     )
-    end_before = lambda i: F.coalesce(F.get("_cut", i - 1)["end"], F.lit(0))
+    end_before = lambda i: F.coalesce(F.get(cut, i - 1)["end"], F.lit(0))
     kept = F.transform(
-        "_cut",
+        cut,
         lambda s, i: F.concat(
             F.substring("text", end_before(i) + 1, s["start"] - end_before(i)), F.lit("["), F.upper(s["kind"]), F.lit("]")
         ),
     )
-    masked = F.concat(F.array_join(kept, ""), F.expr("substring(text, element_at(_cut, -1).end + 1)"))
-    out = keyed.join(spans, "_key", "left").withColumn("_cut", F.when(F.col("_spans").isNotNull(), disjoint))
-    out = out.withColumn("text", F.when(F.col("_cut").isNotNull(), masked).otherwise(F.col("text")))
+    masked = F.concat(F.array_join(kept, ""), F.substring("text", F.element_at(cut, -1)["end"] + 1, F.length("text")))
+    out = keyed.join(spans, key, "left").withColumn(cut, F.when(F.col(found_spans).isNotNull(), disjoint))
+    out = out.withColumn("text", F.when(F.col(cut).isNotNull(), masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(cut).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

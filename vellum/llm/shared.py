@@ -69,6 +69,21 @@ def sized(df: DataFrame, rows: int = FEW) -> DataFrame:
     return small(df, df.count(), rows)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a column that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(*more: str) -> Column:
+    """Names a row by what it says: doc_id, text and more columns, by SHA-256; equal rows share a name."""
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", *more, "text")]
+    nulls = [F.col(c).isNull().cast("string") for c in ("doc_id", *more)]
+    return F.sha2(F.concat_ws("\x1f", *nulls, *fields), 256)
+
+
 def words(text: Column) -> Column:
     """The words of a text, [] for null or blank ones."""
     kept = F.btrim(text, F.lit(SPACES))
