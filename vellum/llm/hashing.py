@@ -47,7 +47,7 @@ def raw_values() -> np.ndarray:
 
 @cache
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse."""
+    """Powers of the base and of its inverse; those kept are of CHUNK only."""
     up, down = np.full(n, BASE, U), np.full(n, INVERSE, U)
     up[0] = down[0] = 1
     with np.errstate(over="ignore"):
@@ -59,19 +59,29 @@ IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def word_hashes(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, with A-Z in lower case, and the number of words of each text."""
+    """Hashes of all words, with A-Z in lower case, and the number of words of each text.
+
+    Prefix sums begin anew with each part of about CHUNK bytes, as a hash doesn't depend on its place; a part ends with a
+    word, so that only a word longer than that makes a longer one.
+    """
     data = np.frombuffer(b" ".join([*encoded, b""]), np.uint8)
-    n = len(data)
-    up, down = powers(max(CHUNK, 1 << (n - 1).bit_length()) if n > 1 else 2)
     space = IS_SPACE[data]
     edge = np.flatnonzero(np.diff(space, prepend=True))
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
         return np.empty(0, U), np.zeros(len(encoded), np.int64)
-    with np.errstate(over="ignore"):
-        sums = np.cumsum(byte_values()[data] * up[:n])
-        before = np.where(starts > 0, sums[starts - 1], U(0))
-        hashes = mixed((sums[ends - 1] - before) * down[starts])
+    hashes = np.empty(len(starts), U)
+    at = 0
+    while at < len(starts):
+        begin = starts[at]
+        to = max(int(np.searchsorted(ends, begin + CHUNK, "right")), at + 1)
+        here, there = starts[at:to] - begin, ends[at:to] - begin
+        part = data[begin : ends[to - 1]]
+        up, down = powers(CHUNK) if len(part) <= CHUNK else powers.__wrapped__(len(part))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, U), np.cumsum(byte_values()[part] * up[: len(part)])])
+            hashes[at:to] = mixed((sums[there] - sums[here]) * down[here])
+        at = to
     bounds = np.cumsum([len(e) + 1 for e in encoded])
     return hashes, np.diff(np.searchsorted(starts, bounds), prepend=0)
 

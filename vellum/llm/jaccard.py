@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.components import components
 from vellum.llm.hashing import mixed, shingle_sets
-from vellum.llm.shared import sized, stored, table
+from vellum.llm.shared import pieces, sized, stored, table
 
 HEAVY = 40
 PIVOT_ROUNDS = 3
@@ -46,13 +46,6 @@ def prefix_column(n: Column, percent: int) -> Column:
     return (n - F.ceil(n * percent / 100) + 1).cast("int")
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches cut into smaller ones, so that few rows are Python objects at a time."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def both_share(n_a: Column, n_b: Column, percent: int) -> Column:
     """How many tokens linked sets of these sizes have in common at least."""
     return F.ceil((n_a + n_b) * percent / (100 + percent))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import table
+from vellum.llm.shared import pieces, table
 
 #: n-grams in a profile, and of a document that are compared.
 PROFILE = 300
@@ -57,7 +57,7 @@ def most_frequent(grams: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
 
 
 def count_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lang in sorted(set(langs)):
             codes = np.concatenate([letter_codes(t) for x, t in zip(langs, texts, strict=True) if x == lang])
@@ -121,7 +121,7 @@ def identify_language(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataF
 
     def predict_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = predictor(profiles)
-        for batch in batches:
+        for batch in pieces(batches):
             found = [predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm.shared import table
+from vellum.llm.shared import pieces, table
 
 #: Keywords and expressions of the base kinds.
 ASSIGN_KEYWORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
@@ -95,7 +95,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keywords = automaton()
-    for batch in batches:
+    for batch in pieces(batches):
         rows = []
         for text in batch.column(1).to_pylist():
             spans = scan(text or "", keywords)

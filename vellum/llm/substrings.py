@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.hashing import gram_hashes
-from vellum.llm.shared import sized, stored, table
+from vellum.llm.shared import pieces, sized, stored, table
 
 WINDOW = 50
 GRAM = 24
@@ -98,7 +98,7 @@ def among(hashes: np.ndarray, some: np.ndarray) -> np.ndarray:
 
 def sampled_minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of batches of (doc_id, text): the minimizers, and at how many places they occur."""
-    for batch in batches:
+    for batch in pieces(batches):
         for _, starts, data in chunks(batch.column(0).to_pylist(), encoded(batch.column(1))):
             hashes, n = np.unique(minimizer_runs(starts, data)[3], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64), pa.int64()), pa.array(n, pa.int64())], ["hash", "n"])
@@ -108,7 +108,7 @@ def common_runs(common: np.ndarray):
     """Of batches of (doc_id, text, key): the runs of windows of common minimizers, with their places and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             ids_keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
             for ids, starts, data in chunks(ids_keys, encoded(batch.column(1))):
                 text, first, last, hashes = minimizer_runs(starts, data)
@@ -132,7 +132,7 @@ def minimizers(buckets: int, common: np.ndarray):
     """Of batches of (doc_id, text): packed minimizers by bucket but for common ones, hashes and documents of equal length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             for ids, starts, data in chunks(batch.column(0).to_pylist(), encoded(batch.column(1))):
                 text, _, _, hashes = minimizer_runs(starts, data)
                 order = np.lexsort((text, hashes))
@@ -187,7 +187,7 @@ def windows_to_compare(buckets: int):
     by bucket: packed doc_id, key, start and length, and the bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             shared = {}
             for doc, packed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 shared[doc] = np.sort(np.frombuffer(b"".join(packed), np.uint64))
@@ -276,7 +276,7 @@ def repeated_runs(group: pa.Table) -> pa.Table:
 
 def without_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of batches of (doc_id, text, copy, key, keys, starts, ends): what is removed and what is left."""
-    for batch in batches:
+    for batch in pieces(batches):
         rows = []
         for text, copy, own, keys, starts, ends in zip(*(batch.column(k).to_pylist() for k in range(1, 7)), strict=True):
             text = (text or "").encode("utf-8", "surrogatepass")
