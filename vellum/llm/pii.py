@@ -1,9 +1,10 @@
 """Personal data: base expressions, and bootstrapped contextual extraction of what they miss.
 
 The base spans are the seeds. The words around seeds are lexical patterns; patterns and the identifiers they
-surround form a bipartite graph over the whole corpus. Each round scores a pattern by the share of its
-identifiers that are known, identifiers by their best pattern, and takes those above a threshold as
-known for the next round. Identifiers in contexts of the patterns so found are added as spans.
+surround form a bipartite graph over the whole corpus. Seeds score 1, any other identifier what the best accepted pattern
+around it scores, or 0. A pattern scores the mean of its identifiers, and is accepted with the score it then has, if that
+is high enough and enough different identifiers stand behind it. Rounds go on until no further pattern is accepted; as scores
+of identifiers only rise, that is the one fixed point. Identifiers in contexts of accepted patterns are added as spans.
 
 Places of matches come from two facts: split() and regexp_extract_all() walk a text in the same way,
 so a match starts after the pieces and matches before it. The expressions are possessive where that
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import fresh, row_key, span_list, stored, table
+from vellum.llm.shared import SPACE_RUN, SPACES, counted, fresh, row_key, small, span_list, stored, table
 
 #: The base expressions, in the order of kinds. \G lets a match begin where the last one ended.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -30,10 +31,10 @@ PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IDENTIFIER = (
     r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D@]*+@|(?:[^\x20\x09-\x0D0-9]*+[0-9]){6})[^\x20\x09-\x0D]++"
 )
-CONTEXT_CHARS = 60
-ROUNDS = 2
-#: A pattern counts if it surrounds so many different known identifiers, and so large a share of its own is known.
-LEAST_KNOWN, LEAST_SHARE = 3, 0.8
+#: A pattern is accepted if it surrounds so many different identifiers of a score above zero, and at this mean score.
+LEAST_KNOWN, LEAST_SCORE = 3, 0.8
+#: Identifiers and patterns longer than this stand in the graph by their SHA-256.
+LONGEST = 64
 BLOCK = 256
 
 
@@ -64,7 +65,7 @@ NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 def with_matches(df: DataFrame, name: str, pattern: str, needs: str = "") -> DataFrame:
     """Adds <name>: array<struct<start, end, text, before, after>> of the pattern's matches in text.
 
-    before and after are the text up to the last match and up to the next one. Prefix sums go by blocks, so that a
+    before and after are the text back to the last match and up to the next one. Prefix sums go by blocks, so that a
     text with very many matches takes little more than linear time.
     """
     found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
@@ -122,9 +123,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
         lambda m: F.struct(
             m["start"].alias("start"),
             m["end"].alias("end"),
-            F.lower(m["text"]).alias("text"),
-            F.right(m["before"], F.lit(CONTEXT_CHARS)).alias("before"),
-            F.left(m["after"], F.lit(CONTEXT_CHARS)).alias("after"),
+            short(F.lower(m["text"])).alias("text"),
+            lexical_patterns(m["before"], m["after"]).alias("patterns"),
         ),
     )
     counts = {f"n_{kind}": F.size(f"_{kind}").cast("long") for kind in KINDS}
@@ -133,37 +133,42 @@ def base_spans(docs: DataFrame) -> DataFrame:
     )
 
 
+def short(x: Column) -> Column:
+    return F.when(F.length(x) <= LONGEST, x).otherwise(F.sha2(x, 256))
+
+
 def lexical_patterns(before: Column, after: Column) -> Column:
-    """The two words before; the word before and the word after. Digits are folded; a missing word gives no pattern."""
-    folded = lambda x: F.regexp_replace(F.lower(x), "[0-9]+", "0")
-    left, right = F.split(F.rtrim(folded(before)), r"[\x20\x09-\x0D]+"), F.split(F.ltrim(folded(after)), r"[\x20\x09-\x0D]+")
-    one, two, nxt = F.element_at(left, -1), F.get(left, F.size(left) - 2), F.element_at(right, 1)
-    some = lambda x: F.nullif(x, F.lit(""))
-    return F.array_compact(
-        F.array(
-            F.concat(F.lit("b2 "), some(two), F.lit(" "), some(one)),
-            F.concat(F.lit("ba "), some(one), F.lit(" "), some(nxt)),
-            F.concat(F.lit("b1 "), some(one)),
-        )
-    )
+    """The two words before; the word before and the word after; the word before. Words are whole, digits in them folded; a missing
+    word (also where an identifier stands in its place) gives no pattern."""
+    folded = lambda x: F.nullif(F.regexp_replace(F.lower(x), "[0-9]+", "0"), F.lit(""))
+    back = F.split(F.ltrim(F.reverse(before), F.lit(SPACES)), SPACE_RUN, 3)  # from the identifier on, as far as two words go
+    one, two = (folded(F.reverse(F.get(back, i))) for i in range(2))
+    nxt = folded(F.get(F.split(F.ltrim(after, F.lit(SPACES)), SPACE_RUN, 2), 0))
+    made = [("b2 ", two, one), ("ba ", one, nxt), ("b1 ", one)]
+    return F.array_compact(F.array(*(short(F.concat(F.lit(kind + " "), *(x for w in words for x in (w, F.lit(" "))))) for kind, *words in made)))
 
 
-def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Patterns that bootstrapping ends with. edges: distinct (pattern, identifier, known)."""
-    accepted = None
-    for _ in range(rounds):
-        if accepted is None:
-            known = edges
-        else:
-            reached = edges.join(accepted, "pattern").select("identifier").distinct().withColumn("reached", F.lit(True))
-            known = edges.join(reached, "identifier", "left").withColumn("known", F.col("known") | F.coalesce("reached", F.lit(False)))
-        accepted = (
-            known.groupBy("pattern")
-            .agg(F.sum(F.col("known").cast("int")).alias("n_known"), F.count("*").alias("n"))
-            .where((F.col("n_known") >= LEAST_KNOWN) & (F.col("n_known") >= LEAST_SHARE * F.col("n")))
-            .select("pattern")
-        )
-    return accepted
+def trusted_patterns(edges: DataFrame) -> DataFrame:
+    """pattern, score of the patterns that bootstrapping ends with. edges, a stored table: distinct (pattern, identifier, seed).
+
+    A pattern that very many identifiers share meets its score in a join whose other side has one row for each pattern, and is broadcast
+    if these are few; else skewed partitions are split.
+    """
+    accepted, n = None, 0
+    while True:
+        scored = edges.withColumn("score", F.col("seed").cast("double"))
+        if accepted is not None:
+            reached = edges.join(accepted, "pattern").groupBy("identifier").agg(F.max("score").alias("reached"))
+            scored = scored.join(reached, "identifier", "left").withColumn("score", F.greatest("score", F.coalesce("reached", F.lit(0.0))))
+        means = scored.groupBy("pattern").agg(F.sum((F.col("score") > 0).cast("int")).alias("known"), F.avg("score").alias("score"))
+        # a margin for the order of sums, so that a mean at the bound doesn't depend on it
+        passing = means.where((F.col("known") >= LEAST_KNOWN) & (F.col("score") >= LEAST_SCORE - 1e-9)).select("pattern", "score")
+        if accepted is not None:  # those accepted before keep the score they had
+            passing = accepted.union(passing.join(accepted, "pattern", "left_anti"))
+        before, (accepted, n) = n, counted(passing, "trusted")
+        accepted = small(accepted, n)
+        if n == before:
+            return accepted
 
 
 def find_pii(docs: DataFrame, *keep: str) -> DataFrame:
@@ -188,15 +193,15 @@ def find_pii(docs: DataFrame, *keep: str) -> DataFrame:
             F.col("c.start").alias("start"),
             F.col("c.end").alias("end"),
             F.col("c.text").alias("identifier"),
-            F.expr("exists(base, b -> b.start < c.end and c.start < b.end)").alias("known"),
-            F.explode(lexical_patterns(F.col("c.before"), F.col("c.after"))).alias("pattern"),
+            F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (F.col("c.start") < b["end"])).alias("seed"),
+            F.explode("c.patterns").alias("pattern"),
         ),
         "pii-instances",
     )
-    edges = instances.groupBy("pattern", "identifier").agg(F.max("known").alias("known"))
+    edges = stored(instances.groupBy("pattern", "identifier").agg(F.max("seed").alias("seed")), "pii-edges")
     added = (
-        instances.where(~F.col("known"))
-        .join(trusted_patterns(edges), "pattern")
+        instances.where(~F.col("seed"))
+        .join(trusted_patterns(edges).select("pattern"), "pattern")
         .select("row", F.struct(F.lit("context").alias("kind"), "start", "end").alias("span"))
         .groupBy("row")
         .agg(F.sort_array(F.collect_set("span")).alias("added"))
