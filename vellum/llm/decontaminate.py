@@ -23,6 +23,8 @@ WIDTH = 5
 SHARE = (4, 5)
 #: Sketch entries (hash, item, size; 24 bytes each) are broadcast up to this number; beyond it, the join is shuffled.
 BROADCAST_ENTRIES = 500_000
+#: Bytes of item texts up to which their shingles (WIDTH times as long) are broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def with_words(df: DataFrame) -> DataFrame:
@@ -89,6 +91,9 @@ def contained_items(docs: DataFrame, items: DataFrame, *, by_row: bool = False)
     )
     candidates = sized(stored(candidates, "candidates"))
     spelled_items = with_words(items.select(item_key(), "item_id", "text")).select("item", "item_id", shingles(spelled).alias("item_shingles"))
+    # broadcast, texts aren't dealt by item; else they are, and what holds a frequent item is split as a skewed partition
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BROADCAST_BYTES:
+        spelled_items = F.broadcast(spelled_items)
     shared = F.size(F.array_intersect(shingles(spelled), F.col("item_shingles")))
     verified = (
         with_words(keyed.join(candidates, "key").select("key", "doc_id", "text", "item").join(spelled_items, "item"))

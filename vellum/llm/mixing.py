@@ -5,8 +5,9 @@ may. Each document of a source then has the same expected number of copies; thes
 fixed order, one random offset for each source is added, and a document is emitted once for each integer that its
 step crosses. The order puts documents of like size together, so a source's words come near its target.
 
-The prefix sum takes two levels: sources are cut into hash cells of about ``CELL`` documents, rows are
-numbered within cells, and cells are offset by the counts of those before. No task holds a whole source.
+The prefix sum takes three levels: sources are cut into hash cells of about ``CELL`` documents, rows are
+numbered within cells, and cells are offset by the counts of those before, in their block and in blocks before. No task holds
+a whole source.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from vellum.llm.shared import WORD, stored, table
 
 CELL = 2048
+#: Cells that are offset together: their sums are taken within blocks, then over the blocks of a source.
+BLOCK = 1024
 WEIGHTS = [5, 2, 1]
 MOST = 3
 
@@ -101,11 +104,15 @@ def mix_sized(sized: DataFrame, *keep: str, seed: int = 7, weights: list[int] =
         .withColumn("cell", F.floor(fraction(F.coalesce(F.col("doc_id").cast("string"), "salt", F.lit("")), seed) * F.col("n_cells")))
         .withColumn("n", F.row_number().over(Window.partitionBy("source", "cell").orderBy("size", "doc_id")))
     )
-    ahead = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = numbered.groupBy("source", "cell").agg(F.max("n").alias("n_cell")).withColumn("block", F.floor(F.col("cell") / BLOCK))
+    blocks = counts.groupBy("source", "block").agg(F.sum("n_cell").alias("n_block"))
+    ahead = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("earlier", F.coalesce(F.sum("n_block").over(ahead("source").orderBy("block")), F.lit(0)))
+    within = F.coalesce(F.sum("n_cell").over(ahead("c.source", "c.block").orderBy("c.cell")), F.lit(0))
     cells = (
-        numbered.groupBy("source", "cell")
-        .agg(F.max("n").alias("n_cell"))
-        .withColumn("earlier", F.coalesce(F.sum("n_cell").over(ahead), F.lit(0)))
+        counts.alias("c")
+        .join(blocks.alias("b"), [*same("c", "b"), F.col("c.block") == F.col("b.block")])
+        .select("c.source", "c.cell", (F.col("b.earlier") + within).alias("earlier"))
     )
     place = F.col("c.earlier") + F.col("d.n")
     upto = lambda k: F.floor(k * F.col("d.step") + F.col("d.offset"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import LOWER, UPPER, table
+from vellum.llm.shared import LOWER, UPPER, sized, stored, table
 
 PREFIX_HEX = 8
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -64,7 +64,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     judged = pages.drop("host", "path", "rule", "verdict").withColumns(
         {"host": url_host(F.col("url")), "path": url_path(F.col("url"))}
     )
-    sites = judged.select("host", "path").where(F.length("host") > 0).distinct()
+    placed = judged.where(F.length("host") > 0)
+    sites = placed.select("host", "path").distinct()
     expressions = (
         sites.select("host", "path", F.explode(shapes).alias("shape"))
         .where((labels(F.col("host")) >= F.col("shape.n_labels")) & (F.length("path") >= F.col("shape.n_path")))
@@ -87,7 +88,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
         .agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "action")).alias("best"))
         .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.action").alias("verdict"))
     )
-    return judged.join(hits, ["host", "path"], "left").fillna({"verdict": default})
+    # urls without host have nothing to look up; as one key they would meet in one task
+    without = judged.where(F.length("host") == 0).withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
+    looked_up = placed.join(sized(stored(hits, "url-hits")), ["host", "path"], "left")
+    return looked_up.unionByName(without).fillna({"verdict": default})
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
