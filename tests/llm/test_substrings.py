@@ -86,7 +86,7 @@ def test_no_group_holds_all_of_a_common_passage(spark, monkeypatch):
     firsts = docs.withColumn("key", F.xxhash64("text"))
     common = substrings.common_minimizers(firsts, 20)
     rows = firsts.select("doc_id", "text").mapInArrow(substrings.minimizers(64, common), "bucket int, hashes binary, docs binary").collect()
-    left = Counter(h for r in rows for h in np.frombuffer(r.hashes, np.uint64))
+    left = Counter(h for r in rows for h in np.frombuffer(r.hashes, np.uint32))
     assert len(common) > 5 and max(left.values()) < 20
     monkeypatch.setattr(substrings, "FEW_WINDOWS", 0)
     monkeypatch.setattr(substrings, "FEW_RUNS", 0)
@@ -103,10 +103,11 @@ def test_minimizers_of_few_documents_with_many_places_are_common(spark):
 
 
 def test_packed_ids():
-    for ids in ([5], [-3, 9], [7, 7 + (1 << 32) - 1], [0, 1 << 32], [-(1 << 63), (1 << 63) - 1, 0]):
+    ranges = ([5], [-3, 9], [7, 7, 7 + 255, 7 + 256], [1, 1 << 16, 2 << 16], [7, 7 + (1 << 32) - 1], [0, 1 << 32], [-(1 << 63), 0, (1 << 63) - 1], [-(1 << 63), (1 << 63) - 1])
+    for ids in ranges:
         ids = np.array(ids)
-        assert (substrings.unpacked_ids(substrings.packed_ids(ids), len(ids)) == ids).all()
-    assert len(substrings.packed_ids(np.arange(100))) == 408
+        assert (substrings.unpacked_ids(substrings.packed_ids(ids)) == ids).all()
+    assert len(substrings.packed_ids(np.arange(100))) == 108
 
 
 def test_one_id_with_two_texts(spark):

@@ -34,6 +34,8 @@ GRAM = 24
 HEAD = np.dtype([("doc", np.int64), ("key", np.int64), ("start", np.int32), ("length", np.uint8)])
 #: Bytes of text for each bucket of q-grams, about; the number of buckets follows the input.
 BUCKET_BYTES = 1 << 20
+#: The same for buckets of minimizers alone, which have a row for about 14 bytes of text.
+MINIMIZER_BUCKET_BYTES = 1 << 25
 CHUNK = 1 << 20
 #: From about so many places on, a minimizer is common. A sample of documents has ``SAMPLED`` of so many.
 COMMON, SAMPLED = 4096, 64
@@ -129,18 +131,19 @@ def common_runs(common: np.ndarray):
 
 
 def minimizers(buckets: int, common: np.ndarray):
-    """Of batches of (doc_id, text): packed minimizers by bucket but for common ones, hashes and documents of equal length."""
+    """Of batches of (doc_id, text): packed minimizers by bucket but for common ones, tags and documents of equal length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             for ids, starts, data in chunks(batch.column(0).to_pylist(), encoded(batch.column(1))):
                 text, _, _, hashes = minimizer_runs(starts, data)
-                order = np.lexsort((text, hashes))
-                hashes, text = hashes[order], text[order]
-                once = np.append(True, (np.diff(hashes) != 0) | (np.diff(text) != 0))
+                docs = ids[text].astype(np.int64)
+                order = np.lexsort((hashes, docs))
+                hashes, docs = hashes[order], docs[order]
+                once = np.append(True, (np.diff(hashes) != 0) | (np.diff(docs) != 0))
                 once &= ~among(hashes, common)
-                hashes, docs = hashes[once], ids[text[once]]
-                rows = [(b, hashes[at].tobytes(), packed_ids(docs[at].astype(np.int64))) for b, at in grouped(bucket_of(hashes, buckets))]
+                hashes, docs = hashes[once], docs[once]
+                rows = [(b, tags(hashes[at]).tobytes(), packed_ids(docs[at])) for b, at in grouped(bucket_of(hashes, buckets))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))],
                     ["bucket", "hashes", "docs"],
@@ -149,16 +152,21 @@ def minimizers(buckets: int, common: np.ndarray):
     return run
 
 
+def tags(hashes: np.ndarray) -> np.ndarray:
+    """The half of each hash that stands for it within a bucket; a chance equality lets a window through to be compared."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
 def packed_ids(ids: np.ndarray) -> bytes:
-    """The least id, then what the others have above it, in 4 bytes each where that will do, else in 8."""
-    least, most = ids.min(), ids.max()
-    above = (ids.view(np.uint64) - least.view(np.uint64)).astype(np.uint32 if int(most) - int(least) < 1 << 32 else np.uint64)
-    return least.tobytes() + above.tobytes()
+    """Ids in order: the first, the bytes that a step takes, and the steps from each to the next."""
+    steps = np.diff(ids.view(np.uint64))
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or steps.max(initial=0) < np.uint64(1 << 8 * w))
+    return ids[:1].tobytes() + bytes([width]) + steps.astype(f"u{width}").tobytes()
 
 
-def unpacked_ids(packed: bytes, n: int) -> np.ndarray:
-    above = np.frombuffer(packed, np.uint32 if len(packed) == 8 + 4 * n else np.uint64, offset=8).astype(np.uint64)
-    return (above + np.frombuffer(packed, np.uint64, 1)).view(np.int64)
+def unpacked_ids(packed: bytes) -> np.ndarray:
+    steps = np.frombuffer(packed, f"u{packed[8]}", offset=9).astype(np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(packed, np.uint64, 1), steps]), dtype=np.uint64).view(np.int64)
 
 
 def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
@@ -166,9 +174,9 @@ def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
 
 
 def shared_minimizers(group: pa.Table) -> pa.Table:
-    """The hashes of a bucket that several documents have, by document."""
-    hashes = joined(group["hashes"], np.uint64)
-    docs = np.concatenate([unpacked_ids(d, len(h) // 8) for d, h in zip(group["docs"].to_pylist(), group["hashes"].to_pylist(), strict=True)])
+    """The tags of a bucket that several documents have, by document."""
+    hashes = joined(group["hashes"], np.uint32)
+    docs = np.concatenate([unpacked_ids(d) for d in group["docs"].to_pylist()])
     order = np.argsort(hashes, kind="stable")
     hashes, docs = hashes[order], docs[order]
     first = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]))
@@ -183,21 +191,21 @@ def shared_minimizers(group: pa.Table) -> pa.Table:
 
 
 def windows_to_compare(buckets: int):
-    """Of batches of (doc_id, text, shared: list of packed hashes, key, copy): the bytes of all runs of windows of these minimizers,
+    """Of batches of (doc_id, text, shared: list of packed tags, key, copy): the bytes of all runs of windows of these minimizers,
     by bucket: packed doc_id, key, start and length, and the bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             shared = {}
             for doc, packed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                shared[doc] = np.sort(np.frombuffer(b"".join(packed), np.uint64))
+                shared[doc] = np.sort(np.frombuffer(b"".join(packed), np.uint32))
             ids_keys = list(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True))
             for ids, starts, data in chunks(ids_keys, encoded(batch.column(1))):
                 text, first, last, hashes = minimizer_runs(starts, data)
                 keep = np.zeros(len(text), bool)
                 cuts = np.searchsorted(text, np.arange(len(ids) + 1))
                 for i, doc in enumerate(ids[:, 0]):
-                    mine, theirs = hashes[cuts[i] : cuts[i + 1]], shared[int(doc)]
+                    mine, theirs = tags(hashes[cuts[i] : cuts[i + 1]]), shared[int(doc)]
                     at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
                     keep[cuts[i] : cuts[i + 1]] = theirs[at] == mine
                 text, first, last, hashes = text[keep], first[keep], last[keep], hashes[keep]
@@ -361,7 +369,7 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, common: in
     # the bound grows slowly with the input, so that the list of common minimizers stays short too
     hashes = common_minimizers(firsts, max(common, math.isqrt(total) // SAMPLED))
     shared = stored(
-        firsts.select("doc_id", "text").mapInArrow(minimizers(buckets, hashes), "bucket int, hashes binary, docs binary")
+        firsts.select("doc_id", "text").mapInArrow(minimizers(max(64, total // MINIMIZER_BUCKET_BYTES), hashes), "bucket int, hashes binary, docs binary")
         .groupBy("bucket")
         .applyInArrow(shared_minimizers, "doc_id long, shared binary")
         .groupBy("doc_id")
