@@ -137,6 +137,7 @@ def test_components_take_logarithmic_rounds(spark):
     n = 10_000
     rounds = len(list(contractions(spark.createDataFrame(graph("path", n)[1], "a long, b long"))))
     assert rounds <= math.log2(n)
+    assert len(list(contractions(spark.createDataFrame(graph("star", 3000)[1], "a long, b long")))) <= 2
 
 
 def test_components_of_loops_nulls_and_nothing(spark):

@@ -17,10 +17,12 @@ def priority(node: Column, turn: int) -> Column:
 def contractions(links: DataFrame) -> Iterator[DataFrame]:
     """node, label of the nodes that are left, round by round, until no link is.
 
-    Every node hooks to its neighbour of least priority if that is less than its own; priorities are hashes, new in each round, so
+    Every node hooks to its neighbour of least priority if that is less than its own; priorities are hashes, so
     chains of hooks are short whatever the numbering. A node's label is what two hooks lead to. Then links are drawn between
-    labels: that is the image of the graph, whose components are the same. As at most half of the nodes are expected to be
-    without a hook, the nodes that are left shrink by a constant factor a round.
+    labels: that is the image of the graph, whose components are the same. A node without a hook is less than its
+    neighbours; either one of them hooks to it, or all hook to lesser ones and it will hook to one of these next. So the nodes that are left
+    shrink by a constant factor in two rounds. Priorities stay the same, by which the middle of a star is its least node
+    from the second round on; they are drawn anew only if no link went, as where two hashes are equal.
     """
     edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     edges, n = counted(edges, "links")
@@ -38,8 +40,9 @@ def contractions(links: DataFrame) -> Iterator[DataFrame]:
             moved = moved.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side)
         ends = F.least("a_label", "b_label"), F.greatest("a_label", "b_label")
         moved = moved.where("a_label <> b_label").select(ends[0].alias("a"), ends[1].alias("b")).distinct()
+        before = n
         edges, n = counted(moved, "links")
-        turn += 1
+        turn += n == before
 
 
 def components(links: DataFrame) -> DataFrame:
