@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from vellum.plans import clinical  # noqa: F401 (registers its queries)
 from vellum.plans.catalogue import QUERIES, SQL
 
 

@@ -1,6 +1,9 @@
 """Invariants and planted faults of the clinical operators on small tables."""
 
 import hashlib
+import json
+import os
+import random
 from datetime import date, timedelta
 
 import pytest
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import scalars as S
 from vellum.functions import vocabulary as V
-from vellum.operators import deid, evaluate, external, generate, lineage, normalize, omop, quality_gate
+from vellum.operators import dataset, deid, evaluate, external, generate, lineage, normalize, omop, quality_gate
 from vellum.operators import relational as R
 from vellum.plans.catalogue import checkpointed
 from vellum.sources import io
@@ -39,11 +42,11 @@ def test_date_contamination_paraphrase_and_prefix(spark):
 
 
 def test_vitals(spark):
-    rows = [("Body weight", "154.3", "lb"), ("BP", "120/80", "mmHg"), ("bp", "high", None), ("hr", "70", None), ("Heart rate", "12d", "/min"), ("Body temperature", "98.6", "°F"), ("pulse", "60", None), ("Body height", "70", "parsec")]
+    rows = [("Body weight", "154.3", "lb"), ("BP", "120/80", "mmHg"), ("bp", "high", None), ("hr", "70", None), ("Heart rate", "12d", "/min"), ("Body temperature", "98.6", "°F"), ("pulse", "60", None), ("Body height", "70", "parsec"), ("bp", "120", "mmHg"), ("bp", " 130/85 ", None)]
     got = {(r.name, r.value_text, r.value_num, r.unit, r.matched) for r in normalize.normalize_vitals(spark.createDataFrame(rows, "name string, value string, unit string")).collect()}
     assert got == {
-        ("Body weight", None, 70.0, "kg", True), ("Blood pressure", "120/80", None, "mm[Hg]", True), ("Blood pressure", "high", None, None, False),
-        ("Heart rate", None, 70.0, "/min", True), ("Heart rate", "12d", None, "/min", False), ("Body temperature", None, 37.0, "Cel", True),
+        ("Body weight", None, 70.0, "kg", True), ("Blood pressure", "120/80", None, "mm[Hg]", True), ("bp", "high", None, None, False),
+        ("Heart rate", None, 70.0, "/min", True), ("Heart rate", "12d", None, "/min", False), ("bp", None, 120.0, "mmHg", False), ("Blood pressure", "130/85", None, "mm[Hg]", True), ("Body temperature", None, 37.0, "Cel", True),
         ("pulse", None, 60.0, None, False), ("Body height", None, 70.0, "parsec", False),
     }
 
@@ -157,7 +160,7 @@ def test_retries_stop_on_other_errors():
         calls.append(message)
         raise RuntimeError(message)
 
-    for message, n in (("rate limit", 5), ("bad request", 1)):
+    for message, n in (("rate_limit", 5), ("error 502", 5), ("bad request", 1)):
         calls.clear()
         with pytest.raises(RuntimeError):
             external.with_retries(fail, message, sleep=lambda s: None)
@@ -194,3 +197,121 @@ def test_notes_record_their_spans(spark):
     note = generate.render_notes(rows, "id", [(None, F.lit("Patient: ")), ("PATIENT_NAME", F.col("name")), (None, F.lit(" ")), ("DOB", F.col("born"))]).first()
     assert note.text == "Patient: Ana 1950-01-01"
     assert all(note.text[s.start : s.end] == s.text for s in note.spans) and [s.type for s in note.spans] == ["PATIENT_NAME", "DOB"]
+
+
+def test_names_outside_the_vocabulary_are_counted_apart(spark):
+    truth = spark.createDataFrame([(1, "dx0"), (1, "dx1"), (1, "not known")], "r int, c string")
+    predicted = spark.createDataFrame([(1, "dx0"), (1, "dx2"), (1, "made up"), (2, "made up"), (2, "also")], "r int, c string")
+    canon = spark.createDataFrame([(f"dx{i}",) for i in range(4)], "c string")
+    by = {r.c: (r.tp, r.fp, r.fn) for r in evaluate.score_vocabulary(truth, predicted, canon, "r", "c").collect()}
+    assert by == {"dx0": (1, 0, 0), "dx1": (0, 0, 1), "dx2": (0, 1, 0), "dx3": (0, 0, 0)}
+    whole = evaluate.score_summary(truth, predicted, canon, "r", "c").first()
+    assert (whole.tp, whole.fp, whole.fn, whole.non_canonical_count, whole.non_canonical_examples) == (1, 1, 1, 3, ["also", "made up"])
+    nothing = evaluate.score_summary(truth, predicted.limit(0), canon, "r", "c").first()
+    assert (nothing.tp, nothing.fn, nothing.micro_f1, nothing.non_canonical_count) == (0, 2, 0.0, 0)
+
+
+def test_outputs_of_odd_types(spark):
+    texts = ['{"d": [{"name": "a"}, {"name": 3}, "x", {"n": 1}, {"name": "b"}]}', '{"d": "a"}', "[1]", "{", None, "{}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, output string")
+    assert [(r.i, r.n) for r in evaluate.predicted_names(df, "i", "output", "d", "n").collect()] == [(0, "a"), (0, "b")]
+    assert tuple(evaluate.validity(df, "output").first()) == (3, 6, 0.5)
+    assert [r.example_index for r in evaluate.failure_examples(df, "i", "output").collect()] == [2, 3, 4]
+
+
+def test_errors_are_transient_by_class_or_message():
+    class APIConnectionError(Exception):
+        pass
+
+    assert external.is_transient(APIConnectionError("x")) and external.is_transient(TimeoutError()) and external.is_transient(ValueError("HTTP 500"))
+    assert not external.is_transient(ValueError("400"))
+
+
+def test_planted_faults_in_records(spark):
+    vital = lambda **x: {"name": None, "value": None, "value_num": None, "unit": None} | x
+    good = [vital(name="Heart rate", value_num=70.0, unit="/min"), vital(name="Blood pressure", value="120/80", unit="mm[Hg]")]
+    bad = [vital(name="Heart rate", value_num=999.0, unit="/min"), vital(name="Blood pressure", value="high")]
+    rows = [
+        ("a", "n1", 0.5, [("Obesity",)], [("Amlodipine 5 MG Oral Tablet", None)], good),
+        ("b", "n2", 1.5, [("Gout",)], [], bad),
+        ("b", "n3", 0.1, [], [("Aspirin", "x")], []),
+    ]
+    schema = "patient_id string, note_id string, confidence double, diagnoses array<struct<name:string>>, medications array<struct<name:string,dosage:string>>, vitals array<struct<name:string,value:string,value_num:double,unit:string>>"
+    records = spark.createDataFrame(rows, schema)
+    got = {r.table: (r.rows, r.n_failures, r.passed) for r in quality_gate.validate_records(records).collect()}
+    assert got == {"records": (3, 3, False), "diagnoses": (2, 1, False), "medications": (2, 1, False), "numeric_vitals": (2, 1, False), "blood_pressure": (2, 1, False)}
+    assert {r.passed for r in quality_gate.validate_records(records.where("note_id = 'n1'")).collect()} == {True}
+    assert {r.passed for r in quality_gate.validate_records(records.limit(0)).collect()} == {True}
+    wrong = quality_gate.type_failures(records.select(F.lit(1).alias("note_id")), {"note_id": "string", "name": "string"})
+    assert sorted((r.column, r.failure_case) for r in wrong.collect()) == [("name", "missing"), ("note_id", "int")]
+    assert deid.assert_no_phi(records).count() == 3
+    with pytest.raises(ValueError, match="personal data"):
+        deid.assert_no_phi(records.withColumn("diagnoses", F.array(F.struct(F.lit("Migraine, diagnosed 2017-07-17").alias("name")))))
+
+
+def test_report_shows_a_bounded_number_of_cases(spark):
+    failures = spark.range(500).select(F.lit("c").alias("check"), F.lit("x").alias("column"), F.lpad(F.col("id").cast("string"), 3, "0").alias("failure_case"))
+    row = quality_gate.report(failures).first()
+    assert row.n_failures == 500 and row.examples == [f"{i:03d}" for i in range(25)]
+
+
+def test_promotion_reports_and_recovers(spark, tmp_path):
+    staging, final, report = (f"{tmp_path}/{n}" for n in ("staging", "final", "report.json"))
+    gate = lambda df: df.where("id > 10")
+    io.stage_then_promote(spark.range(5), gate, staging, final, report)
+    assert json.load(open(report)) == {"passed": True, "n_failures": 0, "first": []}
+    with pytest.raises(io.GateFailed):
+        io.stage_then_promote(spark.range(20), gate, staging, final, report)
+    assert json.load(open(report))["n_failures"] == 9 and spark.read.parquet(final).count() == 5
+    os.rename(final, f"{final}.last-good")  # as a run leaves it that ends between both renames
+    with pytest.raises(io.GateFailed):
+        io.stage_then_promote(spark.range(20), gate, staging, final, report)
+    assert spark.read.parquet(final).count() == 5 and not os.path.exists(f"{final}.last-good")
+    assert io.stage_then_promote(spark.range(7), gate, staging, final, report).count() == 7
+
+
+def test_record_counts_and_lineage(spark, tmp_path):
+    for name, text in {"a.jsonl": '{"x":1}\n\n{"x":2}\n', "b.csv": "h\n1\n2\n3\n", "c.json": "[1, 2]", "d.json": "{}", "e.bin": "x"}.items():
+        (tmp_path / name).write_text(text)
+    rows = lineage.provenance(spark, [("s", f"{tmp_path}/{n}") for n in ("a.jsonl", "b.csv", "c.json", "d.json", "e.bin", "none.json")]).collect()
+    assert {r.artifact: r.record_count for r in rows} == {"a.jsonl": 2, "b.csv": 3, "c.json": 2, "d.json": None, "e.bin": None}
+    manifest = spark.createDataFrame([("v1",)], "version string")
+    row = lineage.data_lineage(spark, {"train": f"{tmp_path}/a.jsonl", "val": f"{tmp_path}/none.json"}, manifest).first()
+    assert row.data_lineage == {"train_sha256": hashlib.sha256((tmp_path / "a.jsonl").read_bytes()).hexdigest(), "gold_version": "v1"}
+    registry = spark.createDataFrame([("v1", "b", 0.5)], "version string, base_model string, loss double")
+    after = lineage.register_run(registry, spark.createDataFrame([("c", 0.25)], "base_model string, loss double"))
+    assert sorted(map(tuple, after.select("version", "base_model", "loss").collect())) == [("v1", "b", 0.5), ("v2", "c", 0.25)]
+
+
+def greedy(sizes, fractions):
+    """Plain greedy assignment, largest first, first seen first. sizes: list of n in order of appearance."""
+    total, counts, out = sum(sizes), [0] * len(fractions), {}
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        pick = max(range(len(fractions)), key=lambda s: total * fractions[s] - counts[s])
+        counts[pick] += sizes[i]
+        out[i] = pick
+    return out
+
+
+@pytest.mark.parametrize("splits", [V.SPLITS, [("a", 0.5), ("b", 0.5)], [("a", 0.4), ("b", 0.3), ("c", 0.2), ("d", 0.1)]])
+def test_split_equals_the_plain_greedy_rule(spark, splits):
+    rng = random.Random(len(splits))
+    sizes = [rng.choice([1] * 30 + [2] * 6 + [3, 5, 8, 40]) for _ in range(700)]
+    df = spark.createDataFrame([(i, n, i) for i, n in enumerate(sizes)], "g int, n long, first int")
+    got = {r.g: r.split for r in dataset.split_groups(df, "g", checkpointed, splits).collect()}
+    assert got == {i: splits[s][0] for i, s in greedy(sizes, [f for _, f in splits]).items()}
+
+
+def test_frozen_digest_is_the_same_however_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(dataset, "BLOCK", 7)
+    rows = spark.range(100).select(F.col("id").alias("o"), F.concat(F.lit("t"), "id").alias("t"))
+    one = dataset.frozen(rows, "o", F.col("t"), checkpointed).first()
+    assert one == dataset.frozen(rows.repartition(5), "o", F.col("t"), checkpointed).first() and one.n_examples == 100
+    level = [hashlib.sha256(f"t{i}".encode()).hexdigest() for i in range(100)]
+    while len(level) > 1:
+        level = [hashlib.sha256("".join(level[i : i + 7]).encode()).hexdigest() for i in range(0, len(level), 7)]
+    assert one.sha256 == level[0]
+    assert dataset.frozen(rows.limit(0), "o", F.col("t"), checkpointed).first().sha256 == hashlib.sha256(b"").hexdigest()
+    manifest = dataset.gold_manifest(rows, "o", F.col("t"), "v1", "test", checkpointed)
+    assert dataset.verified(rows, "o", F.col("t"), manifest, checkpointed)
+    assert not dataset.verified(rows.where("o <> 5"), "o", F.col("t"), manifest, checkpointed)

@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vellum.functions.vocabulary import DATE_CLAUSE
+
 SHIFT_DAYS = 365
-NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER = r"(?i)^[+-]?([0-9]+[.]?[0-9]*(e[+-]?[0-9]+)?|[.][0-9]+(e[+-]?[0-9]+)?|nan|inf|infinity)$"
+BLANKS = " \t\n\r\x0b\x0c"
+
+
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def digest_mod(text: Column, modulus: int) -> Column:
@@ -46,8 +53,8 @@ def coding(codings: Column, system: str) -> Column:
 
 
 def number(text: Column) -> Column:
-    """text as a double where it is written as a number, else null."""
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    """text as a double where it is written as a number, blanks around it aside, else null."""
+    return F.when(strip(text).rlike(NUMBER), strip(text).try_cast("double"))
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -62,8 +69,17 @@ def f1(tp: Column, fp: Column, fn: Column) -> Column:
 
 def without_date_clause(name: Column) -> Column:
     """A diagnosis without a trailing clause that says when it was made."""
-    clause = r"(?i)\s*(,\s*(first\s+)?diagnosed\s+\d{4}-\d{2}-\d{2}|\(dx\s+[^)]*\))\s*$"
-    return F.trim(F.regexp_replace(name, clause, ""))
+    return strip(F.regexp_replace(name, "(?i)" + DATE_CLAUSE, ""))
+
+
+def quoted(text: Column) -> Column:
+    """text as reports quote it: in single quotes, or in double ones if it holds single ones only; None for null."""
+    escaped = text
+    for raw, said in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        escaped = F.replace(escaped, F.lit(raw), F.lit(said))
+    single = F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
+    return F.coalesce(F.when(double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(single), F.lit("None"))
 
 
 def to_metric(unit: Column, value: Column) -> Column:

@@ -25,14 +25,26 @@ def flatten_records(splits: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-#: SQL over a view ``tbl`` of the fact table.
-NAMED_QUERIES = {
-    "prevalence": "SELECT diagnosis, count(DISTINCT patient_id) AS patients, round(avg(confidence), 3) AS avg_confidence FROM tbl GROUP BY diagnosis",
-    "split_distribution": "SELECT split, count(*) AS n_rows, count(DISTINCT patient_id) AS patients, sum(CAST(is_rebalance_duplicate AS INT)) AS dupes FROM tbl GROUP BY split",
-    "comorbidity": "SELECT diagnosis, round(avg(n_diagnoses), 2) AS avg_dx, round(avg(n_medications), 2) AS avg_meds FROM tbl GROUP BY diagnosis",
-}
+def prevalence(facts: DataFrame) -> DataFrame:
+    """Distinct patients and mean confidence of each diagnosis, the most frequent first."""
+    by = facts.groupBy("diagnosis").agg(F.countDistinct("patient_id").alias("patients"), F.round(F.avg("confidence"), 3).alias("avg_confidence"))
+    return by.orderBy(F.desc("patients"), "diagnosis")
 
 
-def named_query(facts: DataFrame, name: str) -> DataFrame:
-    facts.createOrReplaceTempView("tbl")
-    return facts.sparkSession.sql(NAMED_QUERIES[name])
+def split_distribution(facts: DataFrame) -> DataFrame:
+    """Rows, distinct patients and copies of each split, the largest first."""
+    copies = F.count_if("is_rebalance_duplicate").alias("rebalance_dupes")
+    by = facts.groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("patient_id").alias("patients"), copies)
+    return by.orderBy(F.desc("rows"), "split")
+
+
+def comorbidity(facts: DataFrame) -> DataFrame:
+    """Mean number of diagnoses and medications of the records that have each diagnosis, the heaviest first."""
+    means = [F.round(F.avg(c), 2).alias(name) for c, name in (("n_diagnoses", "avg_dx_per_record"), ("n_medications", "avg_meds"))]
+    return facts.groupBy("diagnosis").agg(*means).orderBy(F.desc("avg_dx_per_record"), "diagnosis")
+
+
+def query_facts(facts: DataFrame, sql: str, view: str = "tbl") -> DataFrame:
+    """The answer of a SQL text over the facts, which it names as a view."""
+    facts.createOrReplaceTempView(view)
+    return facts.sparkSession.sql(sql)

@@ -53,3 +53,19 @@ def duplicate_rows(needed: DataFrame, category: str) -> DataFrame:
     """A row for each copy, with its number among all copies of its template."""
     each = needed.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     return each.withColumn("dup", F.row_number().over(Window.partitionBy("template").orderBy(category, "copy"))).drop("n_copies")
+
+
+def duplicated_records(records: DataFrame, copies: DataFrame, record: str) -> DataFrame:
+    """The copies as records: those of duplicate_rows() with all columns of their template, named <template>-dup<number>, and
+    rebalance_duplicate_of, the record that they are copies of."""
+    named = F.concat(F.col(record).cast("string"), F.lit("-dup"), F.col("dup").cast("string"))
+    joined = records.join(copies.select(F.col("template").alias(record), "dup"), record)
+    return joined.select(named.alias(record), *[c for c in records.columns if c not in (record, "rebalance_duplicate_of")], F.col(record).cast("string").alias("rebalance_duplicate_of"))
+
+
+def rebalanced(records: DataFrame, copies: DataFrame, record: str) -> DataFrame:
+    """records and their copies; rebalance_duplicate_of is null for records that aren't copies."""
+    own = records.withColumn(record, F.col(record).cast("string"))
+    if "rebalance_duplicate_of" not in own.columns:
+        own = own.withColumn("rebalance_duplicate_of", F.lit(None).cast("string"))
+    return own.unionByName(duplicated_records(records, copies, record))

@@ -2,50 +2,91 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.vocabulary import SPLITS
+from vellum.operators.relational import numbered
+
+
+def original_patient() -> Column:
+    """The patient that a record belongs to: the one it is a copy of, if it is a copy."""
+    return F.coalesce("rebalance_duplicate_of", "patient_id")
+
+
+def eligible(records: DataFrame) -> DataFrame:
+    """Records that were not synthesized; those have no note to learn from."""
+    return records.where(~F.coalesce(F.col("synthesized"), F.lit(False)))
+
+
+def group_sizes(records: DataFrame, order: str) -> DataFrame:
+    """patient, n, first: original patients of eligible records, their number of records and their first place."""
+    return eligible(records).groupBy(original_patient().alias("patient")).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+
+
+def build_splits(records: DataFrame, order: str, store: Callable[[DataFrame], DataFrame], splits: list[tuple[str, float]] = SPLITS) -> DataFrame:
+    """Eligible records with split; no original patient is in two. records: patient_id, rebalance_duplicate_of, synthesized, order."""
+    assigned = split_groups(group_sizes(records, order), "patient", store, splits).select("patient", "split")
+    return eligible(records).join(assigned, original_patient() == F.col("patient")).drop("patient")
+
+
+#: Powers of two down from the largest number of groups that can be counted.
+BITS = [1 << b for b in range(40, -1, -1)]
+
+
+def picked(rank: Column, split: int, n: Column, counts: Column, targets: Column, n_splits: int) -> Column:
+    """How often a split is chosen for the first ``rank`` of groups of n records, when counts are what the splits have.
+
+    A split that has been chosen j times lacks target - (count + j n). The greedy rule takes the largest of these numbers, of equal
+    ones that of the first split; so its choices are all splits' numbers merged in falling order, and the place of a split's j-th
+    number is j and how many numbers of the others come before it. The largest j whose place is below rank is sought bit by bit.
+    """
+    lack = lambda s, j: F.element_at(targets, s + 1) - (F.element_at(counts, s + 1) + j * n)
+
+    def ahead(other: int, value: Column) -> Column:
+        guess = F.floor((F.element_at(targets, other + 1) - F.element_at(counts, other + 1) - value) / n)
+        base = F.greatest(guess - 1, F.lit(0))
+        before = (lambda i: lack(other, i) >= value) if other < split else (lambda i: lack(other, i) > value)
+        return base + sum((F.when(before(base + k), 1).otherwise(0) for k in range(4)), F.lit(0))
 
+    def place(j: Column) -> Column:
+        value = lack(split, j)
+        return j + sum((ahead(o, value) for o in range(n_splits) if o != split), F.lit(0))
 
-def split_groups(sizes: DataFrame, group: str, splits: list[tuple[str, float]] = SPLITS) -> DataFrame:
-    """group, split: whole groups, the largest first, each to the split that is furthest below its share.
+    bits = F.array(*(F.lit(b).cast("long") for b in BITS))
+    try_bit = lambda c, bit: F.when((c + bit <= rank) & (place(c + bit - 1) < rank), c + bit).otherwise(c)
+    return F.aggregate(bits, F.lit(0).cast("long"), try_bit)
 
-    sizes: group, n, first (the order of appearance). Groups of one size are alike, so the greedy choice is folded over
-    distinct sizes: what is carried on is a count for each split; each size gives the list of its choices, which its groups take by rank.
+
+def split_groups(sizes: DataFrame, group: str, store: Callable[[DataFrame], DataFrame], splits: list[tuple[str, float]] = SPLITS) -> DataFrame:
+    """group, n, split: whole groups, the largest first, each to the split that is furthest below its share.
+
+    sizes: group, n, first (the order of appearance). Groups of one size are alike: what the splits have when a size's turn comes is folded
+    over distinct sizes, with the choices within a size counted, not made one by one; each group then finds its own from its rank among
+    those of its size. Groups are numbered by range partitions (store() materialises them), so no size meets in one task.
     """
     classes = sizes.groupBy("n").agg(F.count("*").alias("m"))
     gathered = classes.agg(F.sort_array(F.collect_list(F.struct("n", "m")), asc=False).alias("classes"), F.sum(F.col("n") * F.col("m")).alias("total"))
-    names = [name for name, _ in splits]
     targets = F.array(*(F.col("total") * F.lit(share) for _, share in splits))
-    zeros = F.array(*(F.lit(0).cast("long") for _ in splits))
-
-    def pick(counts: Column) -> Column:
-        lack = F.zip_with(targets, counts, lambda t, c: t - c)
-        return F.array_position(lack, F.array_max(lack)).cast("int")
+    every = range(len(splits))
 
     def one_size(state: Column, c: Column) -> Column:
-        start = F.struct(state["counts"].alias("counts"), F.array().cast("array<int>").alias("picks"))
-
-        def one_group(s: Column, _: Column) -> Column:
-            chosen = pick(s["counts"])
-            counts = F.transform(s["counts"], lambda x, i: F.when(i + 1 == chosen, x + c["n"]).otherwise(x))
-            return F.struct(counts.alias("counts"), F.array_append(s["picks"], chosen).alias("picks"))
-
-        ended = F.aggregate(F.sequence(F.lit(1).cast("long"), c["m"]), start, one_group)
-        return F.struct(
-            ended["counts"].alias("counts"),
-            F.array_append(state["classes"], F.struct(c["n"].alias("n"), ended["picks"].alias("picks"))).alias("classes"),
-        )
-
-    begin = F.struct(zeros.alias("counts"), F.array().cast("array<struct<n:bigint,picks:array<int>>>").alias("classes"))
-    chosen = (
-        gathered.select(F.explode(F.aggregate("classes", begin, one_size)["classes"]).alias("c"))
-        .select("c.n", F.posexplode("c.picks").alias("rank", "pick"))
+        had = F.struct(c["n"].alias("n"), state["counts"].alias("counts"), state["groups"].alias("groups"))
+        more = [F.element_at(state["counts"], s + 1) + c["n"] * picked(c["m"], s, c["n"], state["counts"], F.col("targets"), len(splits)) for s in every]
+        return F.struct(F.array(*more).alias("counts"), (state["groups"] + c["m"]).alias("groups"), F.array_append(state["classes"], had).alias("classes"))
+
+    zeros = F.array(*(F.lit(0).cast("long") for _ in splits))
+    begin = F.struct(
+        zeros.alias("counts"), F.lit(0).cast("long").alias("groups"), F.array().cast("array<struct<n:bigint,counts:array<bigint>,groups:bigint>>").alias("classes")
     )
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy("first")) - 1)
-    split = F.element_at(F.array(*map(F.lit, names)), F.col("pick"))
-    return ranked.join(chosen, ["n", "rank"]).select(group, "n", split.alias("split"))
+    folded = gathered.withColumn("targets", targets).select("targets", F.explode(F.aggregate("classes", begin, one_size)["classes"]).alias("c")).select("targets", "c.*")
+    ordered = numbered(sizes.withColumn("_less", -F.col("n")), ["_less", "first"], "_place", store)
+    rank = F.col("_place") - F.col("groups")
+    at = lambda r, s: picked(r, s, F.col("n"), F.col("counts"), F.col("targets"), len(splits))
+    chosen = F.coalesce(*(F.when(at(rank, s) > at(rank - 1, s), F.lit(splits[s][0])) for s in every))
+    return ordered.join(folded, "n").select(group, "n", chosen.alias("split"))
 
 
 def crossing_groups(rows: DataFrame, group: str, split: str = "split") -> DataFrame:
@@ -59,8 +100,38 @@ def split_shares(rows: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(whole), 4))
 
 
-def frozen(examples: DataFrame, order: str, content: Column) -> DataFrame:
-    """n_examples and sha256 of the examples: the digest of their digests in order, so that only digests are gathered."""
-    digests = examples.select(F.col(order).alias("o"), F.sha2(content, 256).alias("d"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "d"))), lambda x: x["d"]), "")
-    return digests.agg(F.count("*").alias("n_examples"), F.sha2(joined, 256).alias("sha256"))
+#: Digests that are digested together.
+BLOCK = 4096
+
+
+def frozen(examples: DataFrame, order: str, content: Column, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """n_examples and sha256 of the examples: digests in order, digested by blocks of BLOCK, and so on until one is left.
+
+    Up to BLOCK examples that is the digest of their digests. No examples have the digest of the empty text.
+    """
+    digests = numbered(examples.select(F.col(order).alias("_o"), F.sha2(content, 256).alias("d")), ["_o", "d"], "i", store).select("i", "d")
+    n = n_examples = digests.count()
+    while True:
+        blocks = digests.groupBy(F.floor((F.col("i") - 1) / BLOCK).alias("b"))
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "d"))), lambda x: x["d"]), "")
+        digests = blocks.agg(F.sha2(joined, 256).alias("d")).select((F.col("b") + 1).alias("i"), "d")
+        n = -(-n // BLOCK)
+        if n <= 1:
+            return digests.agg(F.lit(n_examples).cast("long").alias("n_examples"), F.coalesce(F.max("d"), F.sha2(F.lit(""), 256)).alias("sha256"))
+
+
+def gold_manifest(examples: DataFrame, order: str, content: Column, version: str, source: str, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """version, n_examples, sha256, source."""
+    return frozen(examples, order, content, store).select(F.lit(version).alias("version"), "n_examples", "sha256", F.lit(source).alias("source"))
+
+
+def freeze(examples: DataFrame, order: str, path: str) -> DataFrame:
+    """Writes the examples as JSON lines whose files follow the order, and returns them as read back, with their place."""
+    examples.repartitionByRange(order).sortWithinPartitions(order).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return examples.sparkSession.read.schema(examples.schema).json(path)
+
+
+def verified(examples: DataFrame, order: str, content: Column, manifest: DataFrame, store: Callable[[DataFrame], DataFrame]) -> bool:
+    """Whether examples still have the number and the digest that their manifest says."""
+    said = manifest.select("n_examples", "sha256")
+    return frozen(examples, order, content, store).join(said, ["n_examples", "sha256"]).limit(1).count() == 1

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.scalars import pseudonym, shifted, zip3
-from vellum.functions.vocabulary import PHI_PATTERNS
-from vellum.operators.relational import overlapping
+from vellum.functions.vocabulary import LEAK_EXAMPLES, PHI_PATTERNS
+from vellum.operators.relational import no_rows, overlapping
 
 #: The category whose shift a field or a span follows.
 FIELD_CATEGORY = {"birthDate": "dob", "onsetDateTime": "visit", "effectiveDateTime": "visit", "authoredOn": "visit"}
@@ -70,17 +70,71 @@ def leaked_identifiers(identifiers: DataFrame, haystacks: DataFrame, key: str) -
     return pairs.where(F.contains("text", F.col("value"))).select(key, "value").distinct()
 
 
+def patient_identifiers(patients: DataFrame, shortest: int = 3) -> DataFrame:
+    """id, value: the direct identifiers of each patient. Given names of fewer than ``shortest`` characters are none by themselves.
+
+    patients: id, name (family, given), identifier, address (line, city, postalCode), birthDate; any of them may be null.
+    """
+    name = F.get("name", F.lit(0))
+    given = F.coalesce(name["given"], F.array().cast("array<string>"))
+    full = F.when((F.size(given) > 0) & (F.length(name["family"]) > 0), F.concat_ws(" ", F.array_join(given, " "), name["family"]))
+    none = F.array().cast("array<string>")
+    places = F.transform("address", lambda a: F.concat(F.coalesce(a["line"], none), F.array(a["city"], a["postalCode"])))
+    values = F.concat(
+        F.filter(given, lambda g: F.length(g) >= shortest),
+        F.array(name["family"], full, F.col("birthDate")),
+        F.coalesce(F.transform("identifier", lambda i: i["value"]), none),
+        F.coalesce(F.flatten(places), none),
+    )
+    each = F.array_distinct(F.filter(values, lambda x: F.length(x) > 0))
+    return patients.select("id", F.explode(each).alias("value"))
+
+
+def deidentified_texts(resources: DataFrame, notes: DataFrame) -> DataFrame:
+    """id, text: what is left of each patient to be searched. resources: id (of the patient), value (JSON); notes: id, text.
+
+    A patient's resources and notes are rows of their own: an identifier lies within one of them.
+    """
+    return resources.select("id", F.col("value").alias("text")).union(notes.select("id", "text"))
+
+
+def leakage_report(identifiers: DataFrame, haystacks: DataFrame, examples: int = LEAK_EXAMPLES) -> DataFrame:
+    """One row: patients, total_leaks and the first leaked values in order. identifiers and haystacks: id, value; id, text."""
+    leaks = leaked_identifiers(identifiers, haystacks, "id")
+    first = leaks.orderBy("id", "value").limit(examples).agg(F.sort_array(F.collect_list(F.struct("id", "value"))).alias("leaked_examples"))
+    total = leaks.agg(F.count("*").alias("total_leaks"))
+    return identifiers.agg(F.countDistinct("id").alias("patients")).join(total).join(first)  # three rows
+
+
+def record_texts(records: DataFrame) -> DataFrame:
+    """note_id, text: the free texts of curated records in which something could be left; values of vitals aren't."""
+    none = F.array().cast("array<string>")
+    parts = [F.transform("diagnoses", lambda d: d["name"]), F.transform("medications", lambda m: m["name"]), F.transform("medications", lambda m: m["dosage"]), F.transform("vitals", lambda x: x["name"])]
+    return records.select("note_id", F.explode(F.concat(*(F.coalesce(p, none) for p in parts))).alias("text")).where(F.length("text") > 0)
+
+
+def assert_no_phi(records: DataFrame) -> DataFrame:
+    """records, unless a pattern shows in one of their free texts: then an error that names the first few."""
+    no_rows(phi_patterns_found(record_texts(records), "text").select("note_id", "kind", "text"), "patterns of personal data in curated records")
+    return records
+
+
 def phi_patterns_found(df: DataFrame, field: str, patterns: list[tuple[str, str]] = PHI_PATTERNS) -> DataFrame:
     """A row for each row of df and kind of pattern that its field shows. One pass: patterns are tried within the row."""
     kinds = F.array(*(F.when(F.col(field).rlike(p), F.lit(kind)) for kind, p in patterns))
     return df.withColumn("kind", F.explode(F.array_compact(kinds)))
 
 
-def offsets_keep_intervals(before: DataFrame, after: DataFrame, key: str, date: str, group: str) -> DataFrame:
-    """Groups whose dates are not all moved by one number of days other than 0."""
+def moved_days(before: DataFrame, after: DataFrame, key: str, date: str, group: str) -> DataFrame:
+    """group, least, most, kept: by how many days the dates of each group moved, and whether that is one number other than 0."""
     moved = before.select(key, group, F.col(date).alias("_b")).join(after.select(key, F.col(date).alias("_a")), key)
     days = F.datediff(F.to_date("_a"), F.to_date("_b"))
-    return moved.groupBy(group).agg(F.min(days).alias("least"), F.max(days).alias("most")).where("least <> most or least = 0")
+    return moved.groupBy(group).agg(F.min(days).alias("least"), F.max(days).alias("most")).withColumn("kept", (F.col("least") == F.col("most")) & (F.col("least") != 0))
+
+
+def offsets_keep_intervals(before: DataFrame, after: DataFrame, key: str, date: str, group: str) -> DataFrame:
+    """Groups whose dates are not all moved by one number of days other than 0."""
+    return moved_days(before, after, key, date, group).where("not kept").drop("kept")
 
 
 def any_pattern(text: Column, patterns: list[tuple[str, str]]) -> Column:

@@ -1,11 +1,17 @@
-"""Evaluation: true and false positives by category, dosage matches, JSON validity, release gate."""
+"""Evaluation: true and false positives by category of a vocabulary, dosage matches, JSON validity, release gate.
+
+Names outside the vocabulary are counted apart, as hallucinations; they are no false positives of any category.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.scalars import f1, share
+from vellum.functions.vocabulary import FAILURE_EXAMPLES, NON_CANONICAL_EXAMPLES
 
 
 def score_pairs(truth: DataFrame, predicted: DataFrame, record: str, category: str) -> DataFrame:
@@ -30,6 +36,55 @@ def overall(by_category: DataFrame) -> DataFrame:
     return with_rates(by_category.agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))))
 
 
+def score_vocabulary(truth: DataFrame, predicted: DataFrame, vocabulary: DataFrame, record: str, category: str) -> DataFrame:
+    """tp, fp, fn and rates of every category of the vocabulary, zeros too; names outside it count on neither side."""
+    known = vocabulary.select(category).distinct()
+    within = lambda df: df.join(known, category, "left_semi")
+    found = score_pairs(within(truth), within(predicted), record, category).select(category, "tp", "fp", "fn")
+    return with_rates(known.join(found, category, "left").fillna(0, ["tp", "fp", "fn"]))
+
+
+def outside(predicted: DataFrame, vocabulary: DataFrame, category: str, examples: int = NON_CANONICAL_EXAMPLES) -> DataFrame:
+    """One row: non_canonical_count (every mention of a name outside the vocabulary) and the first such names in order."""
+    strange = predicted.select(category).where(F.col(category).isNotNull()).join(vocabulary.select(category), category, "left_anti")
+    first = strange.distinct().orderBy(category).limit(examples)
+    names = first.agg(F.sort_array(F.collect_list(category)).alias("non_canonical_examples"))  # so many names at most
+    return strange.agg(F.count("*").alias("non_canonical_count")).join(names)
+
+
+def score_summary(truth: DataFrame, predicted: DataFrame, vocabulary: DataFrame, record: str, category: str) -> DataFrame:
+    """One row: micro_precision, micro_recall, micro_f1, tp, fp, fn, non_canonical_count, non_canonical_examples."""
+    sums = score_vocabulary(truth, predicted, vocabulary, record, category).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    rates = {"micro_precision": share(tp, tp + fp), "micro_recall": share(tp, tp + fn), "micro_f1": f1(tp, fp, fn)}
+    return sums.withColumns(rates).join(outside(predicted, vocabulary, category))
+
+
+def named_items(output: Column, field: str) -> Column:
+    """Names in a list of an output (JSON text): those of its objects that are strings; [] if the field is no list."""
+    items = F.try_variant_get(F.try_parse_json(output), f"$.{field}", "array<variant>")
+    name = lambda x: F.try_variant_get(x, "$.name", "variant")
+    named = F.filter(items, lambda x: F.coalesce(F.schema_of_variant(name(x)) == "STRING", F.lit(False)))
+    return F.coalesce(F.transform(named, lambda x: F.try_variant_get(x, "$.name", "string")), F.array().cast("array<string>"))
+
+
+def predicted_names(outputs: DataFrame, record: str, output: str, field: str, category: str) -> DataFrame:
+    """record, category: every name that a field of each output (JSON text) has; outputs that are no object have none."""
+    return outputs.where(json_object(F.col(output))).select(record, F.explode(named_items(F.col(output), field)).alias(category))
+
+
+def validity(outputs: DataFrame, output: str) -> DataFrame:
+    """valid, total and rate of outputs that are JSON objects; the rate of none is 0."""
+    counts = outputs.agg(F.count_if(json_object(F.col(output))).alias("valid"), F.count("*").alias("total"))
+    return counts.withColumn("rate", share(F.col("valid"), F.col("total")))
+
+
+def failure_examples(outputs: DataFrame, order: str, output: str, examples: int = FAILURE_EXAMPLES) -> DataFrame:
+    """The first outputs, in order, that are no JSON object, cut to 300 characters."""
+    bad = outputs.where(~json_object(F.col(output))).orderBy(order).limit(examples)
+    return bad.select(F.col(order).alias("example_index"), F.lit("unparseable JSON").alias("reason"), F.left(F.col(output), F.lit(300)).alias("output"))
+
+
 def match_kind(expected: Column, got: Column) -> Column:
     """exact (two nulls are), missing, hallucinated or wrong."""
     return (
@@ -37,12 +92,47 @@ def match_kind(expected: Column, got: Column) -> Column:
     )
 
 
+def dosage_matches(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """patient_id, name, expected, predicted, kind: medications of both sides, matched by patient and name.
+
+    predicted: patient_id, name, dosage. truth: patient_id, name, dosage, ord; of several the last counts.
+    """
+    facts = truth.groupBy("patient_id", "name").agg(F.max_by(F.struct("dosage"), "ord").alias("f"))
+    both = predicted.join(facts, ["patient_id", "name"])
+    kind = match_kind(F.col("f.dosage"), F.col("dosage")).alias("kind")
+    return both.select("patient_id", "name", F.col("f.dosage").alias("expected"), F.col("dosage").alias("predicted"), kind)
+
+
+def dosage_summary(matches: DataFrame) -> DataFrame:
+    """exact_match, total, accuracy and hallucinated."""
+    counts = matches.agg(
+        F.count_if(F.col("kind") == "exact").alias("exact_match"), F.count("*").alias("total"), F.count_if(F.col("kind") == "hallucinated").alias("hallucinated")
+    )
+    return counts.withColumn("accuracy", share(F.col("exact_match"), F.col("total")))
+
+
 def json_object(text: Column) -> Column:
     """Whether a text is a JSON object."""
     return F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(text)), F.lit("OBJECT")), F.lit(False))
 
 
+def gate_metrics(valid: DataFrame, diagnosis: DataFrame, medication: DataFrame) -> DataFrame:
+    """check, value of the release gate, from validity() and two score_summary()."""
+    strange = diagnosis.select("non_canonical_count").union(medication.select("non_canonical_count")).agg(F.sum("non_canonical_count").cast("double"))
+    parts = [
+        valid.select(F.lit("json_validity_rate").alias("check"), F.col("rate").alias("value")),
+        diagnosis.select(F.lit("diagnosis_micro_f1"), "micro_f1"),
+        medication.select(F.lit("medication_micro_f1"), "micro_f1"),
+        strange.select(F.lit("non_canonical_total"), "*"),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
 def release_gate(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """check, value, bound, passed. metrics: check, value; thresholds: check, direction (>= or <=), bound. A metric that is missing fails."""
+    """check, value, bound, passed, and all_passed, the same on each row.
+
+    metrics: check, value; thresholds: check, direction (>= or <=), bound. A metric that is missing fails.
+    """
     passed = F.when(F.col("direction") == ">=", F.col("value") >= F.col("bound")).otherwise(F.col("value") <= F.col("bound"))
-    return thresholds.join(metrics, "check", "left").select("check", "value", "bound", F.coalesce(passed, F.lit(False)).alias("passed"))
+    checks = thresholds.join(metrics, "check", "left").select("check", F.round("value", 4).alias("value"), "bound", F.coalesce(passed, F.lit(False)).alias("passed"))
+    return checks.withColumn("all_passed", F.bool_and("passed").over(Window.partitionBy(F.lit(1))))  # a handful of checks

@@ -8,7 +8,13 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRANSIENT = ("timeout", "timed out", "rate limit", "overloaded", "connection", "503", "529")
+from vellum.functions.vocabulary import TRANSIENT_HINTS
+
+
+def is_transient(error: Exception) -> bool:
+    """Whether an error may pass by itself, by its class name and message."""
+    said = f"{type(error).__name__} {error}".lower()
+    return any(hint in said for hint in TRANSIENT_HINTS)
 
 
 def cache_key(text: Column, model: str, prompt_version: str) -> Column:
@@ -22,7 +28,7 @@ def with_retries(call: Callable, *args, attempts: int = 4, base: float = 1.0, mo
         try:
             return call(*args)
         except Exception as error:
-            if attempt == attempts or not any(t in str(error).lower() for t in TRANSIENT):
+            if attempt == attempts or not is_transient(error):
                 raise
             sleep(min(base * 2**attempt, most))
 

@@ -6,19 +6,58 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def provenance(spark: SparkSession, artifacts: list[tuple[str, str]]) -> DataFrame:
-    """stage, artifact, sha256, n_bytes of each file that exists. artifacts: (stage, path), a short list of names."""
-    existing = []
-    for stage, path in artifacts:
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of a short list of paths at which there is something."""
+    found = []
+    for path in paths:
         hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
         if hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path):
-            existing.append((stage, path))
-    if not existing:
-        return spark.createDataFrame([], "stage string, artifact string, sha256 string, n_bytes long")
-    stages = spark.createDataFrame([(s, p.rsplit("/", 1)[-1]) for s, p in existing], "stage string, artifact string")
-    files = spark.read.format("binaryFile").load([p for _, p in existing])
-    hashed = files.select(F.substring_index("path", "/", -1).alias("artifact"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))
-    return stages.join(hashed, "artifact").select("stage", "artifact", "sha256", "n_bytes")
+            found.append(path)
+    return found
+
+
+def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """name, sha256, n_bytes, record_count of each file that exists.
+
+    Records are lines that aren't blank (.jsonl, .ndjson), lines but for the header (.csv), or elements of an array (.json); else null.
+    """
+    found = existing(spark, paths)
+    if not found:
+        return spark.createDataFrame([], "name string, sha256 string, n_bytes long, record_count long")
+    content = F.decode("content", "utf-8")
+    lines = F.split(F.regexp_replace(content, "\n$", ""), "\n")
+    written = F.size(F.filter(lines, lambda x: F.length(F.trim(x)) > 0))
+    n = (
+        F.when(F.col("path").rlike("[.](jsonl|ndjson)$"), written)
+        .when(F.endswith("path", F.lit(".csv")), F.greatest(F.when(F.length(content) > 0, F.size(lines)).otherwise(0) - 1, F.lit(0)))
+        .when(F.endswith("path", F.lit(".json")), F.json_array_length(content))
+    )
+    files = spark.read.format("binaryFile").load(found)
+    name = F.substring_index("path", "/", -1)
+    return files.select(name.alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"), n.cast("long").alias("record_count"))
+
+
+def provenance(spark: SparkSession, artifacts: list[tuple[str, str]]) -> DataFrame:
+    """stage, artifact, sha256, n_bytes, record_count of each file that exists. artifacts: (stage, path), a short list of names."""
+    stages = spark.createDataFrame([(s, p.rsplit("/", 1)[-1]) for s, p in artifacts], "stage string, artifact string")
+    found = file_digests(spark, [p for _, p in artifacts]).withColumnRenamed("name", "artifact")
+    return stages.join(found, "artifact").select("stage", "artifact", "sha256", "n_bytes", "record_count")
+
+
+def data_lineage(spark: SparkSession, files: dict[str, str], manifest: DataFrame | None = None) -> DataFrame:
+    """One row: data_lineage, a map of <name>_sha256 of the files that exist, and gold_version if a manifest (version) is given."""
+    names = spark.createDataFrame([(p.rsplit("/", 1)[-1], f"{n}_sha256") for n, p in files.items()], "name string, said string")
+    entries = file_digests(spark, list(files.values())).join(names, "name").select("said", F.col("sha256").alias("what"))
+    if manifest is not None:
+        entries = entries.union(manifest.select(F.lit("gold_version"), "version"))
+    return entries.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("said", "what")))).alias("data_lineage"))  # a short list of files
+
+
+def register_run(registry: DataFrame, run: DataFrame) -> DataFrame:
+    """registry with a further run, of version v<number of runs>. Runs of a registry are few and have a version each."""
+    number = registry.agg((F.count("*") + 1).alias("_n"))
+    versioned = run.drop("version").join(F.broadcast(number)).withColumn("version", F.concat(F.lit("v"), F.col("_n").cast("string"))).drop("_n")
+    return registry.unionByName(versioned, allowMissingColumns=True)
 
 
 def with_versions(runs: DataFrame, order: str) -> DataFrame:

@@ -1,82 +1,168 @@
-"""Normalization of extracted names, values and dosages to closed vocabularies."""
+"""Normalization of extracted names, values and dosages to closed vocabularies.
+
+The vocabularies are closed and short, so every rule is an expression over one mention: nothing is joined or shuffled, and a
+record is normalized where it is, with its arrays.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import vocabulary as v
-from vellum.functions.scalars import number, to_metric, without_date_clause
-from vellum.operators.relational import longest_prefix
+from vellum.functions.scalars import number, quoted, strip, to_metric, without_date_clause
 
 
 def _mapping(pairs):
     return F.create_map(*(F.lit(x) for pair in pairs for x in pair))
 
 
-def normalize_diagnoses(df: DataFrame, name: str = "name") -> DataFrame:
-    """Adds canonical and matched: date clause off, then paraphrases, then the longest canonical name that it starts with; else kept."""
-    known = v.conditions(df.sparkSession).select(F.col("name").alias("_canonical"))
-    bare = df.withColumn("_bare", without_date_clause(F.col(name)))
-    found = longest_prefix(bare, known, "_bare", "_canonical")
-    hit = F.coalesce(F.try_element_at(_mapping(v.PARAPHRASES), F.lower("_bare")), "_canonical")
-    return found.withColumns({"canonical": F.coalesce(hit, "_bare"), "matched": hit.isNotNull()}).drop("_bare", "_canonical")
+def diagnosis(name: Column) -> Column:
+    """struct(name, matched): date clause off, then paraphrases, then the longest canonical name that it starts with; else kept."""
+    bare = without_date_clause(name)
+    low = F.lower(bare)
+    hit = F.try_element_at(_mapping(v.PARAPHRASES), low)
+    for known in sorted((c[1] for c in v.CONDITIONS), key=len, reverse=True):
+        hit = F.coalesce(hit, F.when(F.startswith(low, F.lit(known.lower())), F.lit(known)))
+    return F.struct(F.coalesce(hit, bare).alias("name"), hit.isNotNull().alias("matched"))
 
 
-def folded_unit(unit):
+def folded_unit(unit: Column) -> Column:
     """A unit in lower case without brackets and degree sign, its common spellings made one."""
-    token = F.lower(F.trim(F.replace(F.btrim(F.trim(unit), F.lit("[]")), F.lit("°"), F.lit(""))))
+    token = F.lower(strip(F.replace(F.btrim(strip(unit), F.lit("[]")), F.lit("°"), F.lit(""))))
     return F.coalesce(F.try_element_at(_mapping(v.UNIT_ALIASES), token), token)
 
 
-def normalize_vitals(df: DataFrame) -> DataFrame:
-    """Of name, value (text), unit: canonical name, value_text (blood pressure), value_num, canonical unit and matched.
+def vital(name: Column, value: Column, unit: Column) -> Column:
+    """struct(name, value, value_num, unit, matched) of a vital's name, value (text) and unit.
 
-    A blood pressure must read as two numbers with a slash. A null unit counts as the canonical one; the other unit of a vital
-    is converted; an unknown unit or a value that is no number is kept and not matched.
+    A blood pressure that reads as two numbers with a slash keeps its text. Any other value that is a number goes to value_num, and
+    value is null. A null unit counts as the canonical one; the other unit of a vital is converted; with any other unit
+    the value is kept and not matched. An unknown name, and the name of a value that is no number, stay as they are, not matched.
     """
-    simple = [(name, unit, other) for _, name, _, unit, other, least, _ in v.OBSERVATIONS if least is not None]
-    aliases = [(name.lower(), name) for name, _, _ in simple] + v.VITAL_ALIASES
-    name = F.try_element_at(_mapping(aliases), F.lower(F.trim("name")))
-    pressure = F.lower(F.trim("name")).isin(v.BLOOD_PRESSURE_NAMES)
-    is_reading = pressure & F.col("value").rlike(r"^\d{2,3}/\d{2,3}$")
-    own, other = _mapping([(n, u) for n, u, _ in simple]), _mapping([(n, o) for n, _, o in simple if o])
-    df = df.withColumns({"_name": name, "_num": number(F.col("value")), "_unit": folded_unit(F.col("unit"))})
-    known = F.try_element_at(own, F.col("_name"))
-    alternative = folded_unit(F.try_element_at(other, F.col("_name")))
-    good = F.col("_name").isNotNull() & F.col("_num").isNotNull()
-    same = good & (F.col("unit").isNull() | (F.col("_unit") == folded_unit(known)))
-    convert = good & ~F.coalesce(same, F.lit(False)) & (F.col("_unit") == alternative)
-    same, convert = F.coalesce(same, F.lit(False)), F.coalesce(convert, F.lit(False))
-    return df.select(
-        *[c for c in df.columns if c not in ("name", "value", "unit", "_name", "_num", "_unit")],
-        F.when(pressure, "Blood pressure").otherwise(F.coalesce("_name", "name")).alias("name"),
-        F.when(is_reading | F.col("_num").isNull(), F.col("value")).alias("value_text"),
-        F.when(convert, to_metric(F.col("_unit"), F.col("_num"))).when(~pressure, F.col("_num")).alias("value_num"),
-        F.when(is_reading, "mm[Hg]").when(same | convert, known).otherwise(F.col("unit")).alias("unit"),
-        (F.coalesce(is_reading, F.lit(False)) | same | convert).alias("matched"),
+    simple = [(known, own, other) for _, known, _, own, other, least, _ in v.OBSERVATIONS if least is not None]
+    low = F.lower(strip(name))
+    known = F.try_element_at(_mapping([(n.lower(), n) for n, _, _ in simple] + v.VITAL_ALIASES), low)
+    own = F.try_element_at(_mapping([(n, u) for n, u, _ in simple]), known)
+    other = F.try_element_at(_mapping([(n, o) for n, _, o in simple if o]), known)
+    num, folded = number(value), folded_unit(unit)
+    kind = (
+        F.when(low.isin(v.BLOOD_PRESSURE_NAMES) & strip(value).rlike(v.PRESSURE), "pressure")
+        .when(num.isNull(), "text")
+        .when(known.isNull(), "unknown")
+        .when(unit.isNull() | (folded == F.lower(F.btrim(own, F.lit("[]")))), "same")
+        .when(folded == F.lower(F.btrim(other, F.lit("[]"))), "converted")
+        .otherwise("other unit")
     )
+    return F.struct(
+        F.when(kind == "pressure", "Blood pressure").when(kind.isin("text", "unknown"), name).otherwise(known).alias("name"),
+        F.when(kind == "pressure", strip(value)).when(kind == "text", value).alias("value"),
+        F.when(kind == "converted", to_metric(folded, num)).when(kind != "pressure", num).alias("value_num"),
+        F.when(kind == "pressure", "mm[Hg]").when(kind.isin("same", "converted"), own).otherwise(unit).alias("unit"),
+        kind.isin("pressure", "same", "converted").alias("matched"),
+    )
+
+
+def split_label(name: Column, dosage: Column) -> tuple[Column, Column]:
+    """A bare drug name as its label; what the label says is cut off the front of the dosage."""
+    bare = [(label.split(" ", 1)[0].lower(), label) for _, label, *_ in v.MEDICATIONS]
+    label = F.try_element_at(_mapping(bare), F.lower(strip(name)))
+    said = strip(F.substring(label, F.length(strip(name)) + 1, F.length(label)))
+    cut = F.nullif(F.ltrim(F.substring(dosage, F.length(said) + 1, F.length(dosage)), F.lit(" -,;")), F.lit(""))
+    bundled = F.coalesce(F.startswith(F.lower(dosage), F.lower(said)), F.lit(False))
+    return F.coalesce(label, name), F.when(bundled, cut).otherwise(dosage)
+
+
+def dosage_of(label: Column, dosage: Column) -> Column:
+    """struct(dosage, matched): the full form of a label's dosage. One that says that it is missing is null and matched; an unknown
+    one is kept and not matched."""
+    forms = {(name, form): full for _, name, short, full, _ in v.MEDICATIONS for form in (short, full, full.removeprefix("Take "))}
+    known = F.try_element_at(_mapping([("\0".join(k), full) for k, full in forms.items()]), F.concat_ws("\0", label, dosage))
+    missing = dosage.isNull() | F.lower(strip(dosage)).isin(v.MISSING_DOSAGES)
+    return F.struct(F.when(~missing, F.coalesce(known, dosage)).alias("dosage"), (missing | known.isNotNull()).alias("matched"))
+
+
+def medication(name: Column, dosage: Column) -> Column:
+    """struct(name, dosage, matched, said): said is the dosage as it was before it was looked up."""
+    label, rest = split_label(name, dosage)
+    found = dosage_of(label, rest)
+    return F.struct(label.alias("name"), found["dosage"].alias("dosage"), found["matched"].alias("matched"), rest.alias("said"))
+
+
+def normalize_diagnoses(df: DataFrame, name: str = "name") -> DataFrame:
+    """Adds canonical and matched."""
+    found = diagnosis(F.col(name))
+    return df.withColumns({"canonical": found["name"], "matched": found["matched"]})
+
+
+def normalize_vitals(df: DataFrame) -> DataFrame:
+    """Of name, value (text), unit: what vital() makes of them, value as value_text; other columns stay."""
+    found = df.withColumn("_v", vital(F.col("name"), F.col("value"), F.col("unit")))
+    others = [c for c in df.columns if c not in ("name", "value", "unit")]
+    return found.select(*others, "_v.name", F.col("_v.value").alias("value_text"), "_v.value_num", "_v.unit", "_v.matched")
 
 
 def normalize_dosages(df: DataFrame) -> DataFrame:
-    """Of name, dosage: bare drug names become labels (what the label says is cut off the dosage), dosages their full form.
+    """Of name, dosage: what medication() makes of them; other columns stay."""
+    found = df.withColumn("_m", medication(F.col("name"), F.col("dosage")))
+    return found.select(*[c for c in df.columns if c not in ("name", "dosage")], "_m.name", "_m.dosage", "_m.matched")
+
+
+def normalize_records(records: DataFrame) -> DataFrame:
+    """records with diagnoses, medications and vitals normalized, and unmatched: array of struct (field_type, detail).
 
-    A dosage that says that it is missing becomes null and is matched; an unknown one is kept and not matched.
+    records: diagnoses (array of struct name), medications (name, dosage), vitals (name, value, unit), and other columns, which
+    stay. A diagnosis, or a medication with its dosage, that was said before in the record is left out; vitals stay all. A null array
+    counts as an empty one.
     """
-    base = [(label.split(" ", 1)[0].lower(), label) for _, label, *_ in v.MEDICATIONS]
-    label = F.try_element_at(_mapping(base), F.lower(F.trim("name")))
-    rest = F.trim(F.expr("substring(_label, length(trim(name)) + 1)"))
-    df = df.withColumn("_label", label).withColumn("_rest", rest)
-    bundled = F.startswith(F.lower("dosage"), F.lower("_rest")) & F.col("_label").isNotNull()
-    cut = F.nullif(F.ltrim(F.expr("substring(dosage, length(_rest) + 1)"), F.lit(" -,;")), F.lit(""))
-    df = df.withColumns({"name": F.coalesce("_label", "name"), "dosage": F.when(bundled, cut).otherwise(F.col("dosage"))}).drop("_label", "_rest")
-    variants = v.dosage_variants(df.sparkSession).withColumnsRenamed({"label": "name", "variant": "dosage"})
-    missing = F.col("dosage").isNull() | F.lower(F.trim("dosage")).isin(v.MISSING_DOSAGES)
-    found = df.join(F.broadcast(variants), ["name", "dosage"], "left")  # at most three forms of each drug
-    return found.select(
-        *[c for c in df.columns if c != "dosage"],
-        F.when(~missing, F.coalesce("full", "dosage")).alias("dosage"),
-        (missing | F.col("full").isNotNull()).alias("matched"),
+    some = lambda c: F.coalesce(F.col(c), F.array().cast(records.schema[c].dataType))
+    work = records.withColumns(
+        {
+            "_d": F.transform(some("diagnoses"), lambda x: F.struct(diagnosis(x["name"]).alias("r"), x["name"].alias("raw"))),
+            "_m": F.transform(some("medications"), lambda x: medication(x["name"], x["dosage"])),
+            "_v": F.transform(
+                some("vitals"),
+                lambda x: F.struct(vital(x["name"], x["value"].cast("string"), x["unit"]).alias("r"), x["name"].alias("name"), x["value"].cast("string").alias("value"), x["unit"].alias("unit")),
+            ),
+        }
+    )
+    detail = lambda kind, text: F.struct(F.lit(kind).alias("field_type"), text.alias("detail"))
+    unmatched = F.concat(
+        F.transform(F.filter("_d", lambda x: ~x["r"]["matched"]), lambda x: detail("diagnosis", F.concat(F.lit("diagnosis: "), quoted(x["raw"])))),
+        F.transform(
+            F.filter("_m", lambda x: ~x["matched"]),
+            lambda x: detail("dosage", F.concat(F.lit("dosage for "), quoted(x["name"]), F.lit(": "), quoted(x["said"]))),
+        ),
+        F.transform(
+            F.filter("_v", lambda x: ~x["r"]["matched"]),
+            lambda x: detail("vital", F.concat(F.lit("vital: "), quoted(x["name"]), F.lit(" ("), quoted(x["value"]), F.lit(" "), quoted(x["unit"]), F.lit(")"))),
+        ),
+    )
+    made = {
+        "diagnoses": F.array_distinct(F.transform("_d", lambda x: F.struct(x["r"]["name"].alias("name")))),
+        "medications": F.array_distinct(F.transform("_m", lambda x: F.struct(x["name"].alias("name"), x["dosage"].alias("dosage")))),
+        "vitals": F.transform("_v", lambda x: F.struct(*(x["r"][c].alias(c) for c in ("name", "value", "value_num", "unit")))),
+        "unmatched": unmatched,
+    }
+    return work.withColumns(made).drop("_d", "_m", "_v")
+
+
+def mentions(records: DataFrame) -> DataFrame:
+    """field, total, unmatched: a row for each field of each record of normalize_records() that has n_diagnoses, n_medications, n_vitals."""
+    count = lambda kind: F.size(F.filter("unmatched", lambda u: u["field_type"] == kind)).cast("long")
+    fields = [("diagnosis", "n_diagnoses"), ("dosage", "n_medications"), ("vital", "n_vitals")]
+    return records.select(F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(n).alias("total"), count(f).alias("unmatched")) for f, n in fields))))
+
+
+def record_metrics(records: DataFrame) -> DataFrame:
+    """total, matched, unmatched and unmatched_rate of each field of raw records, and over all (field null)."""
+    sizes = {f"n_{c}": F.greatest(F.size(c), F.lit(0)).cast("long") for c in ("diagnoses", "medications", "vitals")}
+    rows = mentions(normalize_records(records.withColumns(sizes)))
+    return (
+        rows.rollup("field")
+        .agg(F.sum("total").alias("total"), F.sum("unmatched").alias("unmatched"))
+        .withColumn("matched", F.col("total") - F.col("unmatched"))
+        .withColumn("unmatched_rate", F.round(F.coalesce(F.try_divide("unmatched", "total"), F.lit(0.0)), 4))
     )
 
 

@@ -31,7 +31,10 @@ def of_type(resources: DataFrame, kind: str) -> DataFrame:
 
 
 def person(resources: DataFrame, number) -> DataFrame:
-    """number(df, order, name) gives surrogate keys from 1."""
+    """One row for each patient, with patient_id, by which events find it. number(df, order, name) gives surrogate keys from 1.
+
+    The source value is the first identifier, without one the id.
+    """
     genders = resources.sparkSession.createDataFrame(v.GENDERS, "gender string, gender_concept_id long")
     rows = lookup(of_type(resources, "Patient"), genders, ["gender"], {"gender_concept_id": 0})
     born = F.to_date("birthDate")
@@ -43,49 +46,57 @@ def person(resources: DataFrame, number) -> DataFrame:
         F.day(born).cast("long").alias("day_of_birth"),
         F.lit(0).cast("long").alias("race_concept_id"),
         F.lit(0).cast("long").alias("ethnicity_concept_id"),
-        F.col("id").alias("person_source_value"),
-        F.col("gender").alias("gender_source_value"),
+        F.coalesce(F.nullif(F.get("identifier", F.lit(0))["value"], F.lit("")), F.col("id")).alias("person_source_value"),
+        F.coalesce("gender", F.lit("")).alias("gender_source_value"),
+        F.col("id").alias("patient_id"),
     )
     return number(flat, ["ord"], "person_id")
 
 
 def events_of(resources: DataFrame, kind: str, people: DataFrame) -> DataFrame:
     """Resources of a type with the number and place of their patient; orphans go."""
-    rows = of_type(resources, kind).withColumn("person_source_value", referenced(F.col("subject.reference")))
-    return rows.join(people.select("person_source_value", "person_id"), "person_source_value")
+    rows = of_type(resources, kind).withColumn("patient_id", referenced(F.col("subject.reference")))
+    return rows.join(people.select("patient_id", "person_id"), "patient_id")
+
+
+def coded_or_none(rows: DataFrame, dim: DataFrame, ids: list[str]) -> DataFrame:
+    """rows with the ids of their code; a code that dim lacks is an error, a missing one has ids 0."""
+    coded = strict_lookup(rows.where("code is not null"), dim.select("code", ids[0]), "code", ids[0])
+    if ids[1:]:
+        coded = coded.join(dim.select("code", *ids[1:]), "code")
+    return coded.unionByName(rows.where("code is null").withColumns({i: F.lit(0).cast("long") for i in ids}))
 
 
 def condition_occurrence(resources: DataFrame, people: DataFrame, number) -> DataFrame:
     """An ICD-10 code that the vocabulary lacks is an error; a missing one gives concept 0."""
     rows = events_of(resources, "Condition", people).withColumn("code", coding(F.col("code.coding"), ICD10)["code"])
-    dim = v.conditions(resources.sparkSession).select("code", "standard_id", "source_id")
-    coded = strict_lookup(rows.where("code is not null"), dim.select("code", "standard_id"), "code", "standard_id").join(dim.select("code", "source_id"), "code")
-    bare = rows.where("code is null").withColumns({"standard_id": F.lit(0).cast("long"), "source_id": F.lit(0).cast("long")})
-    flat = coded.unionByName(bare).select(
+    flat = coded_or_none(rows, v.conditions(resources.sparkSession), ["standard_id", "source_id"]).select(
         "ord",
         "person_id",
         F.col("standard_id").alias("condition_concept_id"),
         F.col("onsetDateTime").alias("condition_start_date"),
         F.lit(v.EHR_TYPE).cast("long").alias("condition_type_concept_id"),
-        F.col("code").alias("condition_source_value"),
+        F.coalesce("code", F.lit("")).alias("condition_source_value"),
         F.col("source_id").alias("condition_source_concept_id"),
     )
     return number(flat, ["person_id", "ord"], "condition_occurrence_id")
 
 
 def drug_exposure(resources: DataFrame, people: DataFrame, number) -> DataFrame:
+    """An RxNorm code that the vocabulary lacks is an error; a missing one gives concept 0. RxNorm and LOINC are standard
+    vocabularies, so source concepts of drugs and measurements are the standard ones."""
     rows = events_of(resources, "MedicationRequest", people)
     rows = rows.withColumn("code", coding(F.col("medicationCodeableConcept.coding"), RXNORM)["code"])
-    found = lookup(rows, v.medications(resources.sparkSession), ["code"], {"standard_id": 0})
+    found = coded_or_none(rows, v.medications(resources.sparkSession).select("code", "standard_id"), ["standard_id"])
     flat = found.select(
         "ord",
         "person_id",
         F.col("standard_id").alias("drug_concept_id"),
         F.col("authoredOn").alias("drug_exposure_start_date"),
         F.lit(v.EHR_TYPE).cast("long").alias("drug_type_concept_id"),
-        F.col("code").alias("drug_source_value"),
+        F.coalesce("code", F.lit("")).alias("drug_source_value"),
         F.col("standard_id").alias("drug_source_concept_id"),
-        F.get("dosageInstruction", F.lit(0))["text"].alias("sig"),
+        F.coalesce(F.get("dosageInstruction", F.lit(0))["text"], F.lit("")).alias("sig"),
     )
     return number(flat, ["person_id", "ord"], "drug_exposure_id")
 
@@ -95,7 +106,7 @@ def measurement(resources: DataFrame, people: DataFrame, number) -> DataFrame:
     one = F.array(F.struct(F.struct(F.col("code.coding").alias("coding")).alias("code"), "valueQuantity"))
     rows = events_of(resources, "Observation", people)
     parts = rows.select("ord", "person_id", "effectiveDateTime", F.posexplode(F.when(F.size("component") > 0, F.col("component")).otherwise(one)).alias("part", "c"))
-    coded = parts.withColumns({"code": coding(F.col("c.code.coding"), LOINC)["code"], "unit": F.col("c.valueQuantity.code")})
+    coded = parts.withColumns({"code": coding(F.col("c.code.coding"), LOINC)["code"], "unit": F.coalesce(F.col("c.valueQuantity.code"), F.lit(""))})
     found = lookup(coded, v.observations(resources.sparkSession), ["code"], {"standard_id": 0})
     found = lookup(found, v.units(resources.sparkSession), ["unit"], {"unit_id": 0})
     flat = found.select(
@@ -107,9 +118,9 @@ def measurement(resources: DataFrame, people: DataFrame, number) -> DataFrame:
         F.lit(v.EHR_TYPE).cast("long").alias("measurement_type_concept_id"),
         F.col("c.valueQuantity.value").alias("value_as_number"),
         F.col("unit_id").alias("unit_concept_id"),
-        F.col("code").alias("measurement_source_value"),
+        F.coalesce("code", F.lit("")).alias("measurement_source_value"),
         F.col("standard_id").alias("measurement_source_concept_id"),
-        F.col("c.valueQuantity.unit").alias("unit_source_value"),
+        F.col("unit").alias("unit_source_value"),
     )
     return number(flat, ["person_id", "ord", "part"], "measurement_id")
 
@@ -129,7 +140,7 @@ def fhir_to_omop(resources: DataFrame, number) -> dict[str, DataFrame]:
     """All five tables. resources: ord and the columns of RESOURCE."""
     people = person(resources, number)
     tables = {
-        "person": people,
+        "person": people.drop("patient_id"),
         "condition_occurrence": condition_occurrence(resources, people, number),
         "drug_exposure": drug_exposure(resources, people, number),
         "measurement": measurement(resources, people, number),

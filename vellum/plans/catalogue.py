@@ -152,11 +152,13 @@ def date_shift(t):
     return deid.shift_dates(dated, "o_custkey").drop("o_custkey")
 
 
-@query("SELECT NULL::BIGINT AS o_custkey, NULL::INTEGER AS least, NULL::INTEGER AS most WHERE false")
+@query(f"""
+SELECT o_custkey, {OFFSET_DAYS.format("r")} AS least, {OFFSET_DAYS.format("r")} AS most, true AS kept FROM (
+  SELECT DISTINCT o_custkey, {OFFSET.format("CAST(o_custkey AS VARCHAR) || ':visit'")} AS r FROM orders)""")
 def interval_invariant(t):
-    """No row: within a patient all dates move by the same days, and never by none."""
+    """Within a patient all dates move by the same days, and never by none."""
     dated = t("orders").select("o_orderkey", "o_custkey", day("o_orderdate").alias("onsetDateTime"))
-    return deid.offsets_keep_intervals(dated, deid.shift_dates(dated, "o_custkey"), "o_orderkey", "onsetDateTime", "o_custkey")
+    return deid.moved_days(dated, deid.shift_dates(dated, "o_custkey"), "o_orderkey", "onsetDateTime", "o_custkey")
 
 
 @query("SELECT c_custkey, 'DEID-' || upper(substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 10)) AS pseudonym FROM customer")
@@ -380,7 +382,7 @@ SELECT grp AS patient, n, split FROM w WHERE i > 0"""
 
 def _splits(t) -> DataFrame:
     sizes = t("orders").groupBy(F.col("o_custkey").alias("patient")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
-    return dataset.split_groups(sizes, "patient")
+    return dataset.split_groups(sizes, "patient", checkpointed)
 
 
 @query(SPLIT_SQL)
@@ -417,7 +419,7 @@ def response_json_fields(t):
 
 @query("SELECT count(*) AS n_examples, sha256(string_agg(sha256(text), '' ORDER BY item_id)) AS sha256 FROM benchmark")
 def gold_manifest(t):
-    return dataset.frozen(t("benchmark"), "item_id", F.col("text"))
+    return dataset.frozen(t("benchmark"), "item_id", F.col("text"), checkpointed)
 
 
 # --- evaluation --------------------------------------------------------------
@@ -458,10 +460,10 @@ def non_canonical(t):
     return t("lineitem").select(F.col("l_returnflag").alias("name")).join(canon, "name", "left_anti").groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'props' AS field, avg(CASE WHEN json_valid(props) AND json_type(props) = 'OBJECT' THEN 1 ELSE 0 END) AS rate FROM events UNION ALL SELECT 'name', avg(0) FROM part")
+@query("SELECT 'props' AS field, avg(CASE WHEN json_valid(props) AND json_type(props) = 'OBJECT' THEN 1 ELSE 0 END) AS rate FROM events UNION ALL SELECT 'text', avg(CASE WHEN json_valid(text) AND json_type(text) = 'OBJECT' THEN 1 ELSE 0 END) FROM documents")
 def json_validity(t):
     rate = lambda df, c, name: df.agg(F.lit(name).alias("field"), F.avg(evaluate.json_object(F.col(c)).cast("int")).alias("rate"))
-    return rate(t("events"), "props", "props").union(rate(t("part"), "p_name", "name"))
+    return rate(t("events"), "props", "props").union(rate(t("documents"), "text", "text"))
 
 
 @query("""
@@ -472,18 +474,6 @@ def dosage_match_kinds(t):
     return t("lineitem").select(evaluate.match_kind(expected, got).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query(f"""
-{SCORES}, a AS (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM s), r AS (SELECT {RATES} FROM a)
-SELECT 'diagnosis_micro_f1' AS "check", f1 AS value, 0.8 AS bound, f1 >= 0.8 AS passed FROM r
-UNION ALL SELECT 'max_non_canonical', CAST(fp AS DOUBLE), 2, fp <= 2 FROM r
-UNION ALL SELECT 'json_validity_rate', NULL, 0.9, false UNION ALL SELECT 'medication_micro_f1', NULL, 0.7, false""")
-def release_gate(t):
-    whole = evaluate.overall(_scores(t))
-    metrics = whole.select(F.lit("diagnosis_micro_f1").alias("check"), F.col("f1").alias("value")).union(whole.select(F.lit("max_non_canonical"), F.col("fp").cast("double")))
-    bounds = whole.sparkSession.createDataFrame(V.RELEASE_THRESHOLDS, "check string, direction string, bound double")
-    return evaluate.release_gate(metrics, bounds)
-
-
 # --- analytics ---------------------------------------------------------------
 
 FACTS = """
@@ -500,19 +490,27 @@ def _facts(t) -> DataFrame:
     )
 
 
-@query(f"{FACTS} {analytics.NAMED_QUERIES['prevalence']}")
+@query(f"{FACTS} SELECT diagnosis, count(DISTINCT patient_id) AS patients, round(avg(confidence), 3) AS avg_confidence FROM tbl GROUP BY diagnosis")
 def prevalence(t):
-    return analytics.named_query(_facts(t), "prevalence")
+    return analytics.prevalence(_facts(t))
 
 
-@query(f"{FACTS} {analytics.NAMED_QUERIES['split_distribution']}")
+@query(f"{FACTS} SELECT split, count(*) AS rows, count(DISTINCT patient_id) AS patients, count(*) FILTER (is_rebalance_duplicate) AS rebalance_dupes FROM tbl GROUP BY split")
 def split_distribution(t):
-    return analytics.named_query(_facts(t), "split_distribution")
+    return analytics.split_distribution(_facts(t))
 
 
-@query(f"{FACTS} {analytics.NAMED_QUERIES['comorbidity']}")
+COMORBIDITY = "SELECT diagnosis, round(avg(n_diagnoses), 2) AS avg_dx_per_record, round(avg(n_medications), 2) AS avg_meds FROM tbl GROUP BY diagnosis"
+
+
+@query(f"{FACTS} {COMORBIDITY}")
 def comorbidity(t):
-    return analytics.named_query(_facts(t), "comorbidity")
+    return analytics.comorbidity(_facts(t))
+
+
+@query(f"{FACTS} {COMORBIDITY} ORDER BY avg_dx_per_record DESC, diagnosis LIMIT 3")
+def sql_over_view(t):
+    return analytics.query_facts(_facts(t), f"{COMORBIDITY} ORDER BY avg_dx_per_record DESC, diagnosis LIMIT 3")
 
 
 @query("""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,28 +75,53 @@ class GateFailed(RuntimeError):
     """The staged data didn't pass; the final data is untouched."""
 
 
-def stage_then_promote(df: DataFrame, gate, staging: str, final: str) -> DataFrame:
-    """Writes df to staging, runs gate(DataFrame) -> failures over what was written, and renames it to final if there are none."""
+def _moved(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"could not rename {source} to {target}")
+
+
+def stage_then_promote(df: DataFrame, gate, staging: str, final: str, report: str | None = None) -> DataFrame:
+    """Writes df to staging, runs gate(DataFrame) -> failures over what was written, and renames it to final if there are none.
+
+    The number of failures and the first of them are written to report in either case. The last good data
+    is kept beside final until the new one has its place; if a run ends in between, the next one puts it back first.
+    """
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(staging)
-    failures = gate(spark.read.parquet(staging))
-    if failures.limit(1).count():
-        raise GateFailed(f"staged data in {staging} failed: {failures.limit(5).collect()}")
     source, fs = _file_system(spark, staging)
     target, _ = _file_system(spark, final)
-    old, _ = _file_system(spark, f"{final}.{uuid.uuid4().hex}")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(source, target)
-    fs.delete(old, True)
+    kept, _ = _file_system(spark, f"{final}.last-good")
+    if fs.exists(kept):
+        if fs.exists(target):
+            fs.delete(kept, True)
+        else:
+            _moved(fs, kept, target)
+    df.write.mode("overwrite").parquet(staging)
+    failures = gate(spark.read.parquet(staging))
+    first = failures.limit(5).toJSON().collect()
+    if report:
+        counts = failures.agg((F.count("*") == 0).alias("passed"), F.count("*").alias("n_failures"))
+        write_report(spark, counts.withColumn("first", F.lit(first)), report)
+    if first:
+        raise GateFailed(f"staged data in {staging} failed: {first}")
+    had_one = fs.exists(target)
+    if had_one:
+        _moved(fs, target, kept)
+    try:
+        _moved(fs, source, target)
+    except BaseException:
+        if had_one:
+            _moved(fs, kept, target)
+        raise
+    if had_one:
+        fs.delete(kept, True)
     return spark.read.parquet(final)
 
 
 def cache_put(results: DataFrame, path: str) -> None:
-    """Appends results (key, value) to a cache table; later ones win."""
-    results.withColumn("stored_at", F.current_timestamp()).write.mode("append").parquet(path)
+    """Appends results (key, value) to a cache table; later ones win, of one append the later row."""
+    results.withColumns({"stored_at": F.current_timestamp(), "row": F.monotonically_increasing_id()}).write.mode("append").parquet(path)
 
 
 def cache_get(spark: SparkSession, path: str) -> DataFrame:
     """key, value: the latest value of each key."""
-    return spark.read.parquet(path).groupBy("key").agg(F.max_by("value", "stored_at").alias("value"))
+    return spark.read.parquet(path).groupBy("key").agg(F.max_by("value", F.struct("stored_at", "row")).alias("value"))
