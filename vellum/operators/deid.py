@@ -70,6 +70,12 @@ def leaked_identifiers(identifiers: DataFrame, haystacks: DataFrame, key: str) -
     return pairs.where(F.contains("text", F.col("value"))).select(key, "value").distinct()
 
 
+def overall_recall(by_type: DataFrame) -> DataFrame:
+    """total, caught and recall over all types of span_recall()."""
+    sums = by_type.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("caught"), F.lit(0)).alias("caught"))
+    return sums.withColumn("recall", F.round(F.coalesce(F.try_divide("caught", "total"), F.lit(0.0)), 4))
+
+
 def patient_identifiers(patients: DataFrame, shortest: int = 3) -> DataFrame:
     """id, value: the direct identifiers of each patient. Given names of fewer than ``shortest`` characters are none by themselves.
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.vocabulary import TRANSIENT_HINTS
@@ -58,6 +59,48 @@ def cache_first(requests: DataFrame, cache: DataFrame, client_factory: Callable
     return requests.join(cache.unionByName(answered(misses, client_factory)), "key")
 
 
+def submit_batch(requests: DataFrame, cache: DataFrame, path: str) -> str | None:
+    """Writes the requests (key, text) that the cache has no answer to, once each, as a batch to path; its name, or None if there are none.
+
+    Nothing is asked yet: the written table is all that a later collect_batch() needs.
+    """
+    misses = requests.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"]).select("key", "text")
+    if not misses.limit(1).count():
+        return None
+    name = uuid.uuid4().hex
+    misses.write.parquet(f"{path}/{name}")
+    return name
+
+
+def collect_batch(spark: SparkSession, path: str, name: str, client_factory: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """key, value: the answers to a submitted batch, for the cache."""
+    return answered(spark.read.parquet(f"{path}/{name}"), client_factory)
+
+
+def synthesized(needed: DataFrame, client_factory: Callable[[], Callable[[str], str]], fields: str) -> DataFrame:
+    """Records that fill deficits: patient_id, note_id, the fields, synthesized and synthesized_category.
+
+    needed: category, needed. The client gets a prompt for each record and answers a JSON text of the fields (a schema). Ids are
+    digests of category and number, so that a rerun names the same records.
+    """
+    each = needed.where("needed > 0").select("category", F.explode(F.sequence(F.lit(1).cast("long"), F.col("needed").cast("long"))).alias("i"))
+    key = F.substring(F.sha2(F.concat_ws(":", "category", "i"), 256), 1, 32)
+    asked = each.select(key.alias("key"), "category", F.concat(F.lit("A record of a patient with "), "category").alias("text"))
+    said = asked.join(answered(asked, client_factory), "key").withColumn("_f", F.from_json("value", fields))
+    return said.select(
+        F.concat(F.lit("synthetic-"), "key").alias("patient_id"),
+        F.concat(F.lit("note-synthetic-"), "key").alias("note_id"),
+        "_f.*",
+        F.lit(True).alias("synthesized"),
+        F.col("category").alias("synthesized_category"),
+    )
+
+
+def low_confidence(confidence: Column, least: float = 0.7) -> Column:
+    """Whether a record should be looked at; one that says nothing of its confidence need not."""
+    return F.coalesce(confidence, F.lit(1.0)) < least
+
+
 def rule_detector(text: Column, patterns: list[tuple[str, str]]) -> Column:
     """Stands for a trained detector: array<struct<type, text>> of all matches of each pattern."""
     found = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), _typed(kind)) for kind, p in patterns]

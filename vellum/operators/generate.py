@@ -113,9 +113,33 @@ def medication_requests(dx: DataFrame, seed: int = 42, messy: bool = True) -> Da
         F.struct(F.array(F.struct(F.lit(RXNORM).alias("system"), F.col("rx").alias("code"), F.lit(None).cast("string").alias("display"))).alias("coding"), F.lit(None).cast("string").alias("text")).alias("medicationCodeableConcept"),
         F.col("onsetDateTime").alias("authoredOn"),
         unless(u("m"), 0.15 if messy else 0.0, F.array(F.struct(text.alias("text")))).alias("dosageInstruction"),
+        F.array(F.struct(F.concat(F.lit("Condition/"), "id").alias("reference"))).alias("reasonReference"),
     )
 
 
+def bridge(members: DataFrame, vocabulary: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """icd10, rxcui, weight: drugs of the vocabulary that may treat each diagnosis; a diagnosis' drugs share alike unless overridden.
+
+    members: icd10, rxcui (of a classification, most of them outside the vocabulary). vocabulary: rxcui. overrides: icd10, rxcui, weight.
+    """
+    matched = members.select("icd10", "rxcui").distinct().join(vocabulary.select("rxcui"), "rxcui", "left_semi")
+    even = matched.groupBy("icd10").agg((1.0 / F.count("*")).alias("even"))
+    weighted = matched.join(even, "icd10")
+    weight = F.col("even")
+    if overrides is not None:
+        weighted = weighted.join(overrides.select("icd10", "rxcui", F.col("weight").alias("own")), ["icd10", "rxcui"], "left")
+        weight = F.coalesce("own", weight)
+    return weighted.select("icd10", "rxcui", F.round(weight, 3).alias("weight"))
+
+
+def bridge_flags(diagnoses: DataFrame, found: DataFrame, added: DataFrame) -> DataFrame:
+    """icd10, reason: diagnoses without a drug of the vocabulary, or with newly added ones only. added: rxcui."""
+    flagged = diagnoses.select("icd10").join(found.select("icd10", "rxcui"), "icd10", "left").join(added.select("rxcui", F.lit(True).alias("new")), "rxcui", "left")
+    counts = flagged.groupBy("icd10").agg(F.count("rxcui").alias("n"), F.count("new").alias("n_new"))
+    reason = F.when(F.col("n") == 0, "no in-vocabulary medication").when(F.col("n") == F.col("n_new"), "only newly added medications")
+    return counts.select("icd10", reason.alias("reason")).where("reason is not null")
+
+
 def dataset(spark: SparkSession, n_patients: int, seed: int = 42, messy: bool = True) -> dict[str, DataFrame]:
     people = patients(spark, n_patients, seed, messy)
     dx = conditions(people, seed)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import vocabulary as v
@@ -182,6 +182,42 @@ def coverage(concepts: DataFrame, section: str, mapped: str) -> DataFrame:
     return concepts.groupBy(section).agg(F.count("*").alias("total"), F.count_if(F.col(mapped) != 0).alias("mapped"))
 
 
+def read_concepts(spark: SparkSession, path: str, section: str) -> DataFrame:
+    """Concepts of a section of a vocabulary document: source and standard code, name, vocabulary and id; no id is 0.
+
+    The document maps each section's source codes to {source, standard}, each with concept_id, concept_code, concept_name and
+    vocabulary_id, or null.
+    """
+    side = "struct<concept_id:bigint,concept_code:string,concept_name:string,vocabulary_id:string,domain_id:string>"
+    text = spark.read.text(path, wholetext=True)
+    entries = text.select(F.from_json("value", f"`{section}` map<string,struct<source:{side},standard:{side}>>")[section].alias("e"))
+    each = entries.select(F.explode("e").alias("source_code", "c"))
+    field = lambda s, name: F.coalesce(F.col(f"c.{s}.{name}"), F.lit(0 if name == "concept_id" else ""))
+    return each.select(
+        "source_code",
+        field("source", "concept_name").alias("source_name"),
+        field("source", "vocabulary_id").alias("source_vocabulary"),
+        field("source", "concept_id").alias("source_concept_id"),
+        field("standard", "concept_code").alias("standard_code"),
+        field("standard", "concept_name").alias("standard_name"),
+        field("standard", "vocabulary_id").alias("standard_vocabulary"),
+        field("standard", "concept_id").alias("standard_concept_id"),
+        F.coalesce(F.nullif(field("standard", "domain_id"), F.lit("")), field("source", "domain_id")).alias("domain"),
+    )
+
+
+def concept_name() -> Column:
+    """The standard name of a concept of read_concepts(), or its source name."""
+    return F.coalesce(F.nullif(F.col("standard_name"), F.lit("")), "source_name")
+
+
+def validity_by_type(resources: DataFrame) -> DataFrame:
+    """total, valid of each resource type, and of all (resourceType null)."""
+    bad = structural_failures(resources).select("resourceType", "id").distinct().withColumn("_bad", F.lit(1))
+    flagged = resources.select("resourceType", "id").join(bad, ["resourceType", "id"], "left")
+    return flagged.rollup("resourceType").agg(F.count("*").alias("total"), F.count_if(F.col("_bad").isNull()).alias("valid"))
+
+
 def structural_failures(resources: DataFrame) -> DataFrame:
     """Resources that lack what their type needs: resourceType, id, field."""
     needs = {"Patient": ["birthDate"], "Condition": ["code", "subject"], "Observation": ["code", "subject"], "MedicationRequest": ["medicationCodeableConcept", "subject"]}

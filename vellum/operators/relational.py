@@ -83,3 +83,18 @@ def no_rows(failures: DataFrame, message: str) -> None:
     found = failures.limit(5).collect()
     if found:
         raise ValueError(f"{message}: {found}")
+
+
+def within(left: DataFrame, right: DataFrame) -> bool:
+    """Whether every distinct row of left is a row of right."""
+    return left.subtract(right).limit(1).count() == 0
+
+
+def same_set(left: DataFrame, right: DataFrame) -> bool:
+    """Whether both have the same distinct rows."""
+    return within(left, right) and within(right, left)
+
+
+def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column in order, without nulls."""
+    return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)

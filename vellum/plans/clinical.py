@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import vocabulary as V
-from vellum.operators import curate, dataset, deid, evaluate, external, lineage, normalize, omop, quality_gate
+from vellum.operators import curate, dataset, deid, evaluate, external, generate, lineage, normalize, notes, omop, quality_gate
+from vellum.operators.relational import cogroup_nest, numbered
 from vellum.plans.catalogue import REBALANCE, SPLIT_SQL, checkpointed, day, query
 from vellum.plans.catalogue import _needed as copies_needed
 from vellum.sources import io
@@ -387,8 +388,6 @@ def resources(t) -> DataFrame:
 
 
 def _number(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    from vellum.operators.relational import numbered
-
     return numbered(df, order, name, checkpointed)
 
 
@@ -517,6 +516,59 @@ def leakage_report(t):
     return report.select("patients", "total_leaks", F.array_join(F.transform("leaked_examples", lambda x: F.concat(x["id"], F.lit("="), x["value"])), "|").alias("examples"))
 
 
+# --- notes, bridge, synthesis ---------------------------------------------------
+
+
+def _notes(t) -> DataFrame:
+    """A note for each customer: its orders are conditions, the line items of these medications and vitals."""
+    orders = t("orders").select(F.concat(F.lit("p"), "o_custkey").alias("id"), "o_orderkey", F.element_at(F.array(*(F.lit(x[1]) for x in V.CONDITIONS)), (F.col("o_orderkey") % 10 + 1).cast("int")).alias("name"), F.when(F.col("o_orderkey") % 5 != 0, day("o_orderdate")).alias("onset"))
+    items = t("lineitem").join(orders.select("id", "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    drugs = items.where("l_linenumber = 1").select("id", F.element_at(F.array(*(F.lit(m[1]) for m in V.MEDICATIONS)), (F.col("l_partkey") % 11 + 1).cast("int")).alias("label"), F.when(F.col("l_suppkey") % 2 == 0, "daily").alias("dose"), day("l_shipdate").alias("when"))
+    vitals = items.where("l_linenumber = 2").select("id", F.lit("BP").alias("name"), F.concat(F.lit("BP "), notes.whole(F.col("l_quantity")), F.lit("/80 mmHg")).alias("reading"), day("l_shipdate").alias("when"))
+    return cogroup_nest(_patients(t).select("id", "name", "identifier", "birthDate", "address"), {"conditions": orders.drop("o_orderkey"), "medications": drugs, "vitals": vitals}, "id")
+
+
+@query("""
+WITH n AS (SELECT (SELECT count(*) FROM customer) AS people, (SELECT count(*) FROM customer WHERE c_custkey % 4 <> 0) AS mrns, (SELECT count(*) FROM orders WHERE o_orderkey % 5 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer)) AS onsets)
+SELECT type, CASE type WHEN 'MRN' THEN mrns WHEN 'DATE' THEN people + onsets ELSE people END AS n, true AS exact
+FROM n, (VALUES ('PATIENT_NAME'), ('DOB'), ('MRN'), ('ADDRESS'), ('CITY'), ('STATE'), ('ZIP'), ('DATE'), ('PROVIDER_NAME')) v(type)""")
+def note_spans(t):
+    """Spans of notes by type, and whether each stands in the text where it says."""
+    made = notes.build_notes(_notes(t)).select("text", F.explode("phi_spans").alias("s"))
+    stands = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")) == F.col("s.text")
+    return made.groupBy("s.type").agg(F.count("*").alias("n"), F.bool_and(stands).alias("exact"))
+
+
+@query("""
+WITH last AS (
+  SELECT 'p' || c_custkey AS patient_id, greatest(
+    (SELECT max(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END)::DATE FROM orders WHERE o_custkey = c_custkey),
+    (SELECT max(l_shipdate)::DATE FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey AND l_linenumber = 2)) AS d FROM customer)
+SELECT patient_id, strftime(coalesce(d, DATE '2026-05-01') + CAST(CAST('0x' || md5('visit:' || patient_id)[1:8] AS BIGINT) % 60 + 1 AS INTEGER), '%Y-%m-%d') AS visit_date FROM last""")
+def visit_dates(t):
+    return notes.build_notes(_notes(t)).select("patient_id", "visit_date")
+
+
+@query("""
+WITH m AS (SELECT DISTINCT l_shipdate::DATE AS icd10, l_suppkey AS rxcui FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 10))
+SELECT strftime(icd10, '%Y-%m-%d') AS icd10, rxcui, round(1.0::DOUBLE / count(*) OVER (PARTITION BY icd10), 3) AS weight FROM m""")
+def dx_med_bridge(t):
+    members = t("lineitem").select(day("l_shipdate").alias("icd10"), F.col("l_suppkey").alias("rxcui"))
+    return generate.bridge(members, t("supplier").where("s_nationkey < 10").select(F.col("s_suppkey").alias("rxcui")))
+
+
+@query("""
+WITH c AS (SELECT o_orderpriority AS category, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1), d AS (SELECT category, max(n) OVER () - n AS needed FROM c),
+e AS (SELECT category, unnest(range(1, needed + 1)) AS i FROM d)
+SELECT 'synthetic-' || sha256(category || ':' || i)[1:32] AS patient_id, upper(category) AS said, category AS synthesized_category FROM e""")
+def synthesized_records(t):
+    orders = t("orders").withColumnRenamed("o_orderpriority", "category")
+    counts = curate.category_counts(orders, "o_custkey", "category")
+    client = lambda: lambda text: '{"said": "' + text.removeprefix("A record of a patient with ").upper() + '"}'
+    made = external.synthesized(curate.deficits(counts, counts.select("category"), "category"), client, "said string")
+    return made.select("patient_id", "said", "synthesized_category")
+
+
 # --- sources, sinks, slots -----------------------------------------------------
 
 
