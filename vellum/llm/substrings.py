@@ -107,7 +107,10 @@ def sampled_minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def common_runs(common: np.ndarray):
-    """Of batches of (doc_id, text, key): the runs of windows of common minimizers, with their places and bytes."""
+    """Of batches of (doc_id, text, key): the bytes of each run of windows of a common minimizer, and where the texts of a chunk hold it.
+
+    A run that many documents hold is so one row for each chunk of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -117,15 +120,18 @@ def common_runs(common: np.ndarray):
                 keep = among(hashes, common)
                 text, first, last = text[keep], first[keep], last[keep]
                 view = data.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[text, 0], pa.int64()),
-                        pa.array(ids[text, 1], pa.int64()),
-                        pa.array((first - starts[text]).astype(np.int32), pa.int32()),
-                        pa.array([view[a : b + WINDOW] for a, b in zip(first, last, strict=True)], pa.binary()),
-                    ],
-                    ["doc_id", "key", "place", "run"],
-                )
+                at: dict[bytes, list[int]] = {}
+                for i, (a, b) in enumerate(zip(first, last, strict=True)):
+                    at.setdefault(view[a : b + WINDOW], []).append(i)
+                order = np.array([i for where in at.values() for i in where], np.int64)
+                fields = [
+                    pa.array(ids[text[order], 0], pa.int64()),
+                    pa.array(ids[text[order], 1], pa.int64()),
+                    pa.array((first - starts[text])[order].astype(np.int32), pa.int32()),
+                ]
+                ends = pa.array(np.cumsum([0, *map(len, at.values())]).astype(np.int32))
+                held = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, ["doc_id", "key", "place"]))
+                yield pa.RecordBatch.from_arrays([pa.array(list(at), pa.binary()), held], ["run", "held"])
 
     return run
 
@@ -323,8 +329,9 @@ def repeated_common_runs(firsts: DataFrame, common: np.ndarray) -> DataFrame:
     The windows of a run overlap, so those that go cover one range of bytes. Joins with rows of a common key split the
     partitions that are skewed, if the other side is too large to be broadcast.
     """
-    held = stored(firsts.mapInArrow(common_runs(common), "doc_id long, key long, place int, run binary"), "common-runs")
-    distinct = held.groupBy("run").agg(F.min("doc_id").alias("least"))
+    places = "array<struct<doc_id:bigint,key:bigint,place:int>>"
+    held = stored(firsts.mapInArrow(common_runs(common), f"run binary, held {places}"), "common-runs")
+    distinct = held.groupBy("run").agg(F.min(F.array_min(F.transform("held", lambda h: h["doc_id"]))).alias("least"))
     at = F.explode(F.sequence(F.lit(0), F.octet_length("run") - WINDOW))
     windows = stored(distinct.select("run", "least", at.alias("i")).withColumn("window", F.expr(f"substring(run, i + 1, {WINDOW})")), "common-windows")
     several = windows.groupBy("window").agg(F.min("least").alias("first"), F.count("*").alias("n")).where("n > 1").select("window", "first")
@@ -332,11 +339,12 @@ def repeated_common_runs(firsts: DataFrame, common: np.ndarray) -> DataFrame:
     first = F.coalesce("first", "least").alias("first")
     by_run = windows.join(several, "window", "left").groupBy("run").agg(F.collect_list(F.struct("i", first)).alias("firsts"))
     by_run = sized(stored(by_run, "common-firsts-by-run"), FEW_RUNS)
-    late = F.expr("transform(filter(firsts, w -> w.first < doc_id), w -> w.i)")
+    later = F.filter("held", lambda h: F.exists("firsts", lambda w: w["first"] < h["doc_id"]))
+    late = F.expr("transform(filter(firsts, w -> w.first < h.doc_id), w -> w.i)")
     return (
         held.join(by_run, "run")
-        .select("doc_id", "key", "place", late.alias("late"))
-        .where(F.size("late") > 0)
+        .select("firsts", F.explode(later).alias("h"))
+        .select("h.*", late.alias("late"))
         .select(
             "doc_id",
             "key",
