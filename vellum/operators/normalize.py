@@ -162,7 +162,7 @@ def record_metrics(records: DataFrame) -> DataFrame:
         rows.rollup("field")
         .agg(F.sum("total").alias("total"), F.sum("unmatched").alias("unmatched"))
         .withColumn("matched", F.col("total") - F.col("unmatched"))
-        .withColumn("unmatched_rate", F.round(F.coalesce(F.try_divide("unmatched", "total"), F.lit(0.0)), 4))
+        .withColumn("unmatched_rate", F.coalesce(F.try_divide("unmatched", "total"), F.lit(0.0)))
     )
 
 

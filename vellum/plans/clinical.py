@@ -130,10 +130,10 @@ def record_vitals(t):
 
 
 @query(f"""{SAID}, e AS (SELECT 'diagnosis' AS field, matched FROM d UNION ALL SELECT 'dosage', matched FROM m UNION ALL SELECT 'vital', matched FROM v)
-SELECT field, count(*) AS total, count(*) FILTER (NOT matched) AS unmatched, count(*) FILTER (matched) AS matched, round(count(*) FILTER (NOT matched) / count(*), 4) AS unmatched_rate
+SELECT field, count(*) AS total, count(*) FILTER (NOT matched) AS unmatched, count(*) FILTER (matched) AS matched, round(count(*) FILTER (NOT matched) / count(*), 6) AS unmatched_rate
 FROM e GROUP BY GROUPING SETS ((field), ())""")
 def record_metrics(t):
-    return normalize.record_metrics(extractions(t))
+    return normalize.record_metrics(extractions(t)).withColumn("unmatched_rate", F.round("unmatched_rate", 6))
 
 
 def quote(x: str) -> str:
@@ -287,7 +287,7 @@ def _scored(truth: str, predicted: str, canon: str) -> str:
   UNION ALL SELECT 'non_canonical_total', (SELECT count(*) FROM pd WHERE name NOT IN {CANON_DX}) + (SELECT count(*) FROM pm WHERE name NOT IN {CANON_MED}), 2, false)
 SELECT "check", round(value, 4) AS value, bound::DOUBLE AS bound, CASE WHEN up THEN value >= bound ELSE value <= bound END AS passed,
   bool_and(CASE WHEN up THEN value >= bound ELSE value <= bound END) OVER () AS all_passed FROM x""")
-def release_gate_of_outputs(t):
+def release_gate(t):
     outputs, spark = _outputs(t), t("region").sparkSession
     parsed = outputs.where(evaluate.json_object(F.col("output"))).select("note_id")
     truth = curated(t).join(parsed, "note_id", "left_semi")

@@ -15,7 +15,7 @@ def materialised(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not named and not context.master.startswith("local["):
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="vellum-"))
     return df.checkpoint()
