@@ -364,8 +364,9 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, common: in
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     named = stored(read.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.octet_length("text").alias("n")), "named")
-    least = named.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    copies = stored(named.join(least, "digest").where("doc_id > least").select("doc_id", "digest").distinct(), "copies")
+    long = named.where(F.col("n") >= WINDOW)  # shorter copies lose nothing; all empty texts would meet in one task
+    least = long.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    copies = stored(long.join(least, "digest").where("doc_id > least").select("doc_id", "digest").distinct(), "copies")
     total = named.agg(F.sum("n")).first()[0] or 0
     buckets = max(64, total // bucket_bytes)
     marked = read.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)).join(
