@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,6 +114,7 @@ def common_runs(common: np.ndarray):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 33
         for batch in pieces(batches):
             ids_keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
             for ids, starts, data in chunks(ids_keys, encoded(batch.column(1))):
@@ -120,6 +122,7 @@ def common_runs(common: np.ndarray):
                 keep = among(hashes, common)
                 text, first, last = text[keep], first[keep], last[keep]
                 view = data.tobytes()
+                chunk += 1
                 at: dict[bytes, list[int]] = {}
                 for i, (a, b) in enumerate(zip(first, last, strict=True)):
                     at.setdefault(view[a : b + WINDOW], []).append(i)
@@ -131,11 +134,27 @@ def common_runs(common: np.ndarray):
                 ]
                 ends = pa.array(np.cumsum([0, *map(len, at.values())]).astype(np.int32))
                 held = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, ["doc_id", "key", "place"]))
-                yield pa.RecordBatch.from_arrays([pa.array(list(at), pa.binary()), held], ["run", "held"])
+                chunk_ids = pa.array(np.full(len(at), chunk), pa.int64())
+                yield pa.RecordBatch.from_arrays([chunk_ids, pa.array(list(at), pa.binary()), held], ["chunk", "run", "held"])
 
     return run
 
 
+def merged_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of batches of found, the ranges (doc_id, key, start, end) of a chunk's texts: those that overlap or touch made one."""
+    for batch in batches:
+        out = []
+        for found in batch.column(0):
+            fields = [found.values.field(k).to_pylist() for k in range(4)]
+            for doc, key, start, end in sorted(zip(*fields, strict=True)):
+                if out and out[-1][:2] == [doc, key] and start <= out[-1][3]:
+                    out[-1][3] = max(end, out[-1][3])
+                else:
+                    out.append([doc, key, start, end])
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["doc_id", "key", "start", "end"])
+
+
 def minimizers(buckets: int, common: np.ndarray):
     """Of batches of (doc_id, text): packed minimizers by bucket but for common ones, tags and documents of equal length."""
 
@@ -330,7 +349,7 @@ def repeated_common_runs(firsts: DataFrame, common: np.ndarray) -> DataFrame:
     partitions that are skewed, if the other side is too large to be broadcast.
     """
     places = "array<struct<doc_id:bigint,key:bigint,place:int>>"
-    held = stored(firsts.mapInArrow(common_runs(common), f"run binary, held {places}"), "common-runs")
+    held = stored(firsts.mapInArrow(common_runs(common), f"chunk long, run binary, held {places}"), "common-runs")
     distinct = held.groupBy("run").agg(F.min(F.array_min(F.transform("held", lambda h: h["doc_id"]))).alias("least"))
     at = F.explode(F.sequence(F.lit(0), F.octet_length("run") - WINDOW))
     windows = stored(distinct.select("run", "least", at.alias("i")).withColumn("window", F.expr(f"substring(run, i + 1, {WINDOW})")), "common-windows")
@@ -339,19 +358,20 @@ def repeated_common_runs(firsts: DataFrame, common: np.ndarray) -> DataFrame:
     first = F.coalesce("first", "least").alias("first")
     by_run = windows.join(several, "window", "left").groupBy("run").agg(F.collect_list(F.struct("i", first)).alias("firsts"))
     by_run = sized(stored(by_run, "common-firsts-by-run"), FEW_RUNS)
+    late = lambda h: F.transform(F.filter("firsts", lambda w: w["first"] < h["doc_id"]), lambda w: w["i"])
     later = F.filter("held", lambda h: F.exists("firsts", lambda w: w["first"] < h["doc_id"]))
-    late = F.expr("transform(filter(firsts, w -> w.first < h.doc_id), w -> w.i)")
-    return (
-        held.join(by_run, "run")
-        .select("firsts", F.explode(later).alias("h"))
-        .select("h.*", late.alias("late"))
-        .select(
-            "doc_id",
-            "key",
-            (F.col("place") + F.array_min("late")).alias("start"),
-            (F.col("place") + F.array_max("late") + WINDOW).alias("end"),
-        )
+    found = F.transform(
+        later,
+        lambda h: F.struct(
+            h["doc_id"].alias("doc_id"),
+            h["key"].alias("key"),
+            (h["place"] + F.array_min(late(h))).alias("start"),
+            (h["place"] + F.array_max(late(h)) + WINDOW).alias("end"),
+        ),
     )
+    # a chunk's ranges are as many as its runs at most, and become few where they are put together: one for each passage of a text
+    of_chunks = held.join(by_run, "run").select("chunk", found.alias("found")).where(F.size("found") > 0).groupBy("chunk").agg(F.flatten(F.collect_list("found")).alias("found"))
+    return of_chunks.select("found").mapInArrow(merged_ranges, "doc_id long, key long, start int, end int")
 
 
 def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, common: int = COMMON) -> DataFrame:
