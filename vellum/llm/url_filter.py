@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from vellum.llm.shared import LOWER, UPPER, sized, stored, table
 
 PREFIX_HEX = 8
+#: Hits (host, path, rule, verdict) that may be broadcast.
+FEW_HITS = 100_000
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 #: The rules of the contract, as (host, path, action).
@@ -90,7 +92,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     )
     # urls without host have nothing to look up; as one key they would meet in one task
     without = judged.where(F.length("host") == 0).withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
-    looked_up = placed.join(sized(stored(hits, "url-hits")), ["host", "path"], "left")
+    looked_up = placed.join(sized(stored(hits, "url-hits"), FEW_HITS), ["host", "path"], "left")
     return looked_up.unionByName(without).fillna({"verdict": default})
 
 
