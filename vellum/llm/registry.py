@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum.llm.conversation_trie import OP12_SQL, op12_conversation_trie
 from vellum.llm.decontaminate import OP7_SQL, op7_benchmark_decontamination
+from vellum.llm.filter_audit import OP11_SQL, op11_filter_audit
 from vellum.llm.jaccard import op10_ngram_jaccard
 from vellum.llm.language import op8_language_id
 from vellum.llm.mixing import OP6_SQL, op6_source_mixing
@@ -28,6 +30,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_repeated_substrings": op9_repeated_substrings,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
-SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op6_source_mixing": OP6_SQL, "op7_benchmark_decontamination": OP7_SQL}
+SQL: dict[str, str] = {
+    "op4_url_filters": OP4_SQL,
+    "op6_source_mixing": OP6_SQL,
+    "op7_benchmark_decontamination": OP7_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op12_conversation_trie": OP12_SQL,
+}
