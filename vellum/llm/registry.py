@@ -11,6 +11,7 @@ from vellum.llm.decontaminate import OP7_SQL, op7_benchmark_decontamination
 from vellum.llm.filter_audit import OP11_SQL, op11_filter_audit
 from vellum.llm.jaccard import op10_ngram_jaccard
 from vellum.llm.language import op8_language_id
+from vellum.llm.lm_scoring import op13_lm_scoring
 from vellum.llm.mixing import OP6_SQL, op6_source_mixing
 from vellum.llm.pii import op1_pii
 from vellum.llm.quality import op2_quality_rules
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_filter_audit": op11_filter_audit,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 SQL: dict[str, str] = {
