@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 from vellum.llm.hashing import word_hashes
 from vellum.llm.shared import LOWER, UPPER, pieces, sized, stored, table
 
-ORDER = 6
+ORDER = 5
 START, END = b"\xfe", b"\xff"
 #: All bytes but START can be a symbol.
 SYMBOLS = 255
 #: Bytes of text in a block, and those that are looked at together.
 BLOCK, CHUNK = 32 << 20, 2 << 20
 WORDS, GRAMS = 0, 1
+#: What is known of a word is its count, of a gram the log10 of its probability.
+VALUES = {WORDS: np.int64, GRAMS: np.float32}
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 U = np.uint64
 
@@ -117,12 +119,12 @@ class Counted:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers of 8 bytes, byte by byte: the first bytes of all, the second ones of all and so on. Small numbers compress well so."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Numbers byte by byte: the first bytes of all, the second ones of all and so on. Small numbers compress well so."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
 
 def from_planes(x: bytes, kind) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -225,7 +227,7 @@ def length_batches(n_buckets: int):
 
         def rows() -> pa.RecordBatch:
             keys = np.concatenate([b.column(0).to_numpy() for b in waiting]).astype(U)
-            values = np.concatenate([b.column(1).to_numpy() for b in waiting])
+            values = np.concatenate([b.column(1).to_numpy() for b in waiting]).astype(np.float32)
             order = np.argsort(keys)
             keys, values = keys[order], values[order]
             made = [(b, pack_keys(keys[at]), planes(values[at])) for b, at in by_bucket(keys, n_buckets)]
@@ -254,7 +256,7 @@ def answer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if current != (bucket, kind):
                 current, known, model = (bucket, kind), [], None
             if block is None:
-                known.append((unpack_keys(keys), from_planes(values, np.int64)))
+                known.append((unpack_keys(keys), from_planes(values, VALUES[kind])))
                 continue
             if model is None:
                 all_keys, all_values = (np.concatenate(x) for x in zip(*known, strict=True))
@@ -314,7 +316,7 @@ def score_batches(order: int, n_train: int, n_distinct: int, n_ends: int):
                 part = batch.filter(pa.array(blocks == block))
                 own = kinds[blocks == block]
                 for kind, keys, values in zip(*(c.to_pylist() for c in part.filter(pa.array(own >= 0)).select([1, 2, 3]).columns), strict=True):
-                    answers[kind].append((unpack_keys(keys), from_planes(values, np.int64 if kind == WORDS else np.float64)))
+                    answers[kind].append((unpack_keys(keys), from_planes(values, VALUES[kind])))
                 texts = part.filter(pa.array(own < 0))
                 if not texts.num_rows:
                     continue
@@ -330,7 +332,7 @@ def score_batches(order: int, n_train: int, n_distinct: int, n_ends: int):
         score = np.zeros(len(said))
         for parts, owners in segments(said, order):
             keys, n = grams_of(parts, order)
-            score += np.bincount(owners, np.add.reduceat(grams(keys), np.cumsum(n) - n), len(said))
+            score += np.bincount(owners, np.add.reduceat(grams(keys), np.cumsum(n) - n, dtype=np.float64), len(said))
         keys, n = word_keys(said)
         found = words(keys)
         owner = np.repeat(np.arange(len(said)), n)
