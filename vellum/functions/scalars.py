@@ -39,7 +39,8 @@ def pseudonym(patient: Column) -> Column:
 
 
 def zip3(code: Column) -> Column:
-    return F.concat(F.substring(code, 1, 3), F.lit("**"))
+    """The first three digits of a postal code; null for a code that is empty or missing."""
+    return F.when(F.length(code) > 0, F.concat(F.substring(code, 1, 3), F.lit("**")))
 
 
 def referenced(reference: Column) -> Column:

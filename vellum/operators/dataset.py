@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,61 +33,75 @@ def build_splits(records: DataFrame, order: str, store: Callable[[DataFrame], Da
     return eligible(records).join(assigned, original_patient() == F.col("patient")).drop("patient")
 
 
-#: Powers of two down from the largest number of groups that can be counted.
-BITS = [1 << b for b in range(40, -1, -1)]
+def phases(n: int, counts: list[int], targets: list[float]) -> list[tuple[int, list[int]]]:
+    """How groups of n records are dealt when counts are what the splits have: (first group, splits in turn) of each phase.
 
-
-def picked(rank: Column, split: int, n: Column, counts: Column, targets: Column, n_splits: int) -> Column:
-    """How often a split is chosen for the first ``rank`` of groups of n records, when counts are what the splits have.
-
-    A split that has been chosen j times lacks target - (count + j n). The greedy rule takes the largest of these numbers, of equal
-    ones that of the first split; so its choices are all splits' numbers merged in falling order, and the place of a split's j-th
-    number is j and how many numbers of the others come before it. The largest j whose place is below rank is sought bit by bit.
+    A split that has been chosen j times lacks target - (count + j n), and the split that lacks most is next, of equal ones the first.
+    So at first the neediest split is chosen alone; once it lacks no more than the second these two take turns, and so on, until all do: every turn
+    takes n from each, so their order stays.
     """
-    lack = lambda s, j: F.element_at(targets, s + 1) - (F.element_at(counts, s + 1) + j * n)
-
-    def ahead(other: int, value: Column) -> Column:
-        guess = F.floor((F.element_at(targets, other + 1) - F.element_at(counts, other + 1) - value) / n)
-        base = F.greatest(guess - 1, F.lit(0))
-        before = (lambda i: lack(other, i) >= value) if other < split else (lambda i: lack(other, i) > value)
-        return base + sum((F.when(before(base + k), 1).otherwise(0) for k in range(4)), F.lit(0))
-
-    def place(j: Column) -> Column:
-        value = lack(split, j)
-        return j + sum((ahead(o, value) for o in range(n_splits) if o != split), F.lit(0))
-
-    bits = F.array(*(F.lit(b).cast("long") for b in BITS))
-    try_bit = lambda c, bit: F.when((c + bit <= rank) & (place(c + bit - 1) < rank), c + bit).otherwise(c)
-    return F.aggregate(bits, F.lit(0).cast("long"), try_bit)
+    lack = lambda s, j: (-(targets[s] - (counts[s] + j * n)), s)
+    order = sorted(range(len(counts)), key=lambda s: lack(s, 0))
+    chosen, found, start = [0] * len(counts), [], 0
+    for i in range(1, len(order) + 1):
+        turns = sorted(order[:i], key=lambda s: lack(s, chosen[s]))
+        found.append((start, turns))
+        if i == len(order):
+            return found
+        for s in turns:  # how often, until the next split's first turn
+            far = chosen[s] + max(0, int((targets[s] - (counts[s] + chosen[s] * n) - (targets[order[i]] - counts[order[i]])) // n) - 1)
+            while lack(s, far) < lack(order[i], 0):
+                far += 1
+            start += far - chosen[s]
+            chosen[s] = far
+
+
+def dealt(m: int, found: list[tuple[int, list[int]]], n_splits: int) -> list[int]:
+    """How many of m groups each split gets."""
+    made = [0] * n_splits
+    for (start, turns), end in zip(found, [start for start, _ in found[1:]] + [m], strict=True):
+        size = max(0, min(end, m) - start)
+        for place, s in enumerate(turns):
+            made[s] += (size - place + len(turns) - 1) // len(turns)
+    return made
+
+
+def class_batches(total: int, splits: list[tuple[str, float]]):
+    """Of batches of (n, m), the largest size first: (n, before, phases). What it keeps from row to row is what the splits have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, before = [0] * len(splits), 0
+        targets = [total * share for _, share in splits]
+        for batch in batches:
+            rows = []
+            for n, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = phases(n, counts, targets)
+                rows.append((n, before, [{"start": start, "turns": [splits[s][0] for s in turns]} for start, turns in found]))
+                counts = [c + n * k for c, k in zip(counts, dealt(m, found, len(splits)), strict=True)]
+                before += m
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("turns", pa.list_(pa.string()))]))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["n", "before", "phases"])
+
+    return run
 
 
 def split_groups(sizes: DataFrame, group: str, store: Callable[[DataFrame], DataFrame], splits: list[tuple[str, float]] = SPLITS) -> DataFrame:
     """group, n, split: whole groups, the largest first, each to the split that is furthest below its share.
 
-    sizes: group, n, first (the order of appearance). Groups of one size are alike: what the splits have when a size's turn comes is folded
-    over distinct sizes, with the choices within a size counted, not made one by one; each group then finds its own from its rank among
-    those of its size. Groups are numbered by range partitions (store() materialises them), so no size meets in one task.
+    sizes: group, n, first (the order of appearance). Groups of one size are alike, and are dealt in at most as many phases as there are
+    splits, each of which repeats itself; the phases of the distinct sizes are found in one pass over these, which are no more than the
+    root of twice the records. A group finds its split from its rank among those of its size. Groups are numbered by range
+    partitions (store() materialises them), so no size meets in one task.
     """
-    classes = sizes.groupBy("n").agg(F.count("*").alias("m"))
-    gathered = classes.agg(F.sort_array(F.collect_list(F.struct("n", "m")), asc=False).alias("classes"), F.sum(F.col("n") * F.col("m")).alias("total"))
-    targets = F.array(*(F.col("total") * F.lit(share) for _, share in splits))
-    every = range(len(splits))
-
-    def one_size(state: Column, c: Column) -> Column:
-        had = F.struct(c["n"].alias("n"), state["counts"].alias("counts"), state["groups"].alias("groups"))
-        more = [F.element_at(state["counts"], s + 1) + c["n"] * picked(c["m"], s, c["n"], state["counts"], F.col("targets"), len(splits)) for s in every]
-        return F.struct(F.array(*more).alias("counts"), (state["groups"] + c["m"]).alias("groups"), F.array_append(state["classes"], had).alias("classes"))
-
-    zeros = F.array(*(F.lit(0).cast("long") for _ in splits))
-    begin = F.struct(
-        zeros.alias("counts"), F.lit(0).cast("long").alias("groups"), F.array().cast("array<struct<n:bigint,counts:array<bigint>,groups:bigint>>").alias("classes")
-    )
-    folded = gathered.withColumn("targets", targets).select("targets", F.explode(F.aggregate("classes", begin, one_size)["classes"]).alias("c")).select("targets", "c.*")
     ordered = numbered(sizes.withColumn("_less", -F.col("n")), ["_less", "first"], "_place", store)
-    rank = F.col("_place") - F.col("groups")
-    at = lambda r, s: picked(r, s, F.col("n"), F.col("counts"), F.col("targets"), len(splits))
-    chosen = F.coalesce(*(F.when(at(rank, s) > at(rank - 1, s), F.lit(splits[s][0])) for s in every))
-    return ordered.join(folded, "n").select(group, "n", chosen.alias("split"))
+    classes = sizes.groupBy("n").agg(F.count("*").alias("m"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    one = classes.coalesce(1).sortWithinPartitions(F.desc("n"))
+    folded = one.select(F.col("n").cast("long").alias("n"), "m").mapInArrow(class_batches(total, splits), "n long, before long, phases array<struct<start:bigint,turns:array<string>>>")
+    rank = F.col("_place") - 1 - F.col("before")
+    phase = F.element_at(F.filter("phases", lambda p: p["start"] <= rank), -1)
+    chosen = F.get(phase["turns"], ((rank - phase["start"]) % F.size(phase["turns"])).cast("int"))
+    return ordered.join(F.broadcast(folded), "n").select(group, "n", chosen.alias("split"))
 
 
 def crossing_groups(rows: DataFrame, group: str, split: str = "split") -> DataFrame:

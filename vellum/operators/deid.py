@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.scalars import pseudonym, shifted, zip3
+from vellum.functions.spans import rewritten
 from vellum.functions.vocabulary import LEAK_EXAMPLES, PHI_PATTERNS
 from vellum.operators.relational import no_rows, overlapping
 
@@ -23,11 +24,14 @@ def shift_dates(df: DataFrame, patient: str, fields: dict[str, str] = FIELD_CATE
 
 
 def redact_patients(patients: DataFrame) -> DataFrame:
-    """Drops the name, replaces the identifier, keeps state and the first three digits of the code of the first address."""
+    """Drops the name, replaces the identifier, keeps state and the first three digits of the code of the first address.
+
+    A patient without addresses stays without; an empty or missing code gives none.
+    """
     first = F.get("address", F.lit(0))
-    general = F.when(
-        F.col("address").isNotNull(), F.array(F.struct(first["state"].alias("state"), zip3(first["postalCode"]).alias("postalCode")))
-    )
+    general = F.array(F.struct(first["state"].alias("state"), zip3(first["postalCode"]).alias("postalCode")))
+    none = F.array().cast("array<struct<state:string,postalCode:string>>")
+    general = F.when(F.size("address") > 0, general).when(F.col("address").isNotNull(), none)
     return patients.drop("name").withColumns(
         {"identifier": F.array(F.struct(F.lit("urn:deid").alias("system"), pseudonym(F.col("id")).alias("value"))), "address": general}
     )
@@ -37,22 +41,13 @@ def rewrite_spans(text: Column, spans: Column, patient: Column) -> Column:
     """text with its spans (start, end, type; disjoint) rewritten: dates shifted, others as [TYPE]."""
     ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"))))
 
-    def said(s: Column) -> Column:
-        raw = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    def said(s: Column, raw: Column) -> Column:
         dates = F.when(F.lit(False), raw)
         for kind, category in SPAN_CATEGORY.items():
             dates = dates.when(s["type"] == kind, shifted(patient, F.lit(category), raw))
         return dates.otherwise(F.concat(F.lit("["), s["type"], F.lit("]")))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(
-        ordered,
-        start,
-        lambda a, s: F.struct(
-            s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), said(s)).alias("out")
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
+    return rewritten(text, ordered, said)
 
 
 def span_recall(truth: DataFrame, detected: DataFrame, key: str) -> DataFrame:

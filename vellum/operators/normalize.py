@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import vocabulary as v
 from vellum.functions.scalars import number, quoted, strip, to_metric, without_date_clause
+from vellum.functions.spans import bound
 
 
 def _mapping(pairs):
@@ -19,18 +20,30 @@ def _mapping(pairs):
 
 def diagnosis(name: Column) -> Column:
     """struct(name, matched): date clause off, then paraphrases, then the longest canonical name that it starts with; else kept."""
-    bare = without_date_clause(name)
-    low = F.lower(bare)
-    hit = F.try_element_at(_mapping(v.PARAPHRASES), low)
-    for known in sorted((c[1] for c in v.CONDITIONS), key=len, reverse=True):
-        hit = F.coalesce(hit, F.when(F.startswith(low, F.lit(known.lower())), F.lit(known)))
-    return F.struct(F.coalesce(hit, bare).alias("name"), hit.isNotNull().alias("matched"))
+
+
+    def found(x: Column) -> Column:
+        known = sorted((c[1] for c in v.CONDITIONS), key=len, reverse=True)
+        starting = (F.when(F.startswith(x["low"], F.lit(k.lower())), F.lit(k)) for k in known)
+        hit = F.coalesce(F.try_element_at(_mapping(v.PARAPHRASES), x["low"]), *starting)
+        return bound(hit, lambda h: F.struct(F.coalesce(h, x["bare"]).alias("name"), h.isNotNull().alias("matched")))
+
+    return bound(without_date_clause(name), lambda bare: bound(F.struct(bare.alias("bare"), F.lower(bare).alias("low")), found))
 
 
 def folded_unit(unit: Column) -> Column:
     """A unit in lower case without brackets and degree sign, its common spellings made one."""
     token = F.lower(strip(F.replace(F.btrim(strip(unit), F.lit("[]")), F.lit("°"), F.lit(""))))
-    return F.coalesce(F.try_element_at(_mapping(v.UNIT_ALIASES), token), token)
+    return bound(token, lambda t: F.coalesce(F.try_element_at(_mapping(v.UNIT_ALIASES), t), t))
+
+
+def vital_rules() -> Column:
+    """A map from each name of a vital, in lower case, to struct (name, own, own_folded, other_folded): its canonical name and units."""
+    folded = lambda unit: unit and unit.strip("[]").lower()
+    known = {name: (name, own, folded(own), folded(other)) for _, name, _, own, other, least, _ in v.OBSERVATIONS if least is not None}
+    names = {name.lower(): name for name in known} | dict(v.VITAL_ALIASES)
+    rule = lambda values: F.struct(*(F.lit(x).cast("string").alias(n) for n, x in zip(("name", "own", "own_folded", "other_folded"), values, strict=True)))
+    return F.create_map(*(x for low, name in names.items() for x in (F.lit(low), rule(known[name]))))
 
 
 def vital(name: Column, value: Column, unit: Column) -> Column:
@@ -40,37 +53,48 @@ def vital(name: Column, value: Column, unit: Column) -> Column:
     value is null. A null unit counts as the canonical one; the other unit of a vital is converted; with any other unit
     the value is kept and not matched. An unknown name, and the name of a value that is no number, stay as they are, not matched.
     """
-    simple = [(known, own, other) for _, known, _, own, other, least, _ in v.OBSERVATIONS if least is not None]
-    low = F.lower(strip(name))
-    known = F.try_element_at(_mapping([(n.lower(), n) for n, _, _ in simple] + v.VITAL_ALIASES), low)
-    own = F.try_element_at(_mapping([(n, u) for n, u, _ in simple]), known)
-    other = F.try_element_at(_mapping([(n, o) for n, _, o in simple if o]), known)
-    num, folded = number(value), folded_unit(unit)
-    kind = (
-        F.when(low.isin(v.BLOOD_PRESSURE_NAMES) & strip(value).rlike(v.PRESSURE), "pressure")
-        .when(num.isNull(), "text")
-        .when(known.isNull(), "unknown")
-        .when(unit.isNull() | (folded == F.lower(F.btrim(own, F.lit("[]")))), "same")
-        .when(folded == F.lower(F.btrim(other, F.lit("[]"))), "converted")
-        .otherwise("other unit")
-    )
-    return F.struct(
-        F.when(kind == "pressure", "Blood pressure").when(kind.isin("text", "unknown"), name).otherwise(known).alias("name"),
-        F.when(kind == "pressure", strip(value)).when(kind == "text", value).alias("value"),
-        F.when(kind == "converted", to_metric(folded, num)).when(kind != "pressure", num).alias("value_num"),
-        F.when(kind == "pressure", "mm[Hg]").when(kind.isin("same", "converted"), own).otherwise(unit).alias("unit"),
-        kind.isin("pressure", "same", "converted").alias("matched"),
-    )
 
-
-def split_label(name: Column, dosage: Column) -> tuple[Column, Column]:
-    """A bare drug name as its label; what the label says is cut off the front of the dosage."""
+    def found(x: Column) -> Column:
+        rule = x["rule"]
+        kind = (
+            F.when(x["low"].isin(v.BLOOD_PRESSURE_NAMES) & x["said"].rlike(v.PRESSURE), "pressure")
+            .when(x["num"].isNull(), "text")
+            .when(rule["name"].isNull(), "unknown")
+            .when(unit.isNull() | (x["folded"] == rule["own_folded"]), "same")
+            .when(x["folded"] == rule["other_folded"], "converted")
+            .otherwise("other unit")
+        )
+        return bound(kind, lambda k: made(x, k))
+
+    def made(x: Column, kind: Column) -> Column:
+        return F.struct(
+            F.when(kind == "pressure", "Blood pressure").when(kind.isin("text", "unknown"), name).otherwise(x["rule"]["name"]).alias("name"),
+            F.when(kind == "pressure", x["said"]).when(kind == "text", value).alias("value"),
+            F.when(kind == "converted", to_metric(x["folded"], x["num"])).when(kind != "pressure", x["num"]).alias("value_num"),
+            F.when(kind == "pressure", "mm[Hg]").when(kind.isin("same", "converted"), x["rule"]["own"]).otherwise(unit).alias("unit"),
+            kind.isin("pressure", "same", "converted").alias("matched"),
+        )
+
+    def ruled(low: Column) -> Column:
+        rule = F.try_element_at(vital_rules(), low)
+        return bound(F.struct(low.alias("low"), rule.alias("rule"), strip(value).alias("said"), number(value).alias("num"), folded_unit(unit).alias("folded")), found)
+
+    return bound(F.lower(strip(name)), ruled)
+
+
+def split_label(name: Column, dosage: Column) -> Column:
+    """struct(label, dosage): a bare drug name as its label; what the label says is cut off the front of the dosage."""
     bare = [(label.split(" ", 1)[0].lower(), label) for _, label, *_ in v.MEDICATIONS]
     label = F.try_element_at(_mapping(bare), F.lower(strip(name)))
-    said = strip(F.substring(label, F.length(strip(name)) + 1, F.length(label)))
-    cut = F.nullif(F.ltrim(F.substring(dosage, F.length(said) + 1, F.length(dosage)), F.lit(" -,;")), F.lit(""))
-    bundled = F.coalesce(F.startswith(F.lower(dosage), F.lower(said)), F.lit(False))
-    return F.coalesce(label, name), F.when(bundled, cut).otherwise(dosage)
+
+    def cut(label: Column) -> Column:
+        said = strip(F.substring(label, F.length(strip(name)) + 1, F.length(label)))
+        rest = lambda s: F.nullif(F.ltrim(F.substring(dosage, F.length(s) + 1, F.length(dosage)), F.lit(" -,;")), F.lit(""))
+        bundled = lambda s: F.coalesce(F.startswith(F.lower(dosage), F.lower(s)), F.lit(False))
+        dose = bound(said, lambda s: F.when(bundled(s), rest(s)).otherwise(dosage))
+        return F.struct(F.coalesce(label, name).alias("label"), dose.alias("dosage"))
+
+    return bound(label, cut)
 
 
 def dosage_of(label: Column, dosage: Column) -> Column:
@@ -79,14 +103,19 @@ def dosage_of(label: Column, dosage: Column) -> Column:
     forms = {(name, form): full for _, name, short, full, _ in v.MEDICATIONS for form in (short, full, full.removeprefix("Take "))}
     known = F.try_element_at(_mapping([("\0".join(k), full) for k, full in forms.items()]), F.concat_ws("\0", label, dosage))
     missing = dosage.isNull() | F.lower(strip(dosage)).isin(v.MISSING_DOSAGES)
-    return F.struct(F.when(~missing, F.coalesce(known, dosage)).alias("dosage"), (missing | known.isNotNull()).alias("matched"))
+    found = lambda x: F.struct(F.when(~x["missing"], F.coalesce(x["known"], dosage)).alias("dosage"), (x["missing"] | x["known"].isNotNull()).alias("matched"))
+    return bound(F.struct(known.alias("known"), missing.alias("missing")), found)
 
 
 def medication(name: Column, dosage: Column) -> Column:
     """struct(name, dosage, matched, said): said is the dosage as it was before it was looked up."""
-    label, rest = split_label(name, dosage)
-    found = dosage_of(label, rest)
-    return F.struct(label.alias("name"), found["dosage"].alias("dosage"), found["matched"].alias("matched"), rest.alias("said"))
+
+
+    def known(x: Column) -> Column:
+        found = lambda d: F.struct(x["label"].alias("name"), d["dosage"].alias("dosage"), d["matched"].alias("matched"), x["dosage"].alias("said"))
+        return bound(dosage_of(x["label"], x["dosage"]), found)
+
+    return bound(split_label(name, dosage), known)
 
 
 def normalize_diagnoses(df: DataFrame, name: str = "name") -> DataFrame:

@@ -169,7 +169,7 @@ f AS (
   UNION ALL SELECT 'blood_pressure', count(*), 0 FROM v WHERE name = 'Blood pressure')
 SELECT "table", rows, n_failures = 0 AS passed, n_failures FROM f""")
 def dq_records(t):
-    return quality_gate.validate_records(curated(t)).drop("failures")
+    return quality_gate.validate_records(checkpointed(curated(t))).drop("failures")
 
 
 @query(f"""{SAID}, f AS (SELECT DISTINCT name FROM d WHERE name NOT IN {CANON_DX})
@@ -177,7 +177,7 @@ SELECT 'isin' AS "check", 'name' AS "column", (SELECT count(*) FROM (SELECT DIST
   (SELECT string_agg(name, '|' ORDER BY name) FROM f) AS examples""")
 def dq_examples(t):
     rules = quality_gate.record_rules()["diagnoses"]
-    found = quality_gate.report(quality_gate.rule_failures(quality_gate.record_frames(curated(t))["diagnoses"], "note_id", rules))
+    found = quality_gate.report(quality_gate.rule_failures(quality_gate.record_frames(checkpointed(curated(t)))["diagnoses"], "note_id", rules))
     return found.withColumn("examples", F.array_join("examples", "|"))
 
 
@@ -264,7 +264,7 @@ ok AS (SELECT count(*) AS total, count(*) FILTER (NOT ({CUT} OR {LIST})) AS vali
 
 @query(f"{OUTPUTS} SELECT note_id, 'diagnoses' AS field, name FROM pd UNION ALL SELECT note_id, 'medications', name FROM pm")
 def output_names(t):
-    outputs = _outputs(t)
+    outputs = checkpointed(_outputs(t))
     one = lambda f: evaluate.predicted_names(outputs, "note_id", "output", f, "name").select("note_id", F.lit(f).alias("field"), "name")
     return one("diagnoses").union(one("medications"))
 
@@ -288,9 +288,9 @@ def _scored(truth: str, predicted: str, canon: str) -> str:
 SELECT "check", round(value, 4) AS value, bound::DOUBLE AS bound, CASE WHEN up THEN value >= bound ELSE value <= bound END AS passed,
   bool_and(CASE WHEN up THEN value >= bound ELSE value <= bound END) OVER () AS all_passed FROM x""")
 def release_gate(t):
-    outputs, spark = _outputs(t), t("region").sparkSession
+    outputs, spark = checkpointed(_outputs(t)), t("region").sparkSession
     parsed = outputs.where(evaluate.json_object(F.col("output"))).select("note_id")
-    truth = curated(t).join(parsed, "note_id", "left_semi")
+    truth = checkpointed(curated(t).select("note_id", "diagnoses", "medications").join(parsed, "note_id", "left_semi"))
     names = lambda f: evaluate.predicted_names(outputs, "note_id", "output", f, "name")
     facts = lambda f: truth.select("note_id", F.explode(f"{f}.name").alias("name"))
     labels = V.medications(spark).select(F.col("label").alias("name"))
