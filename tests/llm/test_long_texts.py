@@ -1,6 +1,7 @@
 """Texts of more than a million characters: many words, and one word."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +73,18 @@ def test_repeats_and_languages(docs, texts):
     assert got[3].n_removed == len(texts[3]) - len("end") and got[3].n_spans == 1
     profiles = learn_profiles(docs.select("doc_id", "text", "lang"))
     assert {r.lang_pred for r in identify_language(docs, profiles).collect()} == {"en"}
+
+
+def test_very_many_matches_in_a_text(spark):
+    """100,000 e-mail addresses in one text: redaction and edits take time in proportion, not its square."""
+    n = 100_000
+    text = "".join(f"u{i}@mail.example.org, " for i in range(n))
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "no match", "en", "s", 8)], "doc_id long, text string, lang string, source string, n_chars long")
+    start = time.perf_counter()
+    got = {r.doc_id: (r.text, r.n_chars) for r in redact(docs).collect()}
+    assert time.perf_counter() - start < 60
+    assert got == {1: ("[EMAIL], " * n, 9 * n), 2: ("no match", 8)}
+    start = time.perf_counter()
+    edits = redaction_edits(docs).where("doc_id = 1").select(F.size("edits").alias("n"), F.element_at("edits", -1).alias("last")).first()
+    assert time.perf_counter() - start < 60
+    assert edits.n == n and text[edits.last.start : edits.last.end] == f"u{n - 1}@mail.example.org" and edits.last.text == "[EMAIL]"

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions.spans import rewritten, united
 from vellum.llm.shared import SPACE_RUN, SPACES, counted, fresh, row_key, small, span_list, stored, table
 
 #: The base expressions, in the order of kinds. \G lets a match begin where the last one ended.
@@ -225,29 +226,10 @@ def redact(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn(key, row_key())
     found = find_pii(keyed, key).where(F.size("spans") > 0)
     spans = found.groupBy(key).agg(F.first("spans").alias(found_spans))
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-
-    def with_span(done: Column, s: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        union = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        apart = s["start"] >= F.coalesce(last["end"], F.lit(0))
-        return F.when(apart, F.array_append(done, s)).otherwise(F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), union))
-
-    disjoint = F.aggregate(
-        F.sort_array(F.transform(found_spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
-        none,
-        with_span,
-    )
-    end_before = lambda i: F.coalesce(F.get(cut, i - 1)["end"], F.lit(0))
-    kept = F.transform(
-        cut,
-        lambda s, i: F.concat(
-            F.substring("text", end_before(i) + 1, s["start"] - end_before(i)), F.lit("["), F.upper(s["kind"]), F.lit("]")
-        ),
-    )
-    masked = F.concat(F.array_join(kept, ""), F.substring("text", F.element_at(cut, -1)["end"] + 1, F.length("text")))
-    out = keyed.join(spans, key, "left").withColumn(cut, F.when(F.col(found_spans).isNotNull(), disjoint))
-    out = out.withColumn("text", F.when(F.col(cut).isNotNull(), masked).otherwise(F.col("text")))
+    ordered = F.sort_array(F.transform(found_spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    out = keyed.join(spans, key, "left").withColumn(cut, united(ordered, ["start", "end", "kind"]))
+    masked = rewritten(F.col("text"), F.col(cut), lambda s, _: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    out = out.withColumn("text", masked)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(cut).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -21,6 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions.spans import united
 from vellum.llm.pii import base_spans
 from vellum.llm.shared import pieces, table
 
@@ -243,14 +244,10 @@ def count_edited(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def redaction_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, text, edits: what the redaction of base personal data would change; of overlapping spans the first is taken."""
+    """doc_id, text, edits: what the redaction of base personal data would change; overlapping spans are one, of the kind that starts first."""
     found = base_spans(docs.select("doc_id", "text", F.col("text").alias("_text")))
     spans = F.sort_array(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("text"))))
-    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    disjoint = F.aggregate(
-        spans, none, lambda done, s: F.when(s["start"] >= F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0)), F.array_append(done, s)).otherwise(done)
-    )
-    return found.select("doc_id", F.col("_text").alias("text"), disjoint.alias("edits"))
+    return found.select("doc_id", F.col("_text").alias("text"), united(spans, ["start", "end", "text"]).alias("edits"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
