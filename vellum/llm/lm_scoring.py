@@ -33,7 +33,7 @@ START, END = b"\xfe", b"\xff"
 #: All bytes but START can be a symbol.
 SYMBOLS = 255
 #: Bytes of text in a block, and those that are looked at together.
-BLOCK, CHUNK = 32 << 20, 2 << 20
+BLOCK, CHUNK = 32 << 20, 1 << 20
 WORDS, GRAMS = 0, 1
 #: What is known of a word is its count, of a gram the log10 of its probability.
 VALUES = {WORDS: np.int64, GRAMS: np.float32}
@@ -107,7 +107,7 @@ class Counted:
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.waiting.append((keys, counts))
         self.n += len(keys)
-        if self.n > len(self.keys) + (1 << 20):
+        if self.n > len(self.keys) + (1 << 19):
             self.merge()
 
     def merge(self) -> Counted:
@@ -166,7 +166,7 @@ def ask_batches(n_buckets: int, order: int):
             kinds = [("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
 
-        for batch in pieces(batches, 4096):
+        for batch in pieces(batches, 512):
             blocks = batch.column(0).to_numpy()
             for block in np.unique(blocks):
                 if block != current:
@@ -220,7 +220,7 @@ def gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def length_batches(n_buckets: int):
-    """Of (gram, lp): (bucket, keys, values), packed in runs of about a million grams."""
+    """Of (gram, lp): (bucket, keys, values), packed in runs of some hundred thousand grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -238,7 +238,7 @@ def length_batches(n_buckets: int):
             if batch.num_rows:
                 waiting.append(batch)
                 n += batch.num_rows
-            if n >= 1 << 20:
+            if n >= 1 << 18:
                 yield rows()
                 waiting, n = [], 0
         if waiting:
@@ -406,12 +406,13 @@ def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    blocks = stored(read.mapInArrow(cut_batches, "block long, doc_id long, held_out boolean, tokens binary, n_bytes long"), "lm-blocks")
+    blocks = stored(read.mapInArrow(cut_batches, "block long, doc_id long, held_out boolean, tokens binary, n_bytes long"), "lm-blocks", "zstd")
     size = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes"), F.count_if(~F.col("held_out")).alias("n_ends")).first()
     n_buckets = bucket_count(size["n_bytes"])
     asked = stored(
         blocks.select("block", "held_out", "tokens").mapInArrow(ask_batches(n_buckets, order), "bucket int, block long, kind int, keys binary, counts binary"),
         "lm-asked",
+        "zstd",
     )
     merging = asked.select("bucket", "kind", "keys", "counts").repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "kind")
     merged = stored(merging.mapInArrow(merge_batches, "bucket int, kind int, keys binary, counts binary, total long, known long"), "lm-merged")
