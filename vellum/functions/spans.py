@@ -37,6 +37,22 @@ def running_max(values: Column, body: Callable[[Column], Column], levels: int =
     return bound(blocks, lambda b: running_max(b, within, levels - 1))
 
 
+def running_sum(values: Column, body: Callable[[Column], Column], levels: int = 3) -> Column:
+    """body(sums), sums having for each of values the sum up to and including it; by blocks, as running_max()."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    n = F.size(values)
+    if levels == 1:
+        return bound(F.transform(values, lambda _, i: total(F.slice(values, F.lit(1), i + 1))), body)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: total(F.slice(values, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def within(upto: Column) -> Column:
+        block = lambda i: F.floor(i / BLOCK).cast("int")
+        own = lambda i: total(F.slice(values, block(i) * BLOCK + 1, i - block(i) * BLOCK + 1))
+        return bound(F.transform(values, lambda _, i: F.coalesce(F.get(upto, block(i) - 1), F.lit(0)) + own(i)), body)
+
+    return bound(blocks, lambda b: running_sum(b, within, levels - 1))
+
+
 def united(spans: Column, fields: list[str]) -> Column:
     """Sorted spans made disjoint: overlapping ones are one from the first start to the last end, with the other fields of the first."""
 

@@ -115,6 +115,52 @@ def split_shares(rows: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(whole), 4))
 
 
+#: The clinical fields of a record, which a response says; all others are bookkeeping.
+RESPONSE = ["diagnoses", "medications", "vitals"]
+
+
+def format_records(records: DataFrame, notes: DataFrame, *keep: str) -> DataFrame:
+    """instruction and response of each record, and the columns in keep: its note's text, and its clinical fields as JSON, nulls kept.
+
+    A record whose note isn't there is an error that names it. Copies of a record share its note.
+    """
+    found = records.join(notes.select("note_id", F.col("text").alias("instruction")), "note_id", "left")
+    lost = F.raise_error(F.concat(F.lit("no note for note_id "), F.coalesce("note_id", F.lit("null"))))
+    response = F.to_json(F.struct(*RESPONSE), {"ignoreNullFields": "false"})
+    return found.select(*keep, F.when(F.col("instruction").isNull(), lost).otherwise(F.col("instruction")).alias("instruction"), response.alias("response"))
+
+
+#: What the loss leaves out.
+MASKED = -100
+
+
+def training_batches(examples: DataFrame, key: str, store: Callable[[DataFrame], DataFrame], budget: int, width: int = 64, seed: int = 7, pad: int = 0) -> DataFrame:
+    """key, bucket, batch, input_ids, labels, attention_mask of examples (key, input_ids, n_prompt), padded to their batch's longest.
+
+    Examples of like length (in steps of width) make a bucket, and within a bucket follow each other in an order that seed and key give. A batch
+    holds as many as fit the budget of tokens when all are as long as the bucket allows, but one at least. Labels of the prompt and of padding are masked.
+    """
+    length = F.size("input_ids")
+    bucketed = examples.select(key, "input_ids", "n_prompt").withColumns(
+        {"bucket": F.floor(F.greatest(length - 1, F.lit(0)) / width).cast("int"), "_order": F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))}
+    )
+    placed = numbered(bucketed, ["bucket", "_order"], "_place", store)
+    firsts = placed.groupBy("bucket").agg(F.min("_place").alias("_first"))  # a row for each step of length
+    size = F.greatest(F.floor(F.lit(budget) / ((F.col("bucket") + 1) * width)), F.lit(1))
+    batched = placed.join(F.broadcast(firsts), "bucket").withColumn("batch", F.floor((F.col("_place") - F.col("_first")) / size).cast("long"))
+    longest = F.max(length).over(Window.partitionBy("bucket", "batch"))
+    fill = lambda what: F.array_repeat(F.lit(what), F.col("_longest") - length)
+    labels = F.transform("input_ids", lambda x, i: F.when(i < F.col("n_prompt"), MASKED).otherwise(x))
+    return batched.withColumn("_longest", longest).select(
+        key,
+        "bucket",
+        "batch",
+        F.concat("input_ids", fill(pad)).alias("input_ids"),
+        F.concat(labels, fill(MASKED)).alias("labels"),
+        F.concat(F.array_repeat(F.lit(1), length), fill(0)).alias("attention_mask"),
+    )
+
+
 #: Digests that are digested together.
 BLOCK = 4096
 

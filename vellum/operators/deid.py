@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.scalars import pseudonym, shifted, zip3
-from vellum.functions.spans import rewritten
-from vellum.functions.vocabulary import LEAK_EXAMPLES, PHI_PATTERNS
-from vellum.operators.relational import no_rows, overlapping
+from vellum.functions.spans import bound, rewritten, running_sum, united
+from vellum.functions.vocabulary import CASE_EXAMPLES, LEAK_EXAMPLES, PHI_PATTERNS
+from vellum.operators.relational import first_k, no_rows, overlapping
 
 #: The category whose shift a field or a span follows.
 FIELD_CATEGORY = {"birthDate": "dob", "onsetDateTime": "visit", "effectiveDateTime": "visit", "authoredOn": "visit"}
@@ -59,10 +59,27 @@ def span_recall(truth: DataFrame, detected: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("recall", F.round(F.col("caught") / F.col("total"), 4))
 
 
+#: Identifiers of one patient that are sought together.
+PACK = 64
+
+
 def leaked_identifiers(identifiers: DataFrame, haystacks: DataFrame, key: str) -> DataFrame:
-    """key, value: identifiers that are still found in a text of the same key. Empty identifiers are no identifiers."""
-    pairs = identifiers.where(F.length("value") > 0).distinct().join(haystacks, key)
-    return pairs.where(F.contains("text", F.col("value"))).select(key, "value").distinct()
+    """key, value: identifiers that are still found in a text of the same key. Empty identifiers are no identifiers.
+
+    A patient's identifiers meet a text as one list (of PACK at most), and only those found in it become rows; so a patient with many texts is a
+    row for each, not for each text and identifier.
+    """
+    known = identifiers.where(F.length("value") > 0).select(key, "value").distinct()
+    place = F.row_number().over(Window.partitionBy(key).orderBy("value"))
+    packs = known.withColumn("_pack", F.floor((place - 1) / PACK)).groupBy(key, "_pack").agg(F.collect_list("value").alias("_values"))
+    met = haystacks.select(key, "text").join(packs, key)
+    return met.select(key, F.explode(F.filter("_values", lambda v: F.contains(F.col("text"), v))).alias("value")).distinct()
+
+
+def leaks_by_patient(identifiers: DataFrame, leaks: DataFrame, key: str) -> DataFrame:
+    """key, leaks: how many identifiers of each patient leaked, 0 included. leaks: as from leaked_identifiers()."""
+    counts = leaks.groupBy(key).agg(F.count("*").alias("leaks"))
+    return identifiers.select(key).distinct().join(counts, key, "left").select(key, F.coalesce("leaks", F.lit(0)).alias("leaks"))
 
 
 def overall_recall(by_type: DataFrame) -> DataFrame:
@@ -71,6 +88,28 @@ def overall_recall(by_type: DataFrame) -> DataFrame:
     return sums.withColumn("recall", F.round(F.coalesce(F.try_divide("caught", "total"), F.lit(0.0)), 4))
 
 
+def missed_spans(truth: DataFrame, detected: DataFrame, key: str) -> DataFrame:
+    """True spans that no detected span overlaps."""
+    return overlapping(truth, detected, key, "left_anti")
+
+
+def recall_report(truth: DataFrame, detected: DataFrame, key: str, examples: int = CASE_EXAMPLES) -> DataFrame:
+    """type, total, caught, recall and missed of each type, and of all (type null).
+
+    missed holds the first spans that were missed, as struct (key, start, end), in the order of key and place: at most ``examples`` a row.
+    """
+    by_type = span_recall(truth, detected, key)
+    missed = missed_spans(truth, detected, key).select(key, "start", "end", "type")
+    order = [key, "start", "end", "type"]
+    span = F.struct(key, "start", "end")
+    first = first_k(missed, ["type"], order, examples).groupBy("type").agg(F.sort_array(F.collect_list(span)).alias("missed"))
+    sample = first_k(missed, [], order, examples).agg(F.sort_array(F.collect_list(span)).alias("missed"))
+    none = F.array().cast(first.schema["missed"].dataType)
+    each = by_type.join(first, "type", "left").withColumn("missed", F.coalesce("missed", none))
+    whole = overall_recall(by_type).join(sample).select(F.lit(None).cast("string").alias("type"), "total", "caught", "recall", "missed")  # one row each
+    return each.select("type", "total", "caught", "recall", "missed").union(whole)
+
+
 def patient_identifiers(patients: DataFrame, shortest: int = 3) -> DataFrame:
     """id, value: the direct identifiers of each patient. Given names of fewer than ``shortest`` characters are none by themselves.
 
@@ -140,3 +179,40 @@ def offsets_keep_intervals(before: DataFrame, after: DataFrame, key: str, date:
 
 def any_pattern(text: Column, patterns: list[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a | b, (text.rlike(p) for _, p in patterns))
+
+
+#: What recognisers look for, and how sure they are. The first is the one for record numbers.
+RECOGNISERS = [
+    ("MRN", r"\bMRN\d{4,}\b", 0.9),
+    ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 1.0),
+    ("IP_ADDRESS", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])", 0.6),
+    ("DATE_TIME", r"\b\d{4}-\d{2}-\d{2}\b", 0.6),
+]
+
+
+def recognised(text: Column, recognisers: list[tuple[str, str, float]] = RECOGNISERS, least: float = 0.0) -> Column:
+    """array<struct<start, end, type, score>>: what each recogniser (type, pattern, score) of at least that score finds, in order of place.
+
+    Places come from split() and regexp_extract_all(), which walk a text alike: a match starts behind the pieces and matches ahead of it.
+    """
+
+    def found(kind: str, pattern: str, score: float) -> Column:
+        def placed(x: Column) -> Column:
+            steps = F.zip_with(x["pieces"], x["found"], lambda p, m: F.length(p) + F.coalesce(F.length(m), F.lit(0)))
+            span = lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), F.lit(kind).alias("type"), F.lit(score).alias("score"))
+            return running_sum(steps, lambda ends: F.transform(x["found"], lambda m, i: span(m, F.get(ends, i))))
+
+        matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        none = F.array().cast("array<struct<start:int,end:int,type:string,score:double>>")
+        pair = F.struct(F.split(text, pattern).alias("pieces"), matches.alias("found"))
+        return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), bound(pair, placed)).otherwise(none)
+
+    return F.sort_array(F.concat(*(found(*r) for r in recognisers if r[2] >= least)))
+
+
+def resolved(spans: Column) -> Column:
+    """Recognised spans made disjoint, so that all they cover is redacted; of those that start together the longest names the type."""
+    ordered = F.array_sort(
+        spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(0))
+    )
+    return united(ordered, ["start", "end", "type"])

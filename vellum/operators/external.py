@@ -59,22 +59,78 @@ def cache_first(requests: DataFrame, cache: DataFrame, client_factory: Callable
     return requests.join(cache.unionByName(answered(misses, client_factory)), "key")
 
 
+def attempted(requests: DataFrame, client_factory: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """key, value, error: as answered(), but a request that fails has an error and no value, and others go on."""
+
+    def run(frames: Iterator) -> Iterator:
+        client = client_factory()
+
+        def one(text: str) -> tuple[str | None, str | None]:
+            try:
+                return with_retries(client, text), None
+            except Exception as error:
+                return None, f"{type(error).__name__}: {error}"
+
+        for frame in frames:
+            said = [one(text) for text in frame["text"]]
+            frame["value"], frame["error"] = [v for v, _ in said], [e for _, e in said]
+            yield frame[["key", "value", "error"]]
+
+    return requests.dropDuplicates(["key"]).select("key", "text").mapInPandas(run, "key string, value string, error string")
+
+
 def submit_batch(requests: DataFrame, cache: DataFrame, path: str) -> str | None:
     """Writes the requests (key, text) that the cache has no answer to, once each, as a batch to path; its name, or None if there are none.
 
-    Nothing is asked yet: the written table is all that a later collect_batch() needs.
+    Nothing is asked yet. A batch is a folder: its requests, and a table of results to which each run adds. It is all that others need.
     """
     misses = requests.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"]).select("key", "text")
     if not misses.limit(1).count():
         return None
     name = uuid.uuid4().hex
-    misses.write.parquet(f"{path}/{name}")
+    misses.write.parquet(f"{path}/{name}/requests")
     return name
 
 
-def collect_batch(spark: SparkSession, path: str, name: str, client_factory: Callable[[], Callable[[str], str]]) -> DataFrame:
-    """key, value: the answers to a submitted batch, for the cache."""
-    return answered(spark.read.parquet(f"{path}/{name}"), client_factory)
+RESULT = "key string, value string, error string, n long"
+
+
+def ledger(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """key, text, state, value, error, tries of each request of a batch. state: answered, failed (each time so far), or open."""
+    requests = spark.read.parquet(f"{path}/{name}/requests")
+    folder = f"{path}/{name}/results"
+    there = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    known = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+    results = spark.read.schema(RESULT).option("recursiveFileLookup", True).parquet(folder) if known else spark.createDataFrame([], RESULT)
+    last = results.groupBy("key").agg(F.max_by("value", F.when(F.col("error").isNull(), F.col("n"))).alias("value"), F.max_by("error", "n").alias("error"), F.count_if(F.col("error").isNull()).alias("right"), F.count("*").alias("tries"))
+    state = F.when(F.col("right") > 0, "answered").when(F.col("tries") > 0, "failed").otherwise("open")
+    found = requests.join(last, "key", "left").withColumn("state", state)
+    return found.select("key", "text", "state", "value", F.when(F.col("state") == "failed", F.col("error")).alias("error"), F.coalesce("tries", F.lit(0)).alias("tries"))
+
+
+def run_batch(spark: SparkSession, path: str, name: str, client_factory: Callable[[], Callable[[str], str]]) -> None:
+    """Asks for what isn't answered yet: all requests at first, later those that failed or were never asked. Results are added to the batch."""
+    open_ = ledger(spark, path, name).where("state <> 'answered'")
+    n = (open_.agg(F.max("tries")).first()[0] or 0) + 1
+    attempted(open_, client_factory).withColumn("n", F.lit(n).cast("long")).write.parquet(f"{path}/{name}/results/run-{n:04d}-{uuid.uuid4().hex}")
+
+
+def batch_status(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One row: submitted, answered, failed, open, and status: ended if none is open, else in_progress."""
+    count = lambda state: F.count_if(F.col("state") == state).alias(state)
+    counts = ledger(spark, path, name).agg(F.count("*").alias("submitted"), count("answered"), count("failed"), count("open"))
+    return counts.withColumn("status", F.when(F.col("open") == 0, "ended").otherwise("in_progress"))
+
+
+def collect_batch(spark: SparkSession, path: str, name: str, partial: bool = False) -> DataFrame:
+    """key, value: the answers to a submitted batch, for the cache. A batch that hasn't ended, or in which requests failed, is an error,
+    unless the part that is answered is asked for."""
+    said = batch_status(spark, path, name).first()
+    if not partial and said["status"] != "ended":
+        raise RuntimeError(f"batch {name} has not ended: {said['open']} requests are open")
+    if not partial and said["failed"]:
+        raise RuntimeError(f"{said['failed']} requests of batch {name} failed")
+    return ledger(spark, path, name).where("state = 'answered'").select("key", "value")
 
 
 def synthesized(needed: DataFrame, client_factory: Callable[[], Callable[[str], str]], fields: str) -> DataFrame:

@@ -61,6 +61,18 @@ def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(rank)).where("_n = 1").drop("_n")
 
 
+def first_k(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
+    """The first k rows of each key in order; without keys of all rows.
+
+    Each task keeps k rows of a key at most before anything is shuffled (a group limit, or a top-k), so what meets is bounded by k times the
+    tasks, however many rows a key has. Ties in order are between rows that the caller doesn't tell apart.
+    """
+    if not keys:
+        return df.orderBy(*order).limit(k)
+    rank = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= k).drop("_n")
+
+
 def numbered(df: DataFrame, order: list[str], name: str, store) -> DataFrame:
     """Numbers from 1 in the given order. Rows are range-partitioned and numbered within parts; parts are offset by
     the sizes of those before, of which there are as many as partitions. store(df) must materialise df."""

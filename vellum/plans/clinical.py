@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import vocabulary as V
-from vellum.operators import curate, dataset, deid, evaluate, external, generate, lineage, normalize, notes, omop, quality_gate
-from vellum.operators.relational import cogroup_nest, numbered
-from vellum.plans.catalogue import REBALANCE, SPLIT_SQL, checkpointed, day, query
+from vellum.functions.scalars import referenced
+from vellum.operators import curate, dataset, deid, evaluate, external, generate, lineage, normalize, notes, omop, quality_gate, structure
+from vellum.operators.relational import cogroup_nest, distinct_sorted, numbered, same_set, within
+from vellum.plans.catalogue import MAIL, OFFSET, OFFSET_DAYS, REBALANCE, SPLIT_SQL, checkpointed, day, query
 from vellum.plans.catalogue import _needed as copies_needed
 from vellum.sources import io
 
@@ -500,22 +501,121 @@ def patient_identifiers(t):
     return deid.patient_identifiers(_patients(t))
 
 
-@query(f"""
-WITH {IDENTIFIERS}, hay AS (SELECT 'p' || o_custkey AS id, 'seen by City' || o_orderkey % 25 || CASE WHEN o_orderkey % 50 = 1 THEN ' MRN' || o_custkey ELSE '' END AS text FROM orders),
-leaks AS (SELECT DISTINCT ids.id, value FROM ids JOIN hay ON ids.id = hay.id AND contains(text, value))
-SELECT (SELECT count(*) FROM customer) AS patients, (SELECT count(*) FROM leaks) AS total_leaks,
-  (SELECT string_agg(id || '=' || value, '|' ORDER BY id, value) FROM (SELECT * FROM leaks ORDER BY id, value LIMIT 20)) AS examples""")
-def leakage_report(t):
+SHIFTED = "strftime(CAST({0} AS DATE) + CAST({1} AS INTEGER), '%Y-%m-%d')"
+HAYSTACKS = f"""{IDENTIFIERS},
+dob AS (SELECT c_custkey, DATE '1950-01-31' + CAST(c_custkey % 20000 AS INTEGER) AS born, {OFFSET.format("'p' || c_custkey || ':dob'")} AS r FROM customer),
+visit AS (SELECT o_orderkey, o_custkey, o_orderdate, {OFFSET.format("'p' || o_custkey || ':visit'")} AS r FROM orders),
+hay AS (
+  SELECT 'p' || o_custkey AS id, 'seen by City' || o_orderkey % 25 || CASE WHEN o_orderkey % 50 = 1 THEN ' MRN' || o_custkey ELSE '' END AS text FROM orders
+  UNION ALL SELECT 'p' || c_custkey, concat_ws('|', 'p' || c_custkey, {SHIFTED.format("born", OFFSET_DAYS.format("r"))}, 'DEID-' || upper(substr(sha256('p' || c_custkey), 1, 10)),
+    substr(lpad(CAST(c_custkey AS VARCHAR), 5, '0'), 1, 3) || '**') FROM dob
+  UNION ALL SELECT 'p' || o_custkey, concat_ws('|', 'c' || o_orderkey, 'Patient/p' || o_custkey,
+    CASE WHEN o_orderkey % 5 <> 0 THEN {SHIFTED.format("o_orderdate", OFFSET_DAYS.format("r"))} END) FROM visit),
+leaks AS (SELECT DISTINCT ids.id, value FROM ids JOIN hay ON ids.id = hay.id AND contains(text, value))"""
+
+
+def _deidentified(t) -> tuple[DataFrame, DataFrame]:
+    """Identifiers of patients, and all that is left of them to be searched: redacted and shifted resources, and notes that say too much."""
     notes = t("orders").select(
         F.concat(F.lit("p"), "o_custkey").alias("id"),
         F.concat(F.lit("seen by City"), F.col("o_orderkey") % 25, F.when(F.col("o_orderkey") % 50 == 1, F.concat(F.lit(" MRN"), "o_custkey")).otherwise("")).alias("text"),
     )
     people = _patients(t)
-    left = deid.redact_patients(people).select("id", F.to_json(F.struct("id", "gender", "identifier")).alias("value"))
-    report = deid.leakage_report(deid.patient_identifiers(people), deid.deidentified_texts(left.where("false"), notes))
+    redacted = deid.redact_patients(deid.shift_dates(people, "id"))
+    left = redacted.select("id", F.to_json(F.struct("id", "gender", "birthDate", "identifier", "address")).alias("value"))
+    conditions = resources(t).where("resourceType = 'Condition'").withColumn("patient", referenced(F.col("subject.reference")))
+    shifted = deid.shift_dates(conditions, "patient").select(F.col("patient").alias("id"), F.to_json(F.struct("id", "code", "subject", "onsetDateTime")).alias("value"))
+    return deid.patient_identifiers(people), deid.deidentified_texts(left.union(shifted), notes)
+
+
+@query(f"""
+WITH {HAYSTACKS}
+SELECT (SELECT count(*) FROM customer) AS patients, (SELECT count(*) FROM leaks) AS total_leaks,
+  (SELECT string_agg(id || '=' || value, '|' ORDER BY id, value) FROM (SELECT * FROM leaks ORDER BY id, value LIMIT 20)) AS examples""")
+def leakage_report(t):
+    report = deid.leakage_report(*_deidentified(t))
     return report.select("patients", "total_leaks", F.array_join(F.transform("leaked_examples", lambda x: F.concat(x["id"], F.lit("="), x["value"])), "|").alias("examples"))
 
 
+@query(f"WITH {HAYSTACKS} SELECT 'p' || c_custkey AS id, (SELECT count(*) FROM leaks WHERE leaks.id = 'p' || c_custkey) AS leaks FROM customer")
+def leaks_by_patient(t):
+    identifiers, left = _deidentified(t)
+    return deid.leaks_by_patient(identifiers, deid.leaked_identifiers(identifiers, left, "id"), "id")
+
+
+TRUTH = """truth AS (SELECT l_orderkey, l_linenumber, l_linenumber * 10 AS s, l_linenumber * 10 + CAST(l_quantity AS BIGINT) % 10 + 1 AS e, l_returnflag AS type FROM lineitem),
+found AS (SELECT l_orderkey, l_linenumber * 10 + 5 AS s, l_linenumber * 10 + 8 AS e FROM lineitem WHERE l_linestatus = 'O'),
+flagged AS (SELECT t.*, EXISTS (SELECT 1 FROM found f WHERE f.l_orderkey = t.l_orderkey AND t.s < f.e AND f.s < t.e) AS hit FROM truth t),
+first AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY l_orderkey, s, e) AS n, row_number() OVER (ORDER BY l_orderkey, s, e, type) AS n_all FROM flagged WHERE NOT hit)"""
+
+
+@query(f"""
+WITH {TRUTH}
+SELECT type, count(*) AS total, count(*) FILTER (hit) AS caught, round(count(*) FILTER (hit) / count(*), 4) AS recall,
+  (SELECT string_agg(l_orderkey || ':' || s || ':' || e, '|' ORDER BY l_orderkey, s, e) FROM first f WHERE n <= 25 AND f.type = g.type) AS missed FROM flagged g GROUP BY type
+UNION ALL SELECT NULL, count(*), count(*) FILTER (hit), round(count(*) FILTER (hit) / count(*), 4),
+  (SELECT string_agg(l_orderkey || ':' || s || ':' || e, '|' ORDER BY l_orderkey, s, e) FROM first WHERE n_all <= 25) FROM flagged""")
+def recall_report(t):
+    """Recall by type and over all, with the first missed spans of each."""
+    items = t("lineitem").withColumn("start", F.col("l_linenumber") * 10)
+    truth = items.select("l_orderkey", "start", (F.col("start") + F.col("l_quantity").cast("long") % 10 + 1).alias("end"), F.col("l_returnflag").alias("type"))
+    found = items.where("l_linestatus = 'O'").select("l_orderkey", (F.col("start") + 5).alias("start"), (F.col("start") + 8).alias("end"))
+    missed = F.array_join(F.transform("missed", lambda x: F.concat_ws(":", x["l_orderkey"], x["start"], x["end"])), "|")
+    return deid.recall_report(truth, found, "l_orderkey").withColumn("missed", missed)
+
+
+@query(f"""
+SELECT doc_id, type, count(*) AS n, true AS exact FROM (
+  SELECT doc_id, 'EMAIL_ADDRESS' AS type, unnest(regexp_extract_all(text, '{MAIL}')) AS m FROM documents
+  UNION ALL SELECT doc_id, 'DATE_TIME', unnest(regexp_extract_all(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')) FROM documents
+  UNION ALL SELECT doc_id, 'NUMBER', unnest(regexp_extract_all(text, '[0-9]+')) FROM documents) GROUP BY doc_id, type""")
+def recognised_spans(t):
+    """What recognisers find in whole texts, and whether each span holds what its pattern says."""
+    patterns = [("EMAIL_ADDRESS", MAIL, 0.9), ("DATE_TIME", "[0-9]{4}-[0-9]{2}-[0-9]{2}", 0.6), ("NUMBER", "[0-9]+", 0.1)]
+    each = t("documents").select("doc_id", "text", F.explode(deid.recognised(F.col("text"), patterns)).alias("s"))
+    said = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    exact = sum((F.when((F.col("s.type") == kind) & said.rlike(f"^{p}$"), 1).otherwise(0) for kind, p, _ in patterns), F.lit(0)) == 1
+    return each.groupBy("doc_id", "s.type").agg(F.count("*").alias("n"), F.bool_and(exact).alias("exact"))
+
+
+def _documents(t) -> DataFrame:
+    """Patients and medication requests as JSON texts, some of which break the standard."""
+    c, o = F.col("c_custkey"), F.col("o_orderkey")
+    gender = F.when(c % 7 == 0, "M").when(c % 3 == 0, "male").otherwise("female")
+    meta = F.when(c % 4 == 0, F.struct(F.array(F.lit("http://hl7.org/fhir/us/core/StructureDefinition/us-core-patient")).alias("profile")))
+    born = F.when(c % 11 == 0, "1950-13-01").otherwise("1950-01-31")
+    patients = t("customer").select(F.concat(F.lit("p"), c).alias("ord"), F.to_json(F.struct(F.lit("Patient").alias("resourceType"), F.concat(F.lit("p"), c).alias("id"), gender.alias("gender"), born.alias("birthDate"), meta.alias("meta"))).alias("value"))
+    concept = F.struct(F.array(F.struct(F.lit("435").alias("code"))).alias("coding"))
+    requests = t("orders").select(
+        F.concat(F.lit("m"), o).alias("ord"),
+        F.when(o % 101 == 0, "{").otherwise(F.to_json(F.struct(
+            F.when(o % 17 == 0, "Medication").otherwise("MedicationRequest").alias("resourceType"), F.concat(F.lit("m"), o).alias("id"), F.when(o % 5 != 0, "active").alias("status"), F.lit("order").alias("intent"),
+            concept.alias("medicationCodeableConcept"), F.when(o % 13 == 0, F.struct(F.lit("Medication/1").alias("reference"))).alias("medicationReference"),
+            F.struct(F.concat(F.lit("Patient/p"), "o_custkey").alias("reference")).alias("subject")))).alias("value"),
+    )
+    return patients.union(requests)
+
+
+BROKEN = """
+p AS (SELECT 'p' || c_custkey AS ord, 'Patient' AS resource_type, 'p' || c_custkey AS id, c_custkey % 4 = 0 AS profiled,
+  CASE WHEN c_custkey % 7 = 0 THEN 'gender: code expected of male, female, other, unknown' WHEN c_custkey % 11 = 0 THEN 'birthDate: date expected' END AS error FROM customer),
+m AS (SELECT 'm' || o_orderkey AS ord, CASE WHEN o_orderkey % 101 = 0 THEN '' WHEN o_orderkey % 17 = 0 THEN 'Medication' ELSE 'MedicationRequest' END AS resource_type,
+  CASE WHEN o_orderkey % 101 <> 0 THEN 'm' || o_orderkey END AS id, false AS profiled,
+  CASE WHEN o_orderkey % 101 = 0 THEN 'document: JSON expected' WHEN o_orderkey % 17 = 0 THEN 'resourceType: unknown' WHEN o_orderkey % 5 = 0 THEN 'status: required'
+    WHEN o_orderkey % 13 = 0 THEN 'medication[x]: one of its kinds expected' END AS error FROM orders),
+r AS (SELECT * FROM p UNION ALL SELECT * FROM m)"""
+
+
+@query(f"WITH {BROKEN} SELECT resource_type, count(*) AS total, count(*) FILTER (error IS NULL) AS valid, count(error) AS invalid, count(*) FILTER (profiled) AS profiled FROM r GROUP BY GROUPING SETS ((resource_type), ())")
+def validation_report(t):
+    return structure.validity(structure.validated(_documents(t)))
+
+
+@query(f"WITH {BROKEN} SELECT nullif(resource_type, '') AS resource_type, id, error FROM r WHERE error IS NOT NULL ORDER BY ord LIMIT 25")
+def validation_failures(t):
+    return structure.first_failures(structure.validated(_documents(t)), ["ord"])
+
+
 # --- notes, bridge, synthesis ---------------------------------------------------
 
 
@@ -636,3 +736,155 @@ def cached_answers(t):
 def call_stats(t):
     calls = t("events").select(F.col("value").alias("seconds"), (F.col("user_id") % 3).alias("retries"))
     return lineage.call_stats(calls).withColumns({c: F.round(c, 3) for c in ("seconds", "mean_seconds")})
+
+
+@query("""
+WITH c AS (SELECT DISTINCT c_mktsegment AS key FROM customer UNION SELECT DISTINCT o_orderpriority FROM orders)
+SELECT key, CASE WHEN key < 'C' THEN 'third' WHEN key < 'H' THEN 'second' ELSE 'first' END AS value FROM c WHERE key <> '5-LOW'""")
+def cache_log(t):
+    """Appends that overlap, with a compaction between them; asked for what is requested only."""
+    path = _folder(t)
+    keys = t("customer").select(F.col("c_mktsegment").alias("key")).union(t("orders").select("o_orderpriority")).distinct()
+    for value, upto in (("first", None), ("second", "H"), ("third", "C")):
+        io.cache_put((keys.where(F.col("key") < upto) if upto else keys).withColumn("value", F.lit(value)), path)
+        if value == "second":
+            io.cache_compact(keys.sparkSession, path)
+    return io.cache_probe(keys.where("key <> '5-LOW'"), path)
+
+
+@query("SELECT 'ended' AS status, count(*) AS submitted, count(*) FILTER (k % 10 <> 0) AS answered, count(*) FILTER (k % 10 = 0) AS failed, 0::BIGINT AS \"open\", CAST(sum(CASE WHEN k % 5 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS tries FROM (SELECT DISTINCT l_partkey AS k FROM lineitem)")
+def batch_ledger(t):
+    """A batch of which some fail at first, and some of these again when they are asked once more."""
+    path, spark = _folder(t), t("region").sparkSession
+    asked = t("lineitem").select(F.col("l_partkey").cast("string").alias("key"), F.col("l_partkey").cast("string").alias("text")).distinct()
+    name = external.submit_batch(asked, asked.limit(0), path)
+
+    def client(worst: int):
+        def ask(text: str) -> str:
+            if int(text) % worst == 0:
+                raise ValueError("no answer")
+            return text * 2
+
+        return lambda: ask
+
+    for worst in (5, 10):
+        external.run_batch(spark, path, name, client(worst))
+    tries = external.ledger(spark, path, name).agg(F.sum("tries").alias("tries"))
+    return external.batch_status(spark, path, name).join(tries)
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) AS number, 'v' || row_number() OVER (ORDER BY n_nationkey) AS version, n_name AS base_model, CAST(n_nationkey AS BIGINT) AS best_epoch FROM nation")
+def registry_runs(t):
+    """A run for each nation, registered one after another and read back with its version."""
+    path, spark = _folder(t), t("region").sparkSession
+    for row in t("nation").orderBy("n_nationkey").collect():
+        lineage.append_run(spark, path, spark.createDataFrame([(row.n_name, int(row.n_nationkey))], "base_model string, best_epoch long"))
+    return lineage.read_registry(spark, path, "base_model string, best_epoch long")
+
+
+@query("""
+SELECT 0 AS place, 'gold.jsonl' AS artifact, count(*) AS record_count, sha256(string_agg('{"item_id":' || item_id || '}' || chr(10), '' ORDER BY item_id)) AS sha256 FROM benchmark
+UNION ALL SELECT 1, 'regions.csv', count(*), sha256('name' || chr(10) || string_agg(r_name || chr(10), '' ORDER BY r_name)) FROM region
+UNION ALL SELECT 2, 'nations.json', count(*), sha256('[' || string_agg('"' || n_name || '"', ',' ORDER BY n_nationkey) || ']') FROM nation""")
+def provenance_files(t):
+    """Files of three kinds, written from the tables, in the order of their stages; a fourth isn't there."""
+    path, spark = _folder(t), t("region").sparkSession
+    joined = lambda df, by, line, sep: sep.join(r.x for r in df.orderBy(by).select(line.alias("x")).collect())
+    texts = {
+        "gold.jsonl": joined(t("benchmark"), "item_id", F.concat(F.lit('{"item_id":'), "item_id", F.lit("}\n")), ""),
+        "regions.csv": "name\n" + joined(t("region"), "r_name", F.concat("r_name", F.lit("\n")), ""),
+        "nations.json": "[" + joined(t("nation"), "n_nationkey", F.concat(F.lit('"'), "n_name", F.lit('"')), ",") + "]",
+    }
+    for name, text in texts.items():
+        io.create_new(spark, f"{path}/{name}", text)
+    rows = lineage.provenance(spark, [("Gold", f"{path}/gold.jsonl"), ("Lost", f"{path}/none.csv"), ("Regions", f"{path}/regions.csv"), ("Nations", f"{path}/nations.json")]).collect()
+    return spark.createDataFrame([(i, r.artifact, r.record_count, r.sha256) for i, r in enumerate(rows)], "place int, artifact string, record_count long, sha256 string")
+
+
+@query(f"""{SAID}, dd AS (SELECT note_id, count(DISTINCT name) AS n FROM d GROUP BY 1), mm AS (SELECT note_id, count(*) AS n, count(*) FILTER (dosage IS NULL) AS n_null FROM (SELECT DISTINCT note_id, name, dosage FROM m) GROUP BY 1)
+SELECT note_id, 'note of N' || o_orderkey AS instruction, coalesce(dd.n, 0) AS n_diagnoses, coalesce(mm.n, 0) AS n_medications, coalesce(mm.n_null, 0) AS n_without_dosage, false AS has_more
+FROM (SELECT o_orderkey, 'N' || o_orderkey AS note_id FROM orders) LEFT JOIN dd USING (note_id) LEFT JOIN mm USING (note_id)""")
+def formatted_records(t):
+    """Records with their notes as examples; the response is read back as JSON."""
+    notes = t("orders").select(F.concat(F.lit("N"), "o_orderkey").alias("note_id"), F.concat(F.lit("note of N"), "o_orderkey").alias("text"))
+    made = dataset.format_records(curated(t), notes, "note_id")
+    r = F.from_json("response", "diagnoses array<struct<name:string>>, medications array<struct<name:string,dosage:string>>, patient_id string, confidence double")
+    return made.withColumn("r", r).select(
+        "note_id", "instruction", F.size("r.diagnoses").cast("long").alias("n_diagnoses"), F.size("r.medications").cast("long").alias("n_medications"),
+        (F.size(F.filter("r.medications", lambda m: m["dosage"].isNull())) * F.when(F.contains("response", F.lit('"dosage":null')) | ~F.exists("r.medications", lambda m: m["dosage"].isNull()), 1)).cast("long").alias("n_without_dosage"),
+        (F.col("r.patient_id").isNotNull() | F.col("r.confidence").isNotNull()).alias("has_more"),
+    )
+
+
+@query("""
+WITH e AS (SELECT doc_id, [ord(c) FOR c IN string_split(source || ':' || lang || ':' || n_chars, '') IF c <> ''] AS ids, length(source) + 1 AS n_prompt FROM documents),
+b AS (SELECT *, (greatest(len(ids) - 1, 0) // 4)::INTEGER AS bucket FROM e),
+p AS (SELECT *, ((row_number() OVER (PARTITION BY bucket ORDER BY md5('7:' || doc_id)) - 1) // greatest(256 // ((bucket + 1) * 4), 1))::BIGINT AS batch FROM b)
+SELECT doc_id, bucket, batch, max(len(ids)) OVER (PARTITION BY bucket, batch) AS n_padded, CAST(list_sum(ids) AS BIGINT) AS ids, len(ids) AS n_attended,
+  CAST(greatest(len(ids) - n_prompt, 0) AS BIGINT) AS n_labels FROM p""")
+def training_batches(t):
+    """What documents say of themselves, by characters, as batches of 256 tokens at most; the prompt is masked."""
+    said = F.concat("source", F.lit(":"), "lang", F.lit(":"), "n_chars")
+    ids = F.transform(F.filter(F.split(said, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    examples = t("documents").select("doc_id", F.coalesce(ids, F.array().cast("array<int>")).alias("input_ids"), (F.length("source") + 1).alias("n_prompt"))
+    made = dataset.training_batches(examples, "doc_id", checkpointed, 256, 4)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return made.select(
+        "doc_id", "bucket", "batch", F.size("input_ids").cast("long").alias("n_padded"), total("input_ids").alias("ids"), total("attention_mask").alias("n_attended"),
+        F.size(F.filter("labels", lambda x: x != dataset.MASKED)).cast("long").alias("n_labels"),
+    )
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0 AND o_totalprice / 400000 < 0.7")
+def low_confidence_records(t):
+    """Records to look at; those that say nothing of their confidence aren't among them."""
+    records = t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice") / 400000).alias("confidence"))
+    return records.where(external.low_confidence(F.col("confidence"))).select("o_orderkey")
+
+
+@query("SELECT DISTINCT c_mktsegment AS name FROM customer WHERE c_mktsegment IS NOT NULL")
+def distinct_names(t):
+    return distinct_sorted(t("customer").select(F.col("c_mktsegment").alias("name")), "name")
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders)) = 0 AS within, (SELECT count(*) FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem)) = 0 AND (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders)) = 0 AS same")
+def set_equality(t):
+    """Whether all orders of line items are there, and whether both name the same orders."""
+    items, orders = t("lineitem").select(F.col("l_orderkey").alias("k")), t("orders").select(F.col("o_orderkey").alias("k"))
+    return items.sparkSession.createDataFrame([(within(items, orders), same_set(items, orders))], "within boolean, same boolean")
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM orders GROUP BY 1")
+def parquet_view_sql(t):
+    """SQL over a view of a Parquet file."""
+    orders = t("orders")
+    name = f"orders_{uuid.uuid4().hex}"
+    io.parquet_view(orders.sparkSession, orders.inputFiles()[0].rpartition("/orders.parquet")[0] + "/orders.parquet", name)
+    return orders.sparkSession.sql(f"SELECT o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM {name} GROUP BY 1")
+
+
+@query("SELECT count(*) AS n, min(c_name) AS first_name, round(sum(c_acctbal), 2) AS balance FROM customer")
+def json_report_round_trip(t):
+    """A report of one row, written as a JSON document and read back."""
+    path, report = f"{_folder(t)}/report.json", t("customer").agg(F.count("*").alias("n"), F.min("c_name").alias("first_name"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    io.write_report(report.sparkSession, report, path)
+    return io.read_json_document(report.sparkSession, path).select("n", "first_name", "balance")
+
+
+@query("""
+SELECT CAST(s_suppkey AS VARCHAR) AS source_code, CASE WHEN s_suppkey % 3 = 0 THEN 'standard ' || s_name ELSE s_name END AS name, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey ELSE 0 END::BIGINT AS standard_concept_id
+FROM supplier""")
+def vocabulary_document(t):
+    """Concepts of a vocabulary document that is written from suppliers; two of three have no standard concept."""
+    path, k = _folder(t), F.col("s_suppkey")
+    side = lambda name, there: F.when(there, F.struct(k.cast("long").alias("concept_id"), k.cast("string").alias("concept_code"), name.alias("concept_name"), F.lit("V").alias("vocabulary_id")))
+    entry = F.struct(k.cast("string").alias("key"), F.struct(side(F.col("s_name"), F.lit(True)).alias("source"), side(F.concat(F.lit("standard "), "s_name"), k % 3 == 0).alias("standard")).alias("value"))
+    document = t("supplier").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("suppliers"))).alias("value"))
+    document.coalesce(1).write.text(path)
+    return omop.read_concepts(document.sparkSession, path, "suppliers").select("source_code", omop.concept_name().alias("name"), "standard_concept_id")
+
+
+@query("SELECT count(*) AS n FROM orders")
+def asserted_without_phi(t):
+    """Curated records, after no pattern of personal data was found in any of their texts."""
+    return deid.assert_no_phi(checkpointed(curated(t))).agg(F.count("*").alias("n"))

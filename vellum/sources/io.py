@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,11 +118,81 @@ def stage_then_promote(df: DataFrame, gate, staging: str, final: str, report: st
     return spark.read.parquet(final)
 
 
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a file if there is none of that name, and says whether it did: compare and swap, as file systems give it."""
+    target, fs = _file_system(spark, path)
+    if fs.exists(target):
+        return False
+    try:
+        stream = fs.create(target, False)
+    except Exception:
+        if fs.exists(target):  # another one was faster
+            return False
+        raise
+    stream.write(bytearray(text, "utf-8"))
+    stream.close()
+    return True
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """The number of a cache's latest manifest and the parts that it lists, oldest first; 0 and none for a cache that isn't there."""
+    folder, fs = _file_system(spark, f"{path}/manifests")
+    numbers = [int(f.getPath().getName().removesuffix(".json")) for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    if not numbers:
+        return 0, []
+    said = spark.read.text(f"{path}/manifests/{max(numbers):08d}.json", wholetext=True).first()
+    return max(numbers), json.loads(said["value"])
+
+
+def _commit(spark: SparkSession, path: str, change) -> None:
+    """Adds a manifest whose parts are change(those of the latest one); again, if another writer was faster."""
+    while True:
+        n, parts = _manifest(spark, path)
+        if create_new(spark, f"{path}/manifests/{n + 1:08d}.json", json.dumps(change(parts))):
+            return
+
+
 def cache_put(results: DataFrame, path: str) -> None:
-    """Appends results (key, value) to a cache table; later ones win, of one append the later row."""
-    results.withColumns({"stored_at": F.current_timestamp(), "row": F.monotonically_increasing_id()}).write.mode("append").parquet(path)
+    """Appends results (key, value) to a cache; later ones win, of one append the later row.
+
+    A cache is a log: each append is a part of its own, which counts once a manifest lists it. A write that breaks off leaves nothing that is read.
+    """
+    part = f"part-{uuid.uuid4().hex}"
+    results.select("key", "value", F.monotonically_increasing_id().alias("row")).write.parquet(f"{path}/{part}")
+    _commit(results.sparkSession, path, lambda parts: [*parts, part])
+
+
+def _cached(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
+    found = spark.createDataFrame([], "key string, value string, row long, part int")
+    for i, part in enumerate(parts):
+        found = found.union(spark.read.schema("key string, value string, row long").parquet(f"{path}/{part}").withColumn("part", F.lit(i)))
+    return found
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(F.max_by("value", F.struct("part", "row")).alias("value"))
 
 
 def cache_get(spark: SparkSession, path: str) -> DataFrame:
     """key, value: the latest value of each key."""
-    return spark.read.parquet(path).groupBy("key").agg(F.max_by("value", F.struct("stored_at", "row")).alias("value"))
+    _, parts = _manifest(spark, path)
+    rows = _cached(spark, path, parts)
+    return _latest(rows) if len(parts) != 1 else rows.select("key", "value") if parts[0].startswith("base") else _latest(rows)
+
+
+def cache_probe(requests: DataFrame, path: str) -> DataFrame:
+    """key, value of the keys that are requested: only their rows of the cache are grouped, not the whole of it."""
+    spark = requests.sparkSession
+    rows = _cached(spark, path, _manifest(spark, path)[1])
+    return _latest(rows.join(requests.select("key").distinct(), "key", "left_semi"))
+
+
+def cache_compact(spark: SparkSession, path: str) -> None:
+    """Puts all parts together as one without superseded values. Parts appended meanwhile stay behind it; old parts stay readable for who
+    reads an old manifest."""
+    _, parts = _manifest(spark, path)
+    if not parts:
+        return
+    base = f"base-{uuid.uuid4().hex}"
+    _latest(_cached(spark, path, parts)).withColumn("row", F.lit(0).cast("long")).write.parquet(f"{path}/{base}")
+    _commit(spark, path, lambda now: [base, *now[len(parts) :]] if now[: len(parts)] == parts else now)
