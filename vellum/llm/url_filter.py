@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import LOWER, UPPER, sized, stored, table
+from vellum.llm.shared import LOWER, UPPER, stored, table
 
 PREFIX_HEX = 8
-#: Hits (host, path, rule, verdict) that may be broadcast.
-FEW_HITS = 100_000
+#: Bytes of hits (host, path, rule, verdict) that may be broadcast, with ROW for what a row takes besides its texts.
+HIT_BYTES, ROW = 16 << 20, 64
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 #: The rules of the contract, as (host, path, action).
@@ -92,7 +92,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     )
     # urls without host have nothing to look up; as one key they would meet in one task
     without = judged.where(F.length("host") == 0).withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
-    looked_up = placed.join(sized(stored(hits, "url-hits"), FEW_HITS), ["host", "path"], "left")
+    hits = stored(hits, "url-hits")
+    size = hits.agg(F.sum(F.octet_length("host") + F.octet_length("path") + F.octet_length("rule") + ROW)).first()[0] or 0
+    looked_up = placed.join(F.broadcast(hits) if size <= HIT_BYTES else hits, ["host", "path"], "left")
     return looked_up.unionByName(without).fillna({"verdict": default})
 
 
