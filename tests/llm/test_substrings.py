@@ -84,10 +84,11 @@ def test_common_passages_equal_brute_force(spark):
 def test_no_group_holds_all_of_a_common_passage(spark, monkeypatch):
     docs = spark.createDataFrame(common_passages(), "doc_id long, text string")
     firsts = docs.withColumn("key", F.xxhash64("text"))
-    common = substrings.common_minimizers(firsts, 20)
-    rows = firsts.select("doc_id", "text").mapInArrow(substrings.minimizers(64, common), "bucket int, hashes binary, docs binary").collect()
+    hashes, n = substrings.common_minimizers(firsts, 20)
+    bits = substrings.common_filter(hashes, n)
+    rows = firsts.select("doc_id", "text").mapInArrow(substrings.minimizers(64, bits), "bucket int, hashes binary, docs binary").collect()
     left = Counter(h for r in rows for h in np.frombuffer(r.hashes, np.uint32))
-    assert len(common) > 5 and max(left.values()) < 20
+    assert n > 5 and max(left.values()) < 20
     monkeypatch.setattr(substrings, "FEW_WINDOWS", 0)
     monkeypatch.setattr(substrings, "FEW_RUNS", 0)
     assert got(docs, common=20) == brute(common_passages())
@@ -97,11 +98,33 @@ def test_minimizers_of_few_documents_with_many_places_are_common(spark):
     line = "the very same line of a text that repeats itself, over and over\n"
     docs = [(d, f"{d:05d}" * 12 + line * 30) for d in range(4)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    common = substrings.common_minimizers(df, 40)
-    assert len(common) > 2  # some stand 120 times in 4 documents
+    _, n = substrings.common_minimizers(df, 40)
+    assert n > 2  # some stand 120 times in 4 documents
     assert got(df, common=40) == brute(docs)
 
 
+def test_filter_of_common_minimizers(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    own, others = rng.integers(0, 1 << 63, 40_000, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, 40_000, np.uint64) * np.uint64(2)
+    table = spark.createDataFrame([(int(h),) for h in own.view(np.int64)], "hash long").repartition(8)
+    bits = substrings.common_filter(table, len(own))
+    assert len(bits) == 2 * substrings.SEGMENT_BITS // 8  # two segments
+    assert substrings.among(own, bits).all() and not substrings.among(others[:100], np.empty(0, np.uint8)).any()
+    assert substrings.among(others, bits).mean() < 0.001
+    monkeypatch.setattr(substrings, "MOST_SEGMENTS", 1)
+    full = substrings.common_filter(table, len(own))
+    assert len(full) == substrings.SEGMENT_BITS // 8 and substrings.among(own, full).all()
+
+
+def test_minimizers_taken_for_common_by_chance_change_nothing(spark, monkeypatch):
+    docs = texts_with_passages(5)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    some = np.random.default_rng(1).integers(0, 256, substrings.SEGMENT_BITS // 8).astype(np.uint8) | 0b01010111
+    for bits in (some, np.full(substrings.SEGMENT_BITS // 8, 255, np.uint8)):  # many pass, then all
+        monkeypatch.setattr(substrings, "common_filter", lambda hashes, n, bits=bits: bits)
+        assert got(df) == brute(docs)
+
+
 def test_packed_ids():
     ranges = ([5], [-3, 9], [7, 7, 7 + 255, 7 + 256], [1, 1 << 16, 2 << 16], [7, 7 + (1 << 32) - 1], [0, 1 << 32], [-(1 << 63), 0, (1 << 63) - 1], [-(1 << 63), (1 << 63) - 1])
     for ids in ranges:

@@ -10,7 +10,7 @@ bucket numbers, their own and that of a later offset, of 16, 32 and WINDOW bytes
 looks only at offsets that the windows need. What is then in one bucket is equal byte for byte.
 
 Minimizers that occur at very many places (found in a sample of documents) don't go to buckets, as all that hold one would meet
-in one task. Their runs of windows are reduced to the least doc_id of each distinct run, then of each distinct window, by
+in one task; the workers know them by a Bloom filter of bounded size. Their runs of windows are reduced to the least doc_id of each distinct run, then of each distinct window, by
 aggregations that combine before they shuffle; the keys are the bytes themselves. The results are joined back to the holders.
 """
 
@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.hashing import gram_hashes
-from vellum.llm.shared import pieces, sized, stored, table
+from vellum.llm.hashing import gram_hashes, mixed
+from vellum.llm.shared import counted, pieces, sized, stored, table
 
 WINDOW = 50
 GRAM = 24
@@ -40,6 +40,10 @@ MINIMIZER_BUCKET_BYTES = 1 << 25
 CHUNK = 1 << 20
 #: From about so many places on, a minimizer is common. A sample of documents has ``SAMPLED`` of so many.
 COMMON, SAMPLED = 4096, 64
+#: The set of common minimizers goes to the workers as a Bloom filter: segments of so many bits, so many bits set for each
+#: minimizer, so many bits a minimizer, and so many segments at most (128 MB). A minimizer that it takes for common by chance
+#: goes the way of common ones, which is as exact; only its cost differs.
+SEGMENT_BITS, PROBES, BITS_EACH, MOST_SEGMENTS = 1 << 20, 6, 32, 1024
 #: Distinct windows, and distinct runs with the least doc_id of each window, that may be broadcast.
 FEW_WINDOWS, FEW_RUNS = 200_000, 20_000
 
@@ -92,11 +96,52 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
-def among(hashes: np.ndarray, some: np.ndarray) -> np.ndarray:
-    """Whether each hash is among some, which are sorted."""
-    if not len(some):
+def probes(hashes: np.ndarray) -> Iterator[np.ndarray]:
+    """PROBES places in a segment for each hash, which don't depend on the segment."""
+    at = mixed(hashes)
+    step = (at >> np.uint64(32)) | np.uint64(1)
+    for _ in range(PROBES):
+        yield at & np.uint64(SEGMENT_BITS - 1)
+        at = at + step
+
+
+def segment_of_filter(group: pa.Table) -> pa.Table:
+    """Of a table of (segment, hash), all of one segment: the segment and its bits."""
+    hashes = group["hash"].to_numpy().view(np.uint64)
+    bits = np.zeros(SEGMENT_BITS, bool)
+    for at in probes(hashes):
+        bits[at] = True
+    packed = np.packbits(bits, bitorder="little").tobytes()
+    return pa.table({"segment": group["segment"][:1], "bits": pa.array([packed], pa.binary())})
+
+
+def common_filter(hashes: DataFrame, n: int) -> np.ndarray:
+    """The Bloom filter of a table of n hashes (hash long): a power of two of segments, none if there are no hashes.
+
+    The tasks build the segments; the driver puts together MOST_SEGMENTS of them at most, whatever n is.
+    """
+    if not n:
+        return np.empty(0, np.uint8)
+    segments = min(MOST_SEGMENTS, 1 << math.ceil(math.log2(max(1, n * BITS_EACH / SEGMENT_BITS))))
+    by_segment = hashes.select(F.col("hash").bitwiseAND(F.lit(segments - 1)).alias("segment"), "hash").groupBy("segment")
+    found = by_segment.applyInArrow(segment_of_filter, "segment long, bits binary").toArrow()
+    bits = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
+    for segment, packed in zip(found["segment"].to_pylist(), found["bits"], strict=True):
+        bits[segment] = np.frombuffer(packed.as_buffer(), np.uint8)
+    return bits.reshape(-1)
+
+
+def among(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each hash is in a filter; one that isn't may pass by chance."""
+    if not len(bits):
         return np.zeros(len(hashes), bool)
-    return some[np.minimum(np.searchsorted(some, hashes), len(some) - 1)] == hashes
+    at, base = np.arange(len(hashes)), (hashes & np.uint64(len(bits) * 8 // SEGMENT_BITS - 1)) * np.uint64(SEGMENT_BITS)
+    for place in probes(hashes):  # most leave at the first probe
+        place = base[at] + place[at]
+        at = at[bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1]
+    out = np.zeros(len(hashes), bool)
+    out[at] = True
+    return out
 
 
 def sampled_minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,13 +378,12 @@ def without_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def common_minimizers(firsts: DataFrame, common: int) -> np.ndarray:
-    """Sorted hashes of minimizers that occur at about so many places or more, by a sample of the documents."""
+def common_minimizers(firsts: DataFrame, common: int) -> tuple[DataFrame, int]:
+    """A table (hash) of minimizers that occur at about so many places or more, by a sample of the documents, and its size."""
     every = max(1, common // SAMPLED)
     sample = firsts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("doc_id", "text")
     counts = sample.mapInArrow(sampled_minimizers, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    found = counts.where(F.col("n") >= common // every).select("hash").toArrow()
-    return np.sort(found["hash"].to_numpy().view(np.uint64))
+    return counted(counts.where(F.col("n") >= common // every).select("hash"), "common-minimizers")
 
 
 def repeated_common_runs(firsts: DataFrame, common: np.ndarray) -> DataFrame:
@@ -395,10 +439,10 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, common: in
     key = F.xxhash64(F.coalesce("text", F.lit("")))  # tells apart texts of one doc_id
     marked = marked.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), key.alias("key"))
     firsts = marked.where(~F.col("copy"))
-    # the bound grows slowly with the input, so that the list of common minimizers stays short too
-    hashes = common_minimizers(firsts, max(common, math.isqrt(total) // SAMPLED))
+    # the bound grows slowly with the input, so that the common minimizers stay few too
+    bits = common_filter(*common_minimizers(firsts, max(common, math.isqrt(total) // SAMPLED)))
     shared = stored(
-        firsts.select("doc_id", "text").mapInArrow(minimizers(max(64, total // MINIMIZER_BUCKET_BYTES), hashes), "bucket int, hashes binary, docs binary")
+        firsts.select("doc_id", "text").mapInArrow(minimizers(max(64, total // MINIMIZER_BUCKET_BYTES), bits), "bucket int, hashes binary, docs binary")
         .groupBy("bucket")
         .applyInArrow(shared_minimizers, "doc_id long, shared binary")
         .groupBy("doc_id")
@@ -412,8 +456,8 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, common: in
         .groupBy("bucket")
         .applyInArrow(repeated_runs, "doc_id long, key long, start int, end int")
     )
-    if len(hashes):
-        runs = runs.union(repeated_common_runs(firsts.select("doc_id", "text", "key"), hashes))
+    if len(bits):
+        runs = runs.union(repeated_common_runs(firsts.select("doc_id", "text", "key"), bits))
     runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "end")).alias("runs"))
     found = marked.join(runs, "doc_id", "left").select("doc_id", "text", "copy", "key", F.col("runs.key").alias("keys"), "runs.start", "runs.end")
     unplaced = docs.where("doc_id is null").select(
