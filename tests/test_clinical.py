@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import scalars as S
 from vellum.functions import vocabulary as V
-from vellum.operators import dataset, deid, evaluate, external, generate, lineage, normalize, omop, quality_gate
+from vellum.operators import dataset, deid, evaluate, external, generate, lineage, normalize, omop, quality_gate, structure
 from vellum.operators import relational as R
 from vellum.plans.catalogue import checkpointed
 from vellum.sources import io
@@ -83,6 +83,29 @@ def test_generated_resources_are_deterministic_and_valid(spark, resources):
     assert omop.structural_failures(resources.withColumn("birthDate", F.lit(None).cast("string"))).count() == 60
 
 
+def test_requests_refer_to_a_condition_that_the_drug_treats(resources, spark):
+    made = generate.dataset(spark, 30, seed=7)
+    dx = {r.id: (r.subject.reference, r.code.coding[1].code) for r in made["Condition"].collect()}
+    allowed = {(icd, rx) for icd, rx, _ in V.DX_TO_MED}
+    rx = made["MedicationRequest"].collect()
+    for r in rx:
+        subject, icd = dx[r.reasonReference[0].reference.removeprefix("Condition/")]
+        assert subject == r.subject.reference and (icd, r.medicationCodeableConcept.coding[0].code) in allowed
+    assert len(rx) == len(dx)
+    assert {r.e for r in generate.as_landing(made).select(F.size(structure.resource_errors(F.col("value"))).alias("e")).collect()} == {0}
+    unknown = made["Condition"].limit(1).withColumn("code", F.struct(F.transform("code.coding", lambda c: c.withField("code", F.lit("none"))).alias("coding"), F.col("code.text").alias("text")))
+    assert generate.medication_requests(unknown).count() == 0
+
+
+def test_weighted_samples_by_running_sums(spark):
+    weights = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 3.0), ("a", "z", 0.0), ("b", "x", 0.333), ("b", "w", 0.333), ("c", "x", 0.0), (None, "x", 1.0)], "k string, v string, weight double")
+    lists = generate.choice_lists(weights, "k", "v")
+    facts = spark.createDataFrame([("a", 0.0), ("a", 0.24), ("a", 0.25), ("a", 0.999), ("b", 0.49), ("b", 0.5), ("b", 1.0), ("c", 0.1), ("d", 0.1), (None, 0.1)], "k string, u double")
+    got = sorted(tuple(r) for r in generate.sampled(facts, lists, "k", "v", F.col("u")).collect())
+    assert got == [("a", 0.0, "x"), ("a", 0.24, "x"), ("a", 0.25, "y"), ("a", 0.999, "y"), ("b", 0.49, "w"), ("b", 0.5, "x"), ("b", 1.0, "x")]
+    assert generate.sampled(facts, generate.choice_lists(weights.limit(0), "k", "v"), "k", "v", F.col("u")).count() == 0
+
+
 def test_star_schema(spark, resources):
     number = lambda df, order, name: R.numbered(df, order, name, checkpointed)
     tables = omop.fhir_to_omop(resources, number)

@@ -34,16 +34,16 @@ def with_retries(call: Callable, *args, attempts: int = 4, base: float = 1.0, mo
             sleep(min(base * 2**attempt, most))
 
 
-def answered(requests: DataFrame, client_factory: Callable[[], Callable[[str], str]]) -> DataFrame:
+def answered(requests: DataFrame, client_factory: Callable[[], Callable[[str], str]], **retry: float) -> DataFrame:
     """key, value: the client's answer to the text of each request (key, text), asked once for each key.
 
-    client_factory runs once for each task; the client takes a text and returns a text.
+    client_factory runs once for each task; the client takes a text and returns a text. retry: attempts, base and most of with_retries.
     """
 
     def run(frames: Iterator) -> Iterator:
         client = client_factory()
         for frame in frames:
-            frame["value"] = [with_retries(client, text) for text in frame["text"]]
+            frame["value"] = [with_retries(client, text, **retry) for text in frame["text"]]
             yield frame[["key", "value"]]
 
     return requests.dropDuplicates(["key"]).select("key", "text").mapInPandas(run, "key string, value string")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import vocabulary as v
+from vellum.functions.scalars import coding
 from vellum.operators.omop import ICD10, LOINC, RXNORM, SNOMED, UCUM
 
 
@@ -18,13 +19,22 @@ def chosen(values: list, u: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), F.floor(u * len(values)).cast("int"))
 
 
-def weighted(pairs: list[tuple[str, float]], u: Column) -> Column:
-    """One of the values by weight: the first whose running sum exceeds u."""
-    total, out = 0.0, None
-    for value, weight in pairs:
-        total += weight
-        out = F.when(u < total, F.lit(value)) if out is None else out.when(u < total, F.lit(value))
-    return out.otherwise(F.lit(pairs[-1][0]))
+def choice_lists(weights: DataFrame, on: str, value: str) -> DataFrame:
+    """on, options: the values that weights (on, value, weight) lists for each key, in their order, with running sums of their weights."""
+    upto = F.sum("weight").over(Window.partitionBy(on).orderBy(value))
+    option = F.struct(F.col(value).alias("value"), upto.cast("double").alias("upto"))
+    return weights.where("weight > 0").select(on, option.alias("option")).groupBy(on).agg(F.sort_array(F.collect_list("option")).alias("options"))
+
+
+def sampled(facts: DataFrame, lists: DataFrame, on: str, value: str, u: Column) -> DataFrame:
+    """facts with value: one that lists (of choice_lists) has for the fact's key, by weight, at u in [0, 1); facts whose key has none go.
+
+    A fact meets one row, however many values its key has. Weights needn't add up to 1.
+    """
+    met = facts.join(lists.withColumnRenamed("options", "_options"), on)
+    place = u * F.element_at("_options", -1)["upto"]
+    found = F.get(F.filter("_options", lambda o: o["upto"] > place), F.lit(0))["value"]
+    return met.withColumn(value, F.coalesce(found, F.element_at("_options", -1)["value"])).drop("_options")
 
 
 def unless(u: Column, p: float, value: Column) -> Column:
@@ -32,14 +42,28 @@ def unless(u: Column, p: float, value: Column) -> Column:
     return F.when(u >= p, value)
 
 
+def profile(name: str) -> Column:
+    return F.struct(F.array(F.lit(f"http://hl7.org/fhir/us/core/StructureDefinition/us-core-{name}")).alias("profile"))
+
+
+def status(system: str, code: str) -> Column:
+    return F.struct(F.array(F.struct(F.lit(f"http://terminology.hl7.org/CodeSystem/{system}").alias("system"), F.lit(code).alias("code"))).alias("coding"))
+
+
 def patients(spark: SparkSession, n: int, seed: int = 42, messy: bool = True) -> DataFrame:
+    return patients_of(spark.range(n).withColumnRenamed("id", "n"), seed, messy)
+
+
+def patients_of(numbers: DataFrame, seed: int = 42, messy: bool = True) -> DataFrame:
+    """A patient for each number n. A messy one lacks its gender, identifier or address at times."""
     i, p = F.col("n"), 0.15 if messy else 0.0
     u = lambda salt: uniform(seed, salt, i)
     given, family = chosen(["Ana", "Ben", "Cora", "Dan", "Eva", "Finn"], u("given")), chosen(["Abel", "Bond", "Cruz", "Dorn", "Ek"], u("family"))
     address = F.array(F.struct(F.array(F.lit("1 Main St")).alias("line"), F.lit("Springfield").alias("city"), F.lit("IL").alias("state"), F.format_string("%05d", F.floor(u("zip") * 100000)).alias("postalCode")))
-    return spark.range(n).withColumnRenamed("id", "n").select(
+    return numbers.select(
         F.lit("Patient").alias("resourceType"),
         F.format_string("p%07d", "n").alias("id"),
+        profile("patient").alias("meta"),
         unless(u("m1"), p, chosen(["male", "female"], u("gender"))).alias("gender"),
         F.date_format(F.date_add(F.lit("1940-01-01").cast("date"), F.floor(u("born") * 22000).cast("int")), "yyyy-MM-dd").alias("birthDate"),
         unless(u("m2"), p, F.array(F.struct(F.lit("urn:mrn").alias("system"), F.format_string("MRN%06d", "n").alias("value")))).alias("identifier"),
@@ -48,8 +72,8 @@ def patients(spark: SparkSession, n: int, seed: int = 42, messy: bool = True) ->
     )
 
 
-def conditions(people: DataFrame, seed: int = 42) -> DataFrame:
-    """One to three conditions of each patient."""
+def conditions(people: DataFrame, seed: int = 42, messy: bool = True) -> DataFrame:
+    """One to three conditions of each patient; messy ones lack their clinical status at times."""
     count = (F.floor(uniform(seed, "n_dx", F.col("id")) * 3) + 1).cast("int")
     rows = people.select(F.col("id").alias("pid"), F.explode(F.sequence(F.lit(1), count)).alias("k"))
     u = lambda salt: uniform(seed, salt, F.col("pid"), F.col("k"))
@@ -58,6 +82,9 @@ def conditions(people: DataFrame, seed: int = 42) -> DataFrame:
     return rows.withColumn("c", pick).select(
         F.lit("Condition").alias("resourceType"),
         F.concat_ws("-", "pid", F.lit("c"), "k").alias("id"),
+        profile("condition-problems-health-concerns").alias("meta"),
+        unless(u("m"), 0.2 if messy else 0.0, status("condition-clinical", "active")).alias("clinicalStatus"),
+        status("condition-ver-status", "confirmed").alias("verificationStatus"),
         F.struct(F.concat(F.lit("Patient/"), "pid").alias("reference")).alias("subject"),
         F.struct(F.array(code(SNOMED, F.col("c.snomed")), code(ICD10, F.col("c.icd"))).alias("coding"), F.col("c.text").alias("text")).alias("code"),
         F.date_format(F.date_add(F.lit("2015-01-01").cast("date"), F.floor(u("onset") * 3600).cast("int")), "yyyy-MM-dd").alias("onsetDateTime"),
@@ -83,6 +110,7 @@ def observations(people: DataFrame, seed: int = 42, messy: bool = True) -> DataF
     return rows.withColumn("s", spec).select(
         F.lit("Observation").alias("resourceType"),
         F.concat_ws("-", "pid", F.lit("o"), "k").alias("id"),
+        F.lit("final").alias("status"),
         F.struct(F.concat(F.lit("Patient/"), "pid").alias("reference")).alias("subject"),
         coded(F.when(first, F.lit("85354-9")).otherwise(F.col("s.code"))).alias("code"),
         F.when(first, when).otherwise(unless(u("m"), 0.15 if messy else 0.0, when)).alias("effectiveDateTime"),
@@ -92,25 +120,21 @@ def observations(people: DataFrame, seed: int = 42, messy: bool = True) -> DataF
 
 
 def medication_requests(dx: DataFrame, seed: int = 42, messy: bool = True) -> DataFrame:
-    """A medication for each condition, by the weights of the bridge from diagnoses to drugs."""
+    """A medication for each condition that the bridge from diagnoses to drugs has any for, by its weights; conditions without one get no request."""
     u = lambda salt: uniform(seed, salt, F.col("id"))
-    by_code: dict[str, list] = {}
-    for icd, rx, weight in v.DX_TO_MED:
-        by_code.setdefault(icd, []).append((rx, weight))
-    icd = F.element_at("code.coding", 2)["code"]
-    rx = None
-    for code, options in by_code.items():
-        pick = weighted(options, u("rx"))
-        rx = F.when(icd == code, pick) if rx is None else rx.when(icd == code, pick)
-    texts = {m[0]: (m[2], m[3]) for m in v.MEDICATIONS}
-    sig = F.create_map(*(F.lit(x) for code, (short, full) in texts.items() for x in (code, f"{short}|{full}")))
-    said = F.split(F.try_element_at(sig, F.col("rx")), "[|]")
-    text = F.when(u("short") < (0.5 if messy else 0.0), F.get(said, F.lit(0))).otherwise(F.get(said, F.lit(1)))
-    return dx.withColumn("rx", rx).select(
+    spark = dx.sparkSession
+    lists = F.broadcast(choice_lists(v.dx_to_med(spark), "icd10", "rxcui"))  # closed vocabularies, a few rows
+    drugs = F.broadcast(v.medications(spark).select(F.col("code").alias("rxcui"), "label", "short", "full"))
+    picked = sampled(dx.withColumn("icd10", coding(F.col("code.coding"), ICD10)["code"]), lists, "icd10", "rxcui", u("rx")).join(drugs, "rxcui")
+    text = F.when(u("short") < (0.5 if messy else 0.0), F.col("short")).otherwise(F.col("full"))
+    return picked.select(
         F.lit("MedicationRequest").alias("resourceType"),
         F.concat("id", F.lit("-m")).alias("id"),
+        profile("medicationrequest").alias("meta"),
+        F.lit("active").alias("status"),
+        F.lit("order").alias("intent"),
         "subject",
-        F.struct(F.array(F.struct(F.lit(RXNORM).alias("system"), F.col("rx").alias("code"), F.lit(None).cast("string").alias("display"))).alias("coding"), F.lit(None).cast("string").alias("text")).alias("medicationCodeableConcept"),
+        F.struct(F.array(F.struct(F.lit(RXNORM).alias("system"), F.col("rxcui").alias("code"), F.lit(None).cast("string").alias("display"))).alias("coding"), F.col("label").alias("text")).alias("medicationCodeableConcept"),
         F.col("onsetDateTime").alias("authoredOn"),
         unless(u("m"), 0.15 if messy else 0.0, F.array(F.struct(text.alias("text")))).alias("dosageInstruction"),
         F.array(F.struct(F.concat(F.lit("Condition/"), "id").alias("reference"))).alias("reasonReference"),
@@ -141,8 +165,12 @@ def bridge_flags(diagnoses: DataFrame, found: DataFrame, added: DataFrame) -> Da
 
 
 def dataset(spark: SparkSession, n_patients: int, seed: int = 42, messy: bool = True) -> dict[str, DataFrame]:
-    people = patients(spark, n_patients, seed, messy)
-    dx = conditions(people, seed)
+    return resources_of(patients(spark, n_patients, seed, messy), seed, messy)
+
+
+def resources_of(people: DataFrame, seed: int = 42, messy: bool = True) -> dict[str, DataFrame]:
+    """Resources of each type of these patients."""
+    dx = conditions(people, seed, messy)
     return {"Patient": people, "Condition": dx, "Observation": observations(people, seed, messy), "MedicationRequest": medication_requests(dx, seed, messy)}
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vellum.functions import vocabulary as V
 from vellum.functions.scalars import referenced
 from vellum.operators import curate, dataset, deid, evaluate, external, generate, lineage, normalize, notes, omop, quality_gate, structure
-from vellum.operators.relational import cogroup_nest, distinct_sorted, numbered, same_set, within
+from vellum.operators.relational import cogroup_nest, distinct_sorted, first_k, numbered, same_set, within
 from vellum.plans.catalogue import MAIL, OFFSET, OFFSET_DAYS, REBALANCE, SPLIT_SQL, checkpointed, day, query
 from vellum.plans.catalogue import _needed as copies_needed
 from vellum.sources import io
@@ -888,3 +888,122 @@ def vocabulary_document(t):
 def asserted_without_phi(t):
     """Curated records, after no pattern of personal data was found in any of their texts."""
     return deid.assert_no_phi(checkpointed(curated(t))).agg(F.count("*").alias("n"))
+
+
+# --- generator, weighted samples, previews -----------------------------------------
+
+
+def _generated(t) -> dict[str, DataFrame]:
+    """Generated resources of a patient for each customer."""
+    return generate.resources_of(generate.patients_of(t("customer").select(F.col("c_custkey").alias("n"))))
+
+
+@query("SELECT printf('p%07d', c_custkey) AS id, true AS conditions, true AS observations, true AS requests, true AS valid FROM customer")
+def generated_resources(t):
+    """Whether each patient has one to three conditions, a panel and one to four simple observations, and for each condition a request for
+    a drug that its diagnosis may be treated with and that refers to it; and whether all these are valid resources."""
+    made = _generated(t)
+    of = lambda kind: made[kind].withColumn("patient", referenced(F.col("subject.reference")))
+    dx = of("Condition").select("patient", "id", F.element_at("code.coding", 2)["code"].alias("icd10"))
+    rx = of("MedicationRequest").select("patient", referenced(F.get("reasonReference", F.lit(0))["reference"]).alias("id"), F.get("medicationCodeableConcept.coding", F.lit(0))["code"].alias("rxcui"))
+    allowed = F.broadcast(V.dx_to_med(t("region").sparkSession).select("icd10", "rxcui", F.lit(True).alias("may")))
+    paired = dx.join(rx, ["patient", "id"], "full").join(allowed, ["icd10", "rxcui"], "left")
+    n = F.count("*").between(1, 3)
+    conditions = paired.groupBy(F.col("patient").alias("id")).agg((n & (F.count("icd10") == F.count("*"))).alias("conditions"), F.every(F.coalesce("may", F.lit(False))).alias("requests"))
+    panel = F.get("code.coding", F.lit(0))["code"] == "85354-9"
+    whole = F.size(F.coalesce("component", F.array())) == F.when(panel, 2).otherwise(0)
+    observed = of("Observation").groupBy(F.col("patient").alias("id")).agg(((F.count_if(panel) == 1) & F.count_if(~panel).between(1, 4) & F.every(whole)).alias("observations"))
+    landing = generate.as_landing(made)
+    owner = F.coalesce(referenced(F.get_json_object("value", "$.subject.reference")), F.get_json_object("value", "$.id"))
+    valid = landing.groupBy(owner.alias("id")).agg(F.every(F.size(structure.resource_errors(F.col("value"))) == 0).alias("valid"))
+    return made["Patient"].select("id").join(conditions, "id").join(observed, "id").join(valid, "id")
+
+
+@query("""
+SELECT field, p::DOUBLE AS p, (SELECT count(*) FROM customer) AS patients, true AS near
+FROM (VALUES ('gender', 0.15), ('identifier', 0.15), ('address', 0.15), ('clinicalStatus', 0.2), ('effectiveDateTime', 0.15), ('dosageInstruction', 0.15), ('short sig', 0.5), ('other unit', 0.4)) v(field, p)""")
+def generated_messiness(t):
+    """Whether the share of resources that lack a field, or say it otherwise, is within four standard deviations of what it should be."""
+    made, n = _generated(t), t("customer").count()
+    sig = F.get("dosageInstruction", F.lit(0))["text"]
+    simple = made["Observation"].where("component is null")
+    shorts, others = [m[2] for m in V.MEDICATIONS], [o[4] for o in V.OBSERVATIONS if o[4]]
+    both = [o[0] for o in V.OBSERVATIONS if o[4]]
+    absent = lambda df, field, p: df.select(F.lit(field).alias("field"), F.lit(p).alias("p"), F.col(field).isNull().alias("so"))
+    parts = [absent(made["Patient"], f, 0.15) for f in ("gender", "identifier", "address")]
+    parts += [absent(made["Condition"], "clinicalStatus", 0.2), absent(simple, "effectiveDateTime", 0.15), absent(made["MedicationRequest"], "dosageInstruction", 0.15)]
+    parts.append(made["MedicationRequest"].where("dosageInstruction is not null").select(F.lit("short sig"), F.lit(0.5), sig.isin(shorts)))
+    parts.append(simple.where(F.get("code.coding", F.lit(0))["code"].isin(both)).select(F.lit("other unit"), F.lit(0.4), F.col("valueQuantity.code").isin(others)))
+    said = parts[0]
+    for more in parts[1:]:
+        said = said.union(more)
+    near = F.abs(F.avg(F.col("so").cast("int")) - F.col("p")) <= 4 * F.sqrt(F.col("p") * (1 - F.col("p")) / F.count("*"))
+    return said.groupBy("field", "p").agg(near.alias("near")).withColumn("patients", F.lit(n).cast("long"))
+
+
+@query("""
+WITH w AS (SELECT l_partkey, l_suppkey, sum(l_quantity)::DOUBLE AS weight FROM lineitem GROUP BY 1, 2),
+c AS (SELECT *, sum(weight) OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS upto, sum(weight) OVER (PARTITION BY l_partkey) AS total FROM w),
+l AS (SELECT *, row_number() OVER () AS r FROM lineitem),
+s AS (SELECT r, l_orderkey, l_linenumber, min(c.l_suppkey) AS supplier FROM l JOIN c ON l.l_partkey = c.l_partkey AND upto > (l_orderkey * 7 + l_linenumber) % 1000 / 1000.0::DOUBLE * total GROUP BY 1, 2, 3)
+SELECT l_orderkey, l_linenumber, supplier FROM s""")
+def weighted_sample(t):
+    """A supplier for each line item, of those that its part has, by the quantities they deliver."""
+    items = t("lineitem")
+    weights = items.groupBy("l_partkey", F.col("l_suppkey").alias("supplier")).agg(F.sum("l_quantity").cast("double").alias("weight"))
+    u = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 1000 / F.lit(1000.0)
+    facts = items.select("l_orderkey", "l_linenumber", "l_partkey")
+    return generate.sampled(facts, generate.choice_lists(weights, "l_partkey", "supplier"), "l_partkey", "supplier", u).drop("l_partkey")
+
+
+@query("""
+WITH m AS (SELECT DISTINCT l_partkey, l_suppkey, s_nationkey < 3 AS new FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey < 6),
+d AS (SELECT p_partkey, count(l_suppkey) AS n, count(*) FILTER (new) AS n_new FROM part LEFT JOIN m ON p_partkey = l_partkey GROUP BY 1)
+SELECT p_partkey AS icd10, CASE WHEN n = 0 THEN 'no in-vocabulary medication' ELSE 'only newly added medications' END AS reason FROM d WHERE n = n_new""")
+def bridge_review(t):
+    """Diagnoses (parts) that no drug (supplier) of the vocabulary treats, or newly added ones only."""
+    known = t("supplier").where("s_nationkey < 6").select(F.col("s_suppkey").alias("rxcui"), "s_nationkey")
+    members = t("lineitem").select(F.col("l_partkey").alias("icd10"), F.col("l_suppkey").alias("rxcui"))
+    return generate.bridge_flags(t("part").select(F.col("p_partkey").alias("icd10")), generate.bridge(members, known), known.where("s_nationkey < 3"))
+
+
+@query("SELECT c_custkey AS key, upper(c_name) AS value FROM customer")
+def retried_answers(t):
+    """Each request fails once with an error that may pass, and is answered when it is asked again."""
+
+    def client():
+        asked = set()
+
+        def ask(text: str) -> str:
+            if text not in asked:
+                asked.add(text)
+                raise RuntimeError("503 overloaded")
+            return text.upper()
+
+        return ask
+
+    return external.answered(t("customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("text")), client, base=0.0).select(F.col("key").cast("long").alias("key"), "value")
+
+
+@query("""
+SELECT count(*) AS notes, 8 * count(*) + count(*) FILTER (c_custkey % 4 <> 0) + (SELECT count(*) FROM orders WHERE o_orderkey % 5 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer)) AS spans
+FROM customer""")
+def note_span_totals(t):
+    return notes.span_totals(notes.build_notes(_notes(t)))
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
+def preview(t):
+    """The first 15 rows by price, as a preview shows them; each task keeps 15."""
+    return first_k(t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), [], [F.desc("o_totalprice"), "o_orderkey"], 15)
+
+
+@query("""
+SELECT 'gold_version' AS said, 'v3' AS what
+UNION ALL SELECT 'nations_sha256', sha256(string_agg(n_name || chr(10), '' ORDER BY n_nationkey)) FROM nation""")
+def lineage_of_files(t):
+    """Digests of the files that are there, and the version of the gold set."""
+    path, spark = _folder(t), t("region").sparkSession
+    io.create_new(spark, f"{path}/nations.csv", "".join(r.n_name + "\n" for r in t("nation").orderBy("n_nationkey").collect()))
+    found = lineage.data_lineage(spark, {"nations": f"{path}/nations.csv", "lost": f"{path}/none.csv"}, spark.createDataFrame([("v3",)], "version string"))
+    return found.select(F.explode("data_lineage").alias("said", "what"))
