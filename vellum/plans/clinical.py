@@ -680,14 +680,16 @@ def _folder(t) -> str:
 
 @query("""
 SELECT 'Patient' AS "resourceType", count(*) AS n, min('p' || c_custkey) AS first_id FROM customer
-UNION ALL SELECT 'Condition', count(*), min('c' || o_orderkey) FROM orders""")
+UNION ALL SELECT 'Condition', count(*), min('c' || o_orderkey) FROM orders
+UNION ALL SELECT CASE WHEN l_linenumber % 3 = 0 THEN 'MedicationRequest' ELSE 'Observation' END AS kind, count(*), min(CASE WHEN l_linenumber % 3 = 0 THEN 'm' ELSE 'o' END || l_orderkey || '-' || l_linenumber)
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
 def landing_round_trip(t):
-    """Resources written by type as JSON lines, and parsed from there."""
+    """Resources of all types written by type as JSON lines, and parsed from there."""
     spark, path = t("region").sparkSession, _folder(t)
-    made = resources(t).where("resourceType in ('Patient', 'Condition')")
+    made = resources(t)
     io.write_landing(made.select("resourceType", F.to_json(F.struct(*[c for c in made.columns if c != "ord"])).alias("value")), path)
-    read = [io.parsed(io.read_landing(spark, f"{path}/resourceType={kind}", "*.txt"), omop.RESOURCE, kind) for kind in ("Patient", "Condition")]
-    return read[0].union(read[1]).groupBy("resourceType").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    read = [io.parsed(io.read_landing(spark, f"{path}/resourceType={kind}", "*.txt"), omop.RESOURCE, kind) for kind in ("Patient", "Condition", "MedicationRequest", "Observation")]
+    return read[0].union(read[1]).union(read[2]).union(read[3]).groupBy("resourceType").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer")
