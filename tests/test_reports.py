@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import dataset, deid, external, lineage, structure
 from vellum.operators.relational import first_k
-from vellum.sources import io
+from vellum.sources import answers, io
 from vellum.sources.tables import materialised as checkpointed
 
 
@@ -165,3 +165,46 @@ def test_training_batches(spark):
     for (bucket, _), own in batches.items():
         assert {len(r.input_ids) for r in own} == {max(len(given[r.id][0]) for r in own)}
         assert len(own) == 1 or len(own) * (bucket + 1) * 8 <= 64
+
+
+def test_answers_as_a_data_source(spark, tmp_path):
+    folder, asked = f"file://{tmp_path}/requests", tmp_path / "asked"
+    asked.mkdir()
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("key"), F.when(F.col("id") != 7, F.concat(F.lit("text "), "id")).alias("text"))
+    rows.repartition(3).write.option("parquet.block.size", 4096).option("parquet.block.size.row.check.min", 10).parquet(folder)
+    log = str(asked)
+
+    def client():
+        import uuid
+
+        file = f"{log}/{uuid.uuid4().hex}"
+
+        def ask(text):
+            with open(file, "a") as f:
+                f.write(text + "\n")
+            if text == "text 5":
+                raise ValueError("no")
+            return text.upper()
+
+        return ask
+
+    said = lambda: sorted(line for f in asked.iterdir() for line in f.read_text().splitlines())
+    answers.register_answers(spark, "rules_of_test", client)
+    scan = spark.read.format("rules_of_test").option("splitBytes", 2000)
+    got = {r.key: (r.value, r.error) for r in scan.load(folder).collect()}
+    want = {str(i): (f"TEXT {i}", None) for i in range(3000)} | {"5": (None, "ValueError: no"), "7": (None, None)}
+    assert got == want and said() == sorted(f"text {i}" for i in range(3000) if i != 7)
+    assert scan.load(folder).rdd.getNumPartitions() > 3
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert scan.load(f"file://{empty}").collect() == []
+
+    for f in asked.iterdir():
+        f.unlink()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        some = scan.option("keys", "true").load(folder).where(F.col("key").isin("5", "8", "9", "x") & (F.col("key") != "9"))
+        assert {r.key for r in some.collect()} == {"5", "8"}
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert set(said()) <= {"text 5", "text 8", "text 9"}

@@ -59,20 +59,21 @@ def cache_first(requests: DataFrame, cache: DataFrame, client_factory: Callable
     return requests.join(cache.unionByName(answered(misses, client_factory)), "key")
 
 
+def tried(client: Callable[[str], str], text: str | None, **retry: float) -> tuple[str | None, str | None]:
+    """The client's answer and no error, or no answer and what went wrong, after retries. Nothing is asked about a null text."""
+    try:
+        return (None if text is None else with_retries(client, text, **retry)), None
+    except Exception as error:
+        return None, f"{type(error).__name__}: {error}"
+
+
 def attempted(requests: DataFrame, client_factory: Callable[[], Callable[[str], str]]) -> DataFrame:
     """key, value, error: as answered(), but a request that fails has an error and no value, and others go on."""
 
     def run(frames: Iterator) -> Iterator:
         client = client_factory()
-
-        def one(text: str) -> tuple[str | None, str | None]:
-            try:
-                return with_retries(client, text), None
-            except Exception as error:
-                return None, f"{type(error).__name__}: {error}"
-
         for frame in frames:
-            said = [one(text) for text in frame["text"]]
+            said = [tried(client, text) for text in frame["text"]]
             frame["value"], frame["error"] = [v for v, _ in said], [e for _, e in said]
             yield frame[["key", "value", "error"]]
 

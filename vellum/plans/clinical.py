@@ -18,7 +18,7 @@ from vellum.operators import curate, dataset, deid, evaluate, external, generate
 from vellum.operators.relational import cogroup_nest, distinct_sorted, first_k, numbered, same_set, within
 from vellum.plans.catalogue import MAIL, OFFSET, OFFSET_DAYS, REBALANCE, SPLIT_SQL, checkpointed, day, query
 from vellum.plans.catalogue import _needed as copies_needed
-from vellum.sources import io
+from vellum.sources import answers, io
 
 #: What notes say, and what is expected of it: canonical name, matched.
 DIAGNOSES = [
@@ -987,6 +987,28 @@ def retried_answers(t):
     return external.answered(t("customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("text")), client, base=0.0).select(F.col("key").cast("long").alias("key"), "value")
 
 
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 10 <> 0 THEN lower(o_orderpriority) || o_custkey END AS value,
+  CASE WHEN o_orderkey % 10 = 0 THEN 'ValueError: no answer to ' || o_orderpriority || o_custkey END AS error FROM orders""")
+def answers_source(t):
+    """A client read as a data source over a table of requests; a tenth of them are not to be answered."""
+    path, spark = _folder(t), t("region").sparkSession
+    said = F.concat("o_orderpriority", F.col("o_custkey").cast("string"))
+    refused = F.when(F.col("o_orderkey") % 10 == 0, F.lit("!")).otherwise(F.lit(""))
+    t("orders").select(F.col("o_orderkey").cast("string").alias("key"), F.concat(refused, said).alias("text")).write.parquet(path)
+
+    def client():
+        def ask(text: str) -> str:
+            if text.startswith("!"):
+                raise ValueError(f"no answer to {text[1:]}")
+            return text.lower()
+
+        return ask
+
+    answers.register_answers(spark, "vellum_rules", client)
+    return spark.read.format("vellum_rules").load(path)
+
+
 @query("""
 SELECT count(*) AS notes, 8 * count(*) + count(*) FILTER (c_custkey % 4 <> 0) + (SELECT count(*) FROM orders WHERE o_orderkey % 5 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer)) AS spans
 FROM customer""")
