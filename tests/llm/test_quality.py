@@ -2,9 +2,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from vellum.llm.quality import fit, judge_quality, rule_votes
+from vellum.llm.quality import fit, judge_quality, rule_votes, scored_patterns
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -44,6 +45,13 @@ def test_estimated_accuracies_follow_the_votes(spark):
         assert rates[0] > 0.82 and rates[1] > 0.82 and 0.4 < rates[2] < 0.6 and rates[3] > 0.7
 
 
+def test_a_model_that_has_not_settled_is_an_error(spark):
+    votes = spark.createDataFrame([([1, -1, 0],), ([1, 1, 1],), ([-1, -1, 1],)] * 5, "votes array<int>")
+    assert len(scored_patterns(votes, 3).collect()) == 3
+    with pytest.raises(Exception, match="did not converge in 2 rounds"):
+        scored_patterns(votes, 3, rounds=2).collect()
+
+
 def brute_fit(patterns, least_on_good):
     """The same model by a plain loop in numpy. patterns: {votes: n}. Returns the posterior of each pattern."""
     votes, n = np.array(list(patterns)), np.array(list(patterns.values()), float)

@@ -180,10 +180,13 @@ def fit(voted: DataFrame, n_rules: int, rounds: int = ROUNDS, least_on_good: flo
     return gathered.select("patterns", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("model"))
 
 
-def scored_patterns(voted: DataFrame, n_rules: int) -> DataFrame:
-    """votes, posterior: a row for each pattern of votes that occurs, so 3 to the power of n_rules at most."""
-    each = fit(voted, n_rules).select("model", F.explode("patterns").alias("p")).select("model", "p.votes")
-    return each.select("votes", posterior(F.col("votes"), F.col("model")).alias("posterior"))
+def scored_patterns(voted: DataFrame, n_rules: int, rounds: int = ROUNDS) -> DataFrame:
+    """votes, posterior: a row for each pattern of votes that occurs, so 3 to the power of n_rules at most. A model that still
+    moves after all rounds is an error."""
+    each = fit(voted, n_rules, rounds).select("model", F.explode("patterns").alias("p")).select("model", "p.votes")
+    unsettled = F.raise_error(F.lit(f"expectation-maximisation did not converge in {rounds} rounds"))
+    said = F.when(F.col("model.converged"), posterior(F.col("votes"), F.col("model"))).otherwise(unsettled.cast("double"))
+    return each.select("votes", said.alias("posterior"))
 
 
 def judge_quality(docs: DataFrame, *keep: str) -> DataFrame:

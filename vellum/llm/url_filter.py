@@ -46,7 +46,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     pages: url, and any other columns, which are kept. rules: host, path, action (allow or block).
     Adds host, path, rule and verdict. A null url, or one without ``://``, has an empty host and path;
     it matches no rule. A url that no rule fits has rule null and the default verdict. Repeated pages each
-    keep their row; of equal rules with different actions, block wins. Null fields of a rule drop the rule.
+    keep their row; of equal rules with different actions, block wins, of different rules of one length the greater
+    text (host, then path). Null fields of a rule drop the rule.
     """
     known = (
         rules.select("host", "path", "action")
