@@ -13,6 +13,7 @@ from vellum.functions import scalars as S
 from vellum.functions import vocabulary as V
 from vellum.operators import dataset, deid, evaluate, external, generate, lineage, normalize, omop, quality_gate, structure
 from vellum.operators import relational as R
+from vellum.plans import clinical
 from vellum.plans.catalogue import checkpointed
 from vellum.sources import io
 from vellum.streaming import landing
@@ -97,6 +98,12 @@ def test_requests_refer_to_a_condition_that_the_drug_treats(resources, spark):
     assert generate.medication_requests(unknown).count() == 0
 
 
+def test_generated_resources_of_few_bytes_are_dealt_to_many_tasks(spark):
+    made = clinical._generated(lambda name: spark.range(2 * R.TASK_ROWS + 1).coalesce(1).withColumnRenamed("id", "c_custkey"))
+    assert {kind: df.rdd.getNumPartitions() for kind, df in made.items()} == dict.fromkeys(made, 3)
+    assert made["Patient"].count() == 2 * R.TASK_ROWS + 1
+
+
 def test_weighted_samples_by_running_sums(spark):
     weights = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 3.0), ("a", "z", 0.0), ("b", "x", 0.333), ("b", "w", 0.333), ("c", "x", 0.0), (None, "x", 1.0)], "k string, v string, weight double")
     lists = generate.choice_lists(weights, "k", "v")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a task where much is made of each.
+TASK_ROWS = 5000
+
 
 def cogroup_nest(left: DataFrame, parts: dict[str, DataFrame], key: str) -> DataFrame:
     """left with, for each part, the array of its rows of the same key; empty arrays where there are none; orphans go."""
@@ -85,6 +88,14 @@ def numbered(df: DataFrame, order: list[str], name: str, store) -> DataFrame:
     return parts.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + place).drop("_part", "_before")
 
 
+def spread(df: DataFrame, key: str, rows: int = TASK_ROWS) -> DataFrame:
+    """df dealt out by key into tasks of about so many rows, counted first.
+
+    Few bytes are read by few tasks, whatever is made of each row; this is for rows that much is made of.
+    """
+    return df.repartition(max(1, -(-df.count() // rows)), key)
+
+
 def missing_from(requests: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     """Requests that the cache has no answer to, once each."""
     return requests.join(cache.select(key), key, "left_anti").dropDuplicates([key])

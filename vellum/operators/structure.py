@@ -8,6 +8,7 @@ list of what is wrong with it; nothing is joined or shuffled, whatever the defin
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,14 +97,18 @@ def error(path: str, said: str) -> Column:
     return F.array(F.lit(f"{path}: {said}"))
 
 
-def child(document: Column, name: str) -> Column:
-    """An element of an object, null if it isn't there or is null."""
-    found = F.try_variant_get(document, f"$.{name}", "variant")
-    return F.when(~F.is_variant_null(found), found)
+def child(document: Column, path: str) -> Column:
+    """What stands at a path, null if it isn't there or is null."""
+    return bound(F.try_variant_get(document, path, "variant"), lambda x: F.when(~F.is_variant_null(x), x))
+
+
+def is_object(document: Column, path: str) -> Column:
+    """Whether an object stands at a path. Nothing of it is copied: the one field that is asked for needn't be there."""
+    return F.try_variant_get(document, path, "struct<_:boolean>").isNotNull()
 
 
 def value_errors(value: Column, e: Element, path: str) -> Column:
-    """What is wrong with one value of an element."""
+    """What is wrong with one value of an element that is no object."""
     kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
     is_text = kind == "STRING"
     fits = {
@@ -113,39 +118,47 @@ def value_errors(value: Column, e: Element, path: str) -> Column:
         "dateTime": is_text & text.rlike(DATE_TIME),
         "decimal": kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"),
         "boolean": kind == "BOOLEAN",
-        "object": kind.startswith("OBJECT"),
     }[e.kind]
-    inner = object_errors(value, e.parts, path) if e.parts else none()
-    return F.when(F.coalesce(fits, F.lit(False)), inner).otherwise(error(path, f"{e.kind} expected" + (" of " + ", ".join(e.values) if e.values else "")))
+    return F.when(F.coalesce(fits, F.lit(False)), none()).otherwise(expected(e, path))
+
+
+def expected(e: Element, path: str) -> Column:
+    return error(path, f"{e.kind} expected" + (" of " + ", ".join(e.values) if e.values else ""))
 
 
-def element_errors(document: Column, e: Element, prefix: str, least: int) -> Column:
-    path = prefix + e.name
+def element_errors(document: Column, at: str, e: Element, prefix: str, least: int) -> Column:
+    """What is wrong with an element of the object at a path of document. Objects are walked by longer paths, not taken out."""
+    path, place = prefix + e.name, f"{at}.{e.name}"
     missing = error(path, "required") if least else none()
+    otherwise = lambda wrong: bound(child(document, place), lambda x: F.when(x.isNull(), missing).otherwise(wrong(x)))
+    if e.most != 1:
+        inner = lambda i: F.when(is_object(i, "$"), object_errors(i, e.parts, path)).otherwise(expected(e, path)) if e.kind == "object" else value_errors(i, e, path)
+        each = lambda i: F.when(F.is_variant_null(i), error(path, "null in a list")).otherwise(inner(i))
+        listed = lambda items: F.when(items.isNotNull(), F.flatten(F.transform(items, each))).otherwise(otherwise(lambda _: error(path, "list expected")))
+        return bound(F.try_variant_get(document, place, "array<variant>"), listed)
+    if e.kind == "object":
+        inner = object_errors(document, e.parts, path, place) if e.parts else none()
+        return F.when(is_object(document, place), inner).otherwise(otherwise(lambda _: expected(e, path)))
+    return otherwise(lambda x: value_errors(x, e, path))
 
-    def given(x: Column) -> Column:
-        if e.most == 1:
-            return value_errors(x, e, path)
-        items = F.try_variant_get(x, "$", "array<variant>")
-        return F.when(items.isNull(), error(path, "list expected")).otherwise(
-            F.flatten(F.transform(items, lambda i: F.when(F.is_variant_null(i), error(path, "null in a list")).otherwise(value_errors(i, e, path))))
-        )
 
-    return bound(child(document, e.name), lambda x: F.when(x.isNull(), missing).otherwise(given(x)))
+def chosen(few: Column, many: Column, n: Column) -> Column:
+    return F.when(n == 0, few).when(n > 1, many).otherwise(none())
 
 
-def object_errors(document: Column, elements: tuple[Element | Choice, ...], prefix: str = "") -> Column:
-    """What is wrong with an object, as an array of texts: path and what is expected there."""
+def object_errors(document: Column, elements: tuple[Element | Choice, ...], prefix: str = "", at: str = "$") -> Column:
+    """What is wrong with the object at a path of document, as an array of texts: path and what is expected there."""
     prefix = f"{prefix}." if prefix else ""
     found = []
     for e in elements:
         if isinstance(e, Element):
-            found.append(element_errors(document, e, prefix, e.least))
+            found.append(element_errors(document, at, e, prefix, e.least))
             continue
-        found += [element_errors(document, one, prefix, 0) for one in e.of]
-        n = sum((child(document, one.name).isNotNull().cast("int") for one in e.of), F.lit(0))
+        found += [element_errors(document, at, one, prefix, 0) for one in e.of]
+        there = lambda place: is_object(document, place) | child(document, place).isNotNull()
+        n = sum((there(f"{at}.{one.name}").cast("int") for one in e.of), F.lit(0))
         few, many = (error(prefix + e.name, "required") if e.least else none()), error(prefix + e.name, "one of its kinds expected")
-        found.append(F.when(n == 0, few).when(n > 1, many).otherwise(none()))
+        found.append(bound(n, partial(chosen, few, many)))
     return F.concat(*found)
 
 
