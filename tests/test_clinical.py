@@ -179,6 +179,15 @@ def test_cache_first(spark, tmp_path):
     cache = io.cache_get(spark, f"{tmp_path}/cache")
     with pytest.raises(LookupError):
         external.cache_first(requests, cache, None)
+def test_compressed_landing_is_read_back_and_settings_stay(spark, tmp_path):
+    key, path = "spark.sql.maxConcurrentOutputFileWriters", str(tmp_path / "landing")
+    before, rows = spark.conf.get(key), [("A", '{"resourceType": "A", "id": "1"}'), ("B", '{"resourceType": "B", "id": "2"}'), ("A", '{"resourceType": "A", "id": "3"}'), ("A", "no JSON")]
+    io.write_landing(spark.createDataFrame(rows, "resourceType string, value string"), path, "snappy")
+    assert spark.conf.get(key) == before
+    of = lambda kind: io.parsed(io.read_landing(spark, f"{path}/resourceType={kind}", "*.snappy"), "resourceType string, id string", kind)
+    assert {kind: sorted(r.id for r in of(kind).collect()) for kind in "AB"} == {"A": ["1", "3"], "B": ["2"]}
+
+
     got = external.cache_first(requests, cache, lambda: str.upper).collect()
     assert sorted((r.key, r.value) for r in got) == [("a", "old"), ("b", "Y"), ("b", "Y")]
 

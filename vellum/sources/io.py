@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 
@@ -9,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of a compressed file of a landing.
+LANDING_ROWS = 500_000
+
 
 def read_landing(spark: SparkSession, path: str, pattern: str = "*.ndjson") -> DataFrame:
     """Rows of all files in path: file, value, and ord, which orders them by file name, then place; blank lines are skipped."""
@@ -20,13 +24,29 @@ def read_landing(spark: SparkSession, path: str, pattern: str = "*.ndjson") -> D
 
 def parsed(landing: DataFrame, schema: T.StructType | str, resource_type: str | None = None) -> DataFrame:
     """The JSON of a landing as columns of a schema, of one resource type if named."""
-    rows = landing.select("ord", F.from_json("value", schema).alias("r"))
-    return rows.select("ord", "r.*") if resource_type is None else rows.where(F.col("r.resourceType") == resource_type).select("ord", "r.*")
+    rows = landing.select("ord", F.inline(F.array(F.from_json("value", schema))))  # a condition on what is made here doesn't parse it again
+    return rows if resource_type is None else rows.where(F.col("resourceType") == resource_type)
+
+
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
 
+def write_landing(resources: DataFrame, path: str, compression: str = "none") -> DataFrame:
+    """Writes resources (resourceType, value) by type as text; returns the count of each type.
 
-def write_landing(resources: DataFrame, path: str) -> DataFrame:
-    """Writes resources (resourceType, value) by type as text; returns the count of each type."""
-    resources.select("resourceType", "value").write.mode("overwrite").partitionBy("resourceType").text(path)
+    A task keeps a file open for each of some types, so that it needn't sort its rows by type; beyond these Spark sorts the rest. Compressed
+    files aren't split when they are read, so they hold LANDING_ROWS at most.
+    """
+    with _setting(resources.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", "16"):
+        writer = resources.select("resourceType", "value").write.mode("overwrite").partitionBy("resourceType").option("compression", compression)
+        (writer if compression == "none" else writer.option("maxRecordsPerFile", LANDING_ROWS)).text(path)
     return resources.groupBy("resourceType").agg(F.count("*").alias("n")).orderBy("resourceType")
 
 
