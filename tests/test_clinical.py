@@ -113,6 +113,27 @@ def test_weighted_samples_by_running_sums(spark):
     assert generate.sampled(facts, generate.choice_lists(weights.limit(0), "k", "v"), "k", "v", F.col("u")).count() == 0
 
 
+def test_a_table_is_made_without_numbering_the_others(resources):
+    for name, expected in {"person": ["person_id"], "drug_exposure": ["person_id", "drug_exposure_id"], "observation_period": ["person_id", "observation_period_id"]}.items():
+        numbered = []
+
+        def number(df, order, key):
+            numbered.append(key)
+            return R.numbered(df, order, key, checkpointed)
+
+        alone = omop.fhir_to_omop(resources, number, (name,))[name]
+        assert numbered == expected
+        assert sorted(alone.collect()) == sorted(omop.fhir_to_omop(resources, lambda *a: R.numbered(*a, checkpointed))[name].collect())
+
+
+def test_numbers_of_one_store_and_no_second_shuffle(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"))
+    got = R.numbered(df, ["k"], "n", checkpointed)
+    assert sorted(map(tuple, got.collect())) == [(i, i + 1) for i in range(1000)]
+    assert "hashpartitioning(_part" not in got._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    assert R.numbered(df.limit(0), ["k"], "n", checkpointed).count() == 0
+
+
 def test_star_schema(spark, resources):
     number = lambda df, order, name: R.numbered(df, order, name, checkpointed)
     tables = omop.fhir_to_omop(resources, number)

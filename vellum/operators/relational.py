@@ -77,15 +77,16 @@ def first_k(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFra
 
 
 def numbered(df: DataFrame, order: list[str], name: str, store) -> DataFrame:
-    """Numbers from 1 in the given order. Rows are range-partitioned and numbered within parts; parts are offset by
+    """Numbers from 1 in the given order. Rows are range-partitioned, sorted and numbered where they are; parts are offset by
     the sizes of those before, of which there are as many as partitions. store(df) must materialise df."""
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    parts = store(parts)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    # an id is the part's number, and behind it a row's place in 33 bits; kept with the rows, so that no part has to be gathered again
+    parts = store(placed.select(*df.columns, F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_place")))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + place).drop("_part", "_before")
+    number = F.col("_before") + F.col("_place") + 1
+    return parts.join(F.broadcast(offsets), "_part").withColumn(name, number).drop("_part", "_place", "_before")
 
 
 def spread(df: DataFrame, key: str, rows: int = TASK_ROWS) -> DataFrame:
