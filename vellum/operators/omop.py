@@ -136,20 +136,24 @@ def observation_period(events: list[DataFrame], key: str, number) -> DataFrame:
     return number(spans.withColumn("period_type_concept_id", F.lit(v.EHR_TYPE).cast("long")), [key], "observation_period_id")
 
 
-def fhir_to_omop(resources: DataFrame, number) -> dict[str, DataFrame]:
-    """All five tables. resources: ord and the columns of RESOURCE."""
+#: The tables of events, each with its date.
+EVENTS = {
+    "condition_occurrence": (condition_occurrence, "condition_start_date"),
+    "drug_exposure": (drug_exposure, "drug_exposure_start_date"),
+    "measurement": (measurement, "measurement_date"),
+}
+TABLES = ("person", *EVENTS, "observation_period")
+
+
+def fhir_to_omop(resources: DataFrame, number, names: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
+    """All five tables, or those named; nothing else is numbered, and so nothing else is stored. resources: ord and the columns of RESOURCE."""
     people = person(resources, number)
-    tables = {
-        "person": people.drop("patient_id"),
-        "condition_occurrence": condition_occurrence(resources, people, number),
-        "drug_exposure": drug_exposure(resources, people, number),
-        "measurement": measurement(resources, people, number),
-    }
-    dates = [
-        tables[t].select("person_id", F.col(c).alias("date"))
-        for t, c in (("condition_occurrence", "condition_start_date"), ("drug_exposure", "drug_exposure_start_date"), ("measurement", "measurement_date"))
-    ]
-    return tables | {"observation_period": observation_period(dates, "person_id", number)}
+    found = {"person": people.drop("patient_id")} | {name: EVENTS[name][0](resources, people, number) for name in EVENTS if name in names}
+    if "observation_period" in names:
+        table = lambda name: found[name] if name in found else EVENTS[name][0](resources, people, lambda df, order, key: df)
+        dates = [table(name).select("person_id", F.col(date).alias("date")) for name, (_, date) in EVENTS.items()]
+        found["observation_period"] = observation_period(dates, "person_id", number)
+    return {name: found[name] for name in names}
 
 
 def codings(resources: DataFrame) -> DataFrame:
