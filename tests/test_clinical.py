@@ -403,3 +403,14 @@ def test_records_are_gathered_without_their_texts(spark, small):
     table = lambda name: spark.read.parquet(f"{small}/{name}.parquet")
     above, _, below = clinical.extractions(table)._jdf.queryExecution().optimizedPlan().toString().partition("Aggregate [l_orderkey")
     assert "Amlodipine" in above and below and "Amlodipine" not in below
+
+
+def test_unmatched_report_counts_what_records_have_unmatched(spark):
+    """Null mentions, null lists and equal texts of different fields; each distinct mention is normalized once, after it is counted."""
+    d, m, v = [("Gout",), ("GERD",), (None,), ("Gout",), ("Obesity",), None], [("Gout", "1"), ("Gout", None), ("Gout", "1"), (None, "it's"), None], [("Gout", "1", None), ("hr", "70", None), ("bp", "x", "1"), (None, None, None), ("bp", "x", "1"), None]
+    schema = "i int, diagnoses array<struct<name:string>>, medications array<struct<name:string,dosage:string>>, vitals array<struct<name:string,value:string,unit:string>>"
+    records = spark.createDataFrame([(1, d, m, v), (2, None, None, None), (3, [], [], []), (4, d, None, v[:2])], schema)
+    expected = normalize.normalize_records(records).select(F.inline("unmatched")).groupBy("field_type", "detail").agg(F.count("*").alias("n"))
+    report = normalize.unmatched_report(records)
+    assert sorted(map(tuple, report.collect())) == sorted(map(tuple, expected.collect())) != []
+    assert report.schema.simpleString() == expected.schema.simpleString() and normalize.unmatched_report(records.limit(0)).count() == 0

@@ -137,6 +137,25 @@ def normalize_dosages(df: DataFrame) -> DataFrame:
     return found.select(*[c for c in df.columns if c not in ("name", "dosage")], "_m.name", "_m.dosage", "_m.matched")
 
 
+def _detail(kind: str, *texts: Column | str) -> Column:
+    said = F.concat(*(F.lit(x) if isinstance(x, str) else quoted(x) for x in texts))
+    return F.struct(F.lit(kind).alias("field_type"), said.alias("detail"))
+
+
+def _detail_of_diagnosis(raw: Column) -> Column:
+    return _detail("diagnosis", "diagnosis: ", raw)
+
+
+def _detail_of_dosage(found: Column) -> Column:
+    """Of what medication() found."""
+    return _detail("dosage", "dosage for ", found["name"], ": ", found["said"])
+
+
+def _detail_of_vital(x: Column) -> Column:
+    """Of name, value and unit as they were said."""
+    return _detail("vital", "vital: ", x["name"], " (", x["value"], " ", x["unit"], ")")
+
+
 def normalize_records(records: DataFrame) -> DataFrame:
     """records with diagnoses, medications and vitals normalized, and unmatched: array of struct (field_type, detail).
 
@@ -155,17 +174,10 @@ def normalize_records(records: DataFrame) -> DataFrame:
             ),
         }
     )
-    detail = lambda kind, text: F.struct(F.lit(kind).alias("field_type"), text.alias("detail"))
     unmatched = F.concat(
-        F.transform(F.filter("_d", lambda x: ~x["r"]["matched"]), lambda x: detail("diagnosis", F.concat(F.lit("diagnosis: "), quoted(x["raw"])))),
-        F.transform(
-            F.filter("_m", lambda x: ~x["matched"]),
-            lambda x: detail("dosage", F.concat(F.lit("dosage for "), quoted(x["name"]), F.lit(": "), quoted(x["said"]))),
-        ),
-        F.transform(
-            F.filter("_v", lambda x: ~x["r"]["matched"]),
-            lambda x: detail("vital", F.concat(F.lit("vital: "), quoted(x["name"]), F.lit(" ("), quoted(x["value"]), F.lit(" "), quoted(x["unit"]), F.lit(")"))),
-        ),
+        F.transform(F.filter("_d", lambda x: ~x["r"]["matched"]), lambda x: _detail_of_diagnosis(x["raw"])),
+        F.transform(F.filter("_m", lambda x: ~x["matched"]), _detail_of_dosage),
+        F.transform(F.filter("_v", lambda x: ~x["r"]["matched"]), _detail_of_vital),
     )
     made = {
         "diagnoses": F.array_distinct(F.transform("_d", lambda x: F.struct(x["r"]["name"].alias("name")))),
@@ -176,6 +188,27 @@ def normalize_records(records: DataFrame) -> DataFrame:
     return work.withColumns(made).drop("_d", "_m", "_v")
 
 
+def unmatched_report(records: DataFrame) -> DataFrame:
+    """field_type, detail, n: how often raw records say what isn't matched; what normalize_records() has in unmatched, counted.
+
+    Mentions are counted as they were said first, so that each distinct one is normalized once, however often it was said.
+    """
+    said = {"diagnoses": ("name",), "medications": ("name", "dosage"), "vitals": ("name", "value", "unit")}
+    columns = ["name", "dosage", "value", "unit"]
+    field = lambda x, names, c: (x[c] if c in names else F.lit(None)).cast("string").alias(c)
+    rows = lambda kind, names: F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), *(field(x, names, c) for c in columns)))
+    each = F.concat(*(F.coalesce(rows(*k), F.array().cast(f"array<struct<kind:string,{','.join(f'{c}:string' for c in columns)}>>")) for k in said.items()))
+    distinct = records.select(F.inline(each)).groupBy("kind", *columns).agg(F.count("*").alias("n"))
+    name, dosage, value, unit = map(F.col, columns)
+    judged = (
+        F.when(F.col("kind") == "diagnoses", bound(diagnosis(name)["matched"], lambda m: F.when(~m, _detail_of_diagnosis(name))))
+        .when(F.col("kind") == "medications", bound(medication(name, dosage), lambda x: F.when(~x["matched"], _detail_of_dosage(x))))
+        .otherwise(bound(vital(name, value, unit)["matched"], lambda m: F.when(~m, _detail_of_vital(F.struct(name, value, unit)))))
+    )
+    found = distinct.select(F.inline(F.array_compact(F.array(judged))), "n")
+    return found.groupBy("field_type", "detail").agg(F.sum("n").alias("n"))
+
+
 def mentions(records: DataFrame) -> DataFrame:
     """field, total, unmatched: a row for each field of each record of normalize_records() that has n_diagnoses, n_medications, n_vitals."""
     count = lambda kind: F.size(F.filter("unmatched", lambda u: u["field_type"] == kind)).cast("long")
