@@ -414,3 +414,31 @@ def test_unmatched_report_counts_what_records_have_unmatched(spark):
     report = normalize.unmatched_report(records)
     assert sorted(map(tuple, report.collect())) == sorted(map(tuple, expected.collect())) != []
     assert report.schema.simpleString() == expected.schema.simpleString() and normalize.unmatched_report(records.limit(0)).count() == 0
+
+
+def test_fields_of_outputs_are_what_names_of_each_are(spark):
+    texts = ['{"d": [{"name": "a"}, {"name": 3}, "x", {"n": 1}, {"name": "b"}, {"name": "b"}], "m": [{"name": "c"}]}', '{"d": "a", "m": [{"name": ""}]}', '[{"name": "a"}]', "{", None, "{}", '{"m": [{"name": "\\u00e9"}], "d": null}', "\t{} x", '"{}"']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, output string")
+    one = lambda f: evaluate.predicted_names(df, "i", "output", f, "n").select("i", F.lit(f).alias("field"), "n")
+    got = sorted(map(tuple, evaluate.predicted_fields(df, "i", "output", ["d", "m"], "n").collect()))
+    assert got == sorted(map(tuple, one("d").union(one("m")).collect()))
+    assert got == [(0, "d", "a"), (0, "d", "b"), (0, "d", "b"), (0, "m", "c"), (1, "m", ""), (6, "m", "é")]
+    old = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("output")), F.lit("OBJECT")), F.lit(False))
+    assert df.where(~evaluate.json_object(F.col("output")).eqNullSafe(old)).count() == 0
+
+
+def test_output_names_stores_nothing(spark, small, monkeypatch):
+    """Its outputs are parsed as they come: no table of them is written to be read twice."""
+
+    def fail(df):
+        raise AssertionError("stored")
+
+    monkeypatch.setattr(clinical, "checkpointed", fail)
+    plan = clinical.output_names(lambda name: spark.read.parquet(f"{small}/{name}.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+
+
+def test_date_clauses_are_found_behind_the_guard(spark):
+    cases = {"x (dx a-b)": "x", "x, DIAGNOSED 2020-01-01 ": "x", "x (DX )": "x", "a-b": "a-b", "(a) b ": "(a) b", "x (dx": "x (dx", "x, diagnosed 2020": "x, diagnosed 2020", "": ""}
+    df = spark.createDataFrame([*((c,) for c in cases), (None,)], "n string").select("n", S.without_date_clause(F.col("n")).alias("x"))
+    assert {r.n: r.x for r in df.collect()} == {**cases, None: None}

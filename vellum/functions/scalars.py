@@ -69,8 +69,9 @@ def f1(tp: Column, fp: Column, fn: Column) -> Column:
 
 
 def without_date_clause(name: Column) -> Column:
-    """A diagnosis without a trailing clause that says when it was made."""
-    return strip(F.regexp_replace(name, "(?i)" + DATE_CLAUSE, ""))
+    """A diagnosis without a trailing clause that says when it was made. Each form of it has a hyphen or a parenthesis; other names aren't searched."""
+    may = F.contains(name, F.lit("-")) | F.contains(name, F.lit(")"))
+    return strip(F.when(may, F.regexp_replace(name, "(?i)" + DATE_CLAUSE, "")).otherwise(name))
 
 
 def quoted(text: Column) -> Column:

@@ -86,6 +86,16 @@ def predicted_names(outputs: DataFrame, record: str, output: str, field: str, ca
     return outputs.where(json_object(F.col(output))).select(record, F.explode(named_items(F.col(output), field)).alias(category))
 
 
+def predicted_fields(outputs: DataFrame, record: str, output: str, fields: list[str], category: str) -> DataFrame:
+    """record, field, category: what predicted_names() gives of each of some fields, with each output parsed once."""
+
+    def named(parsed: Column) -> Column:
+        rows = lambda f: F.transform(_named(parsed, f), lambda x: F.struct(F.lit(f).alias("field"), x.alias(category)))
+        return F.when(_object(F.col(output), parsed), F.concat(*map(rows, fields)))
+
+    return outputs.select(record, F.inline(bound(F.try_parse_json(output), named)))
+
+
 def output_tally(outputs: DataFrame, output: str, fields: list[str], category: str) -> DataFrame:
     """field, category, tp, fp, fn, said: how often outputs (JSON text) name what their records name; and valid, total of field null.
 

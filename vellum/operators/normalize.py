@@ -85,23 +85,24 @@ def vital(name: Column, value: Column, unit: Column) -> Column:
 def split_label(name: Column, dosage: Column) -> Column:
     """struct(label, dosage): a bare drug name as its label; what the label says is cut off the front of the dosage."""
     bare = [(label.split(" ", 1)[0].lower(), label) for _, label, *_ in v.MEDICATIONS]
-    label = F.try_element_at(_mapping(bare), F.lower(strip(name)))
 
-    def cut(label: Column) -> Column:
-        said = strip(F.substring(label, F.length(strip(name)) + 1, F.length(label)))
+    def cut(x: Column) -> Column:
+        said = strip(F.substring(x["label"], F.length(x["name"]) + 1, F.length(x["label"])))
         rest = lambda s: F.nullif(F.ltrim(F.substring(dosage, F.length(s) + 1, F.length(dosage)), F.lit(" -,;")), F.lit(""))
         bundled = lambda s: F.coalesce(F.startswith(F.lower(dosage), F.lower(s)), F.lit(False))
-        dose = bound(said, lambda s: F.when(bundled(s), rest(s)).otherwise(dosage))
-        return F.struct(F.coalesce(label, name).alias("label"), dose.alias("dosage"))
+        dose = F.when(x["label"].isNotNull() & dosage.isNotNull(), bound(said, lambda s: F.when(bundled(s), rest(s)).otherwise(dosage))).otherwise(dosage)
+        return F.struct(F.coalesce(x["label"], name).alias("label"), dose.alias("dosage"))
 
-    return bound(label, cut)
+    labelled = lambda bare_name: F.struct(bare_name.alias("name"), F.try_element_at(_mapping(bare), F.lower(bare_name)).alias("label"))
+    return bound(strip(name), lambda bare_name: bound(labelled(bare_name), cut))
 
 
 def dosage_of(label: Column, dosage: Column) -> Column:
     """struct(dosage, matched): the full form of a label's dosage. One that says that it is missing is null and matched; an unknown
     one is kept and not matched."""
-    forms = {(name, form): full for _, name, short, full, _ in v.MEDICATIONS for form in (short, full, full.removeprefix("Take "))}
-    known = F.try_element_at(_mapping([("\0".join(k), full) for k, full in forms.items()]), F.concat_ws("\0", label, dosage))
+    forms = {name: {form: full for form in (short, full, full.removeprefix("Take "))} for _, name, short, full, _ in v.MEDICATIONS}
+    own = F.create_map(*(x for name, known in forms.items() for x in (F.lit(name), _mapping(known.items()))))
+    known = F.try_element_at(F.try_element_at(own, label), dosage)
     missing = dosage.isNull() | F.lower(strip(dosage)).isin(v.MISSING_DOSAGES)
     found = lambda x: F.struct(F.when(~x["missing"], F.coalesce(x["known"], dosage)).alias("dosage"), (x["missing"] | x["known"].isNotNull()).alias("matched"))
     return bound(F.struct(known.alias("known"), missing.alias("missing")), found)
