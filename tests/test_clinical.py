@@ -438,6 +438,18 @@ def test_output_names_stores_nothing(spark, small, monkeypatch):
     assert plan.count("parseJson") == 1
 
 
+def test_formatted_records_join_texts_not_lists(spark):
+    """The response is made before notes are joined, so that a shuffle by note carries one text of each record, and what is kept."""
+    schema = "note_id string, who int, diagnoses array<struct<name:string>>, medications array<struct<name:string,dosage:string>>, vitals array<struct<name:string>>"
+    records = spark.createDataFrame([("a", 1, [("x",)], [("y", None)], []), ("a", 2, None, [], [])], schema)
+    made = dataset.format_records(records, spark.createDataFrame([("a", "said")], "note_id string, text string"), "who")
+    assert sorted(map(tuple, made.collect())) == [
+        (1, "said", '{"diagnoses":[{"name":"x"}],"medications":[{"name":"y","dosage":null}],"vitals":[]}'), (2, "said", '{"diagnoses":null,"medications":[],"vitals":[]}'),
+    ]
+    above, _, below = made._jdf.queryExecution().analyzed().toString().partition("Join")
+    assert "to_json" in below and "to_json" not in above
+
+
 def test_date_clauses_are_found_behind_the_guard(spark):
     cases = {"x (dx a-b)": "x", "x, DIAGNOSED 2020-01-01 ": "x", "x (DX )": "x", "a-b": "a-b", "(a) b ": "(a) b", "x (dx": "x (dx", "x, diagnosed 2020": "x, diagnosed 2020", "": ""}
     df = spark.createDataFrame([*((c,) for c in cases), (None,)], "n string").select("n", S.without_date_clause(F.col("n")).alias("x"))

@@ -124,10 +124,11 @@ def format_records(records: DataFrame, notes: DataFrame, *keep: str) -> DataFram
 
     A record whose note isn't there is an error that names it. Copies of a record share its note.
     """
-    found = records.join(notes.select("note_id", F.col("text").alias("instruction")), "note_id", "left")
-    lost = F.raise_error(F.concat(F.lit("no note for note_id "), F.coalesce("note_id", F.lit("null"))))
     response = F.to_json(F.struct(*RESPONSE), {"ignoreNullFields": "false"})
-    return found.select(*keep, F.when(F.col("instruction").isNull(), lost).otherwise(F.col("instruction")).alias("instruction"), response.alias("response"))
+    said = records.select(*{"note_id": None, **dict.fromkeys(keep)}, response.alias("response"))  # texts are joined, not the lists that they are made of
+    found = said.join(notes.select("note_id", F.col("text").alias("instruction")), "note_id", "left")
+    lost = F.raise_error(F.concat(F.lit("no note for note_id "), F.coalesce("note_id", F.lit("null"))))
+    return found.select(*keep, F.when(F.col("instruction").isNull(), lost).otherwise(F.col("instruction")).alias("instruction"), "response")
 
 
 #: What the loss leaves out.
