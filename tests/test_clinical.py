@@ -134,6 +134,22 @@ def test_numbers_of_one_store_and_no_second_shuffle(spark):
     assert R.numbered(df.limit(0), ["k"], "n", checkpointed).count() == 0
 
 
+@pytest.mark.parametrize("name", ["_part", "_place", "_before", "_id", "_n"])
+def test_a_number_may_have_the_name_of_what_it_is_made_of(spark, name):
+    df = spark.range(100).select((F.col("id") * 37 % 100).alias("k"), F.lit("x").alias("v"))
+    got = R.numbered(df, ["k"], name, checkpointed)
+    assert got.columns == ["k", "v", name]
+    assert sorted(map(tuple, got.collect())) == [(i, "x", i + 1) for i in range(100)]
+
+
+def test_build_splits_keeps_copies_with_their_patient(spark):
+    """Sizes 3, 2, 2 and 1 of 8 records; the synthesized one has no part."""
+    rows = [(1, "a", None, None), (2, "b", None, False), (3, "a-dup1", "a", False), (4, "c", None, True), (5, "b-dup1", "b", False), (6, "a", None, False), (7, "d", None, False), (8, "e", None, False), (9, "e-dup1", "e", False)]
+    records = spark.createDataFrame(rows, "o int, patient_id string, rebalance_duplicate_of string, synthesized boolean")
+    got = {r.o: r.split for r in dataset.build_splits(records, "o", checkpointed, [("x", 0.5), ("y", 0.5)]).collect()}
+    assert got == {1: "x", 3: "x", 6: "x", 2: "y", 5: "y", 8: "y", 9: "y", 7: "x"}
+
+
 def test_star_schema(spark, resources):
     number = lambda df, order, name: R.numbered(df, order, name, checkpointed)
     tables = omop.fhir_to_omop(resources, number)

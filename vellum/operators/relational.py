@@ -86,7 +86,8 @@ def numbered(df: DataFrame, order: list[str], name: str, store) -> DataFrame:
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     number = F.col("_before") + F.col("_place") + 1
-    return parts.join(F.broadcast(offsets), "_part").withColumn(name, number).drop("_part", "_place", "_before")
+    # chosen, not dropped: the number may have the name of one of the columns that it is made of
+    return parts.join(F.broadcast(offsets), "_part").select(*(c for c in df.columns if c != name), number.alias(name))
 
 
 def spread(df: DataFrame, key: str, rows: int = TASK_ROWS) -> DataFrame:
