@@ -41,3 +41,22 @@ def test_query_equals_sql(spark, small, database, name):
     names = [d[0] for d in con.description]
     assert sorted(df.columns) == sorted(names)
     assert rows(df.columns, df.collect()) == rows(names, con.fetchall())
+
+
+def same_as_sql(spark, folder, name, table, kinds, given):
+    """The query's columns and rows over a small table, once they are found to be what its SQL gives."""
+    spark.createDataFrame(given, kinds).coalesce(1).write.parquet(f"file://{folder}/{table}.parquet")
+    df = QUERIES[name](spark, f"file://{folder}")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'").execute(SQL[name])
+    names, got = [d[0] for d in con.description], df.collect()
+    assert rows(df.columns, got) == rows(names, con.fetchall())
+    return got
+
+
+ORDER_KINDS = "o_orderkey long, o_custkey long"
+
+
+def test_groups_without_a_first_place_come_last(spark, tmp_path):
+    got = same_as_sql(spark, tmp_path, "group_split", "orders", ORDER_KINDS, [(None if c == 5 else c, c) for c in range(10)])
+    assert {r.patient: r.split for r in got if r.split != "train"} == {9: "val", 5: "test"}

@@ -88,12 +88,12 @@ def class_batches(total: int, splits: list[tuple[str, float]]):
 def split_groups(sizes: DataFrame, group: str, store: Callable[[DataFrame], DataFrame], splits: list[tuple[str, float]] = SPLITS) -> DataFrame:
     """group, n, split: whole groups, the largest first, each to the split that is furthest below its share.
 
-    sizes: group, n, first (the order of appearance). Groups of one size are alike, and are dealt in at most as many phases as there are
+    sizes: group, n, first (the order of appearance, those without come last). Groups of one size are alike, and are dealt in at most as many phases as there are
     splits, each of which repeats itself; the phases of the distinct sizes are found in one pass over these, which are no more than the
     root of twice the records. A group finds its split from its rank among those of its size. Groups are numbered by range
     partitions (store() materialises them), so no size meets in one task.
     """
-    ordered = numbered(sizes.withColumn("_less", -F.col("n")), ["_less", "first"], "_place", store)
+    ordered = numbered(sizes.withColumn("_less", -F.col("n")), ["_less", F.asc_nulls_last("first")], "_place", store)
     classes = sizes.groupBy("n").agg(F.count("*").alias("m"))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     one = classes.coalesce(1).sortWithinPartitions(F.desc("n"))

@@ -76,7 +76,7 @@ def first_k(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFra
     return df.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= k).drop("_n")
 
 
-def numbered(df: DataFrame, order: list[str], name: str, store) -> DataFrame:
+def numbered(df: DataFrame, order: list[str | Column], name: str, store) -> DataFrame:
     """Numbers from 1 in the given order. Rows are range-partitioned, sorted and numbered where they are; parts are offset by
     the sizes of those before, of which there are as many as partitions. store(df) must materialise df."""
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
