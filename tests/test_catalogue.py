@@ -60,3 +60,8 @@ ORDER_KINDS = "o_orderkey long, o_custkey long"
 def test_groups_without_a_first_place_come_last(spark, tmp_path):
     got = same_as_sql(spark, tmp_path, "group_split", "orders", ORDER_KINDS, [(None if c == 5 else c, c) for c in range(10)])
     assert {r.patient: r.split for r in got if r.split != "train"} == {9: "val", 5: "test"}
+
+
+def test_records_without_a_patient_count_in_the_shares(spark, tmp_path):
+    got = same_as_sql(spark, tmp_path, "split_ratio", "orders", ORDER_KINDS, [(i, None if i % 5 == 0 else i % 7) for i in range(1, 60)])
+    assert sum(r.n for r in got) == 59

@@ -392,7 +392,7 @@ def group_split(t):
 
 @query(f"SELECT split, CAST(sum(n) AS BIGINT) AS n, round(sum(n) / sum(sum(n)) OVER (), 4) AS share FROM ({SPLIT_SQL}) GROUP BY split")
 def split_ratio(t):
-    rows = t("orders").join(_splits(t).select("patient", "split"), F.col("o_custkey") == F.col("patient"))
+    rows = t("orders").join(_splits(t).select("patient", "split"), F.col("o_custkey").eqNullSafe(F.col("patient")))  # all without a patient are a group
     return dataset.split_shares(rows)
 
 
