@@ -65,3 +65,13 @@ def test_groups_without_a_first_place_come_last(spark, tmp_path):
 def test_records_without_a_patient_count_in_the_shares(spark, tmp_path):
     got = same_as_sql(spark, tmp_path, "split_ratio", "orders", ORDER_KINDS, [(i, None if i % 5 == 0 else i % 7) for i in range(1, 60)])
     assert sum(r.n for r in got) == 59
+
+
+def test_batches_of_documents_that_lack_something(spark, tmp_path):
+    """Sources, languages and counts that are null, and an id that is; what is null says nothing but lies in a batch."""
+    given = [(i, None if i % 3 == 0 else "é\u0301😀"[: i % 4], None if i % 11 == 0 else "日本", None if i % 13 == 0 else i) for i in range(1, 80)]
+    given += [(None, "abc", "en", 5)] + [(i, "abc", "en", 5) for i in range(100, 180)]
+    kinds = "doc_id long, source string, lang string, n_chars long"
+    got = same_as_sql(spark, tmp_path, "training_batches", "documents", kinds, given)
+    lacking = [r for r in got if r.n_attended is None]
+    assert len(lacking) == sum(None in row[1:] for row in given) and all(r.n_labels == 0 for r in lacking)

@@ -140,12 +140,13 @@ def training_batches(examples: DataFrame, key: str, store: Callable[[DataFrame],
 
     Examples of like length (in steps of width) make a bucket, and within a bucket follow each other in an order that seed and key give. A batch
     holds as many as fit the budget of tokens when all are as long as the bucket allows, but one at least. Labels of the prompt and of padding are masked.
+    Examples whose ids are null lie in the first bucket and stay null; those without a key come last.
     """
-    length = F.size("input_ids")
+    length = F.array_size("input_ids")
     bucketed = examples.select(key, "input_ids", "n_prompt").withColumns(
-        {"bucket": F.floor(F.greatest(length - 1, F.lit(0)) / width).cast("int"), "_order": F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))}
+        {"bucket": F.floor(F.greatest(length - 1, F.lit(0)) / width).cast("int"), "_order": F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))}
     )
-    placed = numbered(bucketed, ["bucket", "_order"], "_place", store)
+    placed = numbered(bucketed, ["bucket", F.asc_nulls_last("_order")], "_place", store)
     firsts = placed.groupBy("bucket").agg(F.min("_place").alias("_first"))  # a row for each step of length
     size = F.greatest(F.floor(F.lit(budget) / ((F.col("bucket") + 1) * width)), F.lit(1))
     batched = placed.join(F.broadcast(firsts), "bucket").withColumn("batch", F.floor((F.col("_place") - F.col("_first")) / size).cast("long"))
